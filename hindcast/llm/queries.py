@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, packing, quality_rules, substring_dedup, suffix_dedup, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+        "op2_url_filter": url_filter.op2_url_filter,
+        "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
