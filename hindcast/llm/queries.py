@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality_rules, substring_dedup, suffix_dedup, url_filter
+from . import exact_dedup, html_text, mixing, near_dedup, packing, quality_rules, substring_dedup, suffix_dedup, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,10 @@ def queries() -> dict:
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op6_token_counts": token_counts.op6_token_counts,
+        "op7_html_text": html_text.op7_html_text,
+        "op8_mix_sources": mixing.op8_mix_sources,
+        "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 

@@ -32,3 +32,33 @@ def substring(docs: list[tuple], window: int, words: bool, keep_first: bool = Fa
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         out.append((i, len(p), sum(gone), spans, hashlib.sha256(text).hexdigest()))
     return sorted(out)
+
+
+def lower(text: str) -> str:
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
+def near(docs: list[tuple]) -> list[tuple]:
+    """(id, n_shingles, component_id, kept) per (id, text); ids must be distinct."""
+    sets = {}
+    for i, t in docs:
+        w = lower(t or "").encode().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    comp = {i: i for i in sets}
+
+    def top(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    holders: dict = {}
+    for i, s in sets.items():
+        for g in s:
+            holders.setdefault(g, []).append(i)
+    for i, s in sets.items():
+        shared = Counter(j for g in s for j in holders[g] if j < i)
+        for j, c in shared.items():
+            if 100 * c >= 75 * (len(s) + len(sets[j]) - c):
+                a, b = sorted((top(i), top(j)))
+                comp[b] = a
+    return sorted((i, len(s), top(i), top(i) == i) for i, s in sets.items())
