@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import metrics, relational
+
+PARTS = (metrics, relational)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for part in PARTS for name, (query, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, (_, sql) in part.QUERIES.items() if sql}
