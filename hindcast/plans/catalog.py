@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import metrics, relational
+from . import governance, metrics, models, ranking, relational
 
-PARTS = (metrics, relational)
+PARTS = (metrics, relational, ranking, governance, models)
 
 
 def queries() -> dict:

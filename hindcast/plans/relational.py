@@ -138,7 +138,7 @@ def interval_aggregate(spark, d):
     a = anchors(spark, d).crossJoin(F.broadcast(horizons))
     rows = R.interval_join(a, daily(spark, d), ["user_id"], "date", F.col("anchor"), F.date_add("anchor", F.col("days")))
     out = rows.groupBy("user_id", "horizon").agg(F.avg("v_mean").alias("mean"), F.min("v_min").alias("low"), F.max("v_max").alias("high"), F.sum("v_sum").alias("total"), F.count(F.lit(1)).alias("days"))
-    return out.select("user_id", "horizon", *[r(c, c, 6) for c in ("mean", "low", "high", "total")], n("days", "days"))
+    return out.select("user_id", "horizon", *[r(c, c, 9) for c in ("mean", "low", "high", "total")], n("days", "days"))
 
 
 def anchored_history(spark, d):
@@ -335,7 +335,7 @@ QUERIES = {
         SELECT entity, nation, round(x.o, 7) AS a, round(y.o, 7) AS b, round(y.o - x.o, 6) + 0 AS difference FROM m x JOIN m y USING (entity, nation) WHERE x.segment = 'AUTOMOBILE' AND y.segment = 'BUILDING'""", PLOTS_SQL + ",")),
     "candidate_universe": (candidate_universe, sql("SELECT sha256(string_agg(e || '|' || x, chr(10) ORDER BY e || '|' || x)) AS digest, count(*) AS pairs FROM (SELECT DISTINCT entity AS e FROM cells WHERE year < 1997), (SELECT DISTINCT context AS x FROM cells WHERE year = 2001)", CELLS_SQL)),
     "scenario_grid": (scenario_grid, "SELECT alpha, gamma, fold, row_number() OVER (ORDER BY alpha, gamma, fold) AS scenario FROM (VALUES (0.1::DOUBLE), (1.0), (10.0)) a(alpha), (VALUES (0.5::DOUBLE), (1.0), (2.0)) g(gamma), range(5) f(fold)"),
-    "interval_aggregate": (interval_aggregate, sql("""SELECT user_id, horizon, round(avg(v_mean),6) + 0 AS mean, round(min(v_min),6) + 0 AS low, round(max(v_max),6) + 0 AS high, round(sum(v_sum),6) + 0 AS total, count(*) AS days
+    "interval_aggregate": (interval_aggregate, sql("""SELECT user_id, horizon, round(avg(v_mean),9) + 0 AS mean, round(min(v_min),9) + 0 AS low, round(max(v_max),9) + 0 AS high, round(sum(v_sum),9) + 0 AS total, count(*) AS days
         FROM daily JOIN firsts USING (user_id) CROSS JOIN (VALUES ('T1', 7), ('T2', 14)) h(horizon, k) WHERE date BETWEEN anchor AND anchor + k::INTEGER GROUP BY ALL""", FIRST_SQL)),
     "anchored_history": (anchored_history, """WITH o AS (SELECT o_custkey, o_orderdate::DATE AS date, o_totalprice::DECIMAL(12,2) AS p FROM orders), l AS (SELECT o_custkey, max(date) AS anchor FROM o GROUP BY 1),
         y AS (SELECT o_custkey, y AS year, coalesce(try_cast(y || strftime(anchor, '-%m-%d') AS DATE), CAST(y || strftime(anchor, '-%m-') || '28' AS DATE)) AS b FROM (SELECT *, unnest(range(year(anchor) - 3, year(anchor))) AS y FROM l))
