@@ -35,7 +35,7 @@ def query_of(url: Column) -> Column:
 
 def fixed_rule(host: Column, path: Column, rules) -> Column:
     """The longest rule that fits, as struct(rule, verdict), else null. Of equal lengths, the longer host wins."""
-    out = F.lit(None)
+    out = F.lit(None).cast("struct<rule: string, verdict: string>")
     for h, p, verdict in sorted(rules, key=lambda r: (len(r[0]) + len(r[1]), len(r[0]))):
         fits = ((host == h) | F.endswith(host, F.lit(f".{h}"))) & F.startswith(path, F.lit(p))
         out = F.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
