@@ -19,10 +19,6 @@ from .common import cut, join_small, table
 LEAST = 75
 #: A band's documents are compared in groups of at most two parts of this many.
 PART = 500
-#: Shingles handled at once when the pairs of a large group are counted.
-COLUMNS = 4096
-#: Groups up to this size compare pair by pair.
-FEW = 24
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -46,33 +42,24 @@ def sketch(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, exactly: products of 0/1 matrices over some thousand shingles at a time."""
-    size = np.array([len(s) for s in sets])
-    values, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), size)
-    often = count[column] > 1
-    place = np.cumsum(count > 1) - 1
-    row, column = row[often], place[column[often]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
-    width = int((count > 1).sum())
-    for begin in range(0, width, COLUMNS):
-        a, b = np.searchsorted(column, [begin, begin + COLUMNS])
-        m = np.zeros((len(sets), min(COLUMNS, width - begin)), dtype=np.float32)
-        m[row[a:b], column[a:b] - begin] = 1
-        out += m @ m.T
-    return out.astype(np.int64)
-
-
-def links(sets: list[np.ndarray], regs: np.ndarray) -> list[tuple[int, int]]:
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
+
+
+def links(sets: list[np.ndarray], regs: np.ndarray, band: int) -> list[tuple[int, int]]:
     """Edges that connect what is linked among the sets: one less than its members for each component.
 
-    Pairs are ruled out by size and by the likelihood estimate; the others are counted in full.
+    A pair that also shares a band before this one is left to that band's group, so each pair is judged once. Pairs are
+    ruled out by size and by the likelihood estimate; the others are counted in full, unless already connected.
     """
     n = np.array([len(s) for s in sets])
     k = len(sets)
+    before = np.stack([S.band_keys(r)[:band] for r in regs]) if band else None
     label = list(range(k))
 
     def top(x: int) -> int:
@@ -82,39 +69,28 @@ def links(sets: list[np.ndarray], regs: np.ndarray) -> list[tuple[int, int]]:
         return x
 
     out = []
-    a, b = np.triu_indices(k, 1)
-    fits = 100 * np.minimum(n[a], n[b]) >= LEAST * np.maximum(n[a], n[b])
-    a, b = a[fits], b[fits]
-    step = 20_000
-    likely = [S.may_link(regs[a[i : i + step]], regs[b[i : i + step]], n[a[i : i + step]], n[b[i : i + step]], LEAST / 100) for i in range(0, len(a), step)]
-    if not likely:
-        return out
-    likely = np.concatenate(likely)
-    a, b = a[likely], b[likely]
-    if k > FEW and len(a) > 4 * k:
-        shared = shared_counts(sets)[a, b]
-        linked = 100 * shared >= LEAST * (n[a] + n[b] - shared)
-        a, b, known = a[linked], b[linked], True
-    else:
-        known = False
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        i, j = top(x), top(y)
-        if i == j:
-            continue
-        if not known:
-            shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if 100 * shared < LEAST * (len(sets[x]) + len(sets[y]) - shared):
-                continue
-        label[j] = i
-        out.append((x, y))
+    for x in range(k - 1):
+        y = np.arange(x + 1, k)
+        y = y[100 * np.minimum(n[x], n[y]) >= LEAST * np.maximum(n[x], n[y])]
+        if band:
+            y = y[~(before[y] == before[x]).any(axis=1)]
+        y = y[S.may_link(regs[x : x + 1], regs[y], n[x : x + 1], n[y], LEAST / 100)] if len(y) else y
+        for z in y.tolist():
+            i, j = top(x), top(z)
+            if i != j:
+                both = shared(sets[x], sets[z])
+                if 100 * both >= LEAST * (len(sets[x]) + len(sets[z]) - both):
+                    label[j] = i
+                    out.append((x, z))
     return out
 
 
 def verified(groups: DataFrame) -> DataFrame:
-    """Rows (key, i, j, node, regs, text), sorted by group, to edges (a, b) between linked nodes."""
+    """Rows (key, i, j, band, node, regs, text), sorted by group, to edges (a, b) between linked nodes."""
     schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
     def judge(rows: list[tuple]) -> list[tuple]:
+        band, rows = rows[0][0], [r[1:] for r in rows]
         rows = list({r[0]: r for r in rows}.values())
         texts = [r[2].encode() for r in rows]
         sets = []
@@ -122,12 +98,12 @@ def verified(groups: DataFrame) -> DataFrame:
         for first, last in W.chunks(at, 2 << 20):
             sets += S.shingle_sets(np.frombuffer(b"".join(texts[first:last]), dtype=np.uint8), at[first : last + 1] - at[first])
         regs = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint16).reshape(len(rows), -1)
-        return [(rows[x][0], rows[y][0]) for x, y in links(sets, regs)]
+        return [(rows[x][0], rows[y][0]) for x, y in links(sets, regs, band)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, rows, edges = None, [], []
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(6)]
+            columns = [batch.column(i).to_pylist() for i in range(7)]
             for key, i, j, *row in zip(*columns, strict=True):
                 if (key, i, j) != group:
                     edges += judge(rows) if len(rows) > 1 else []
@@ -139,7 +115,7 @@ def verified(groups: DataFrame) -> DataFrame:
         edges += judge(rows) if len(rows) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.binary()) for k in (0, 1)], names=schema.names)
 
-    return groups.select("key", "i", "j", "node", "regs", "text").mapInArrow(run, schema)
+    return groups.select("key", "i", "j", "band", "node", "regs", "text").mapInArrow(run, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -177,12 +153,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     full = rows.where(F.col("node").isNotNull())
     nodes = full.groupBy("node").agg(F.min("id").alias("low"), F.min(F.struct("id", "th")).alias("one"), F.first("regs").alias("regs"), F.first("bands").alias("bands"))
     nodes = cut(nodes, "nodes")
-    posts = nodes.select(F.explode("bands").alias("key"), "node")
+    posts = nodes.select(F.posexplode("bands").alias("band", "key"), "node")
     h = F.xxhash64("node")
-    bands = posts.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("x"), F.max("node").alias("y"), F.bit_xor(h).alias("z")).where("c >= 2")
-    bands = bands.groupBy("c", "x", "y", "z").agg(F.min("key").alias("key"))
-    bands = cut(bands.select(F.col("key").alias("k"), "c"), "bands")
-    members = posts.join(bands, posts["key"] == bands["k"]).select("key", "node", "c")
+    bands = posts.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("band").alias("t"), F.min("node").alias("x"), F.max("node").alias("y"), F.bit_xor(h).alias("z")).where("c >= 2")
+    # bands with the same members are one, under the first band's number
+    bands = bands.groupBy("c", "x", "y", "z").agg(F.min(F.struct("t", "key"))["key"].alias("k"))
+    bands = cut(bands.select("k", "c"), "bands")
+    members = posts.join(bands, posts["key"] == bands["k"]).select("key", "band", "node", "c")
     members = cut(members, "members")
     wanted = members.select("node").distinct().withColumnRenamed("node", "_node")
     picks = nodes.join(wanted, nodes["node"] == wanted["_node"]).select(F.col("node").alias("_node"), "regs", F.col("one.id").alias("_i"), F.col("one.th").alias("_t"))
@@ -194,7 +171,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     meets = F.when(parts == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.filter(F.sequence(F.lit(0), parts - 1), lambda p: p != part), lambda p: F.struct(F.least(p, part).alias("i"), F.greatest(p, part).alias("j")))
     )
-    dealt = members.select("key", "node", F.explode(meets).alias("m")).select("key", "node", "m.i", "m.j")
+    dealt = members.select("key", "band", "node", F.explode(meets).alias("m")).select("key", "band", "node", "m.i", "m.j")
     groups = dealt.join(texts, dealt["node"] == texts["_node"]).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     comps = components(verified(groups))
     low = nodes.select("node", "low").join(comps.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).select("comp", "node", "low")

@@ -13,7 +13,7 @@ BASE_B, RATE_A, TOP_Q = 1.001, 20.0, (1 << 16) - 2
 _factors = W._rng.integers(0, W.MASK64, REGISTERS, dtype=np.uint64, endpoint=True) | np.uint64(1)
 _band_salt = W.mix(np.arange(1, REGISTERS // ROWS + 1, dtype=np.uint64))
 #: Similarities among which the likelihood is maximised.
-GRID = np.linspace(0, 1, 201)
+GRID = np.linspace(0, 1, 41)
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
