@@ -6,6 +6,7 @@ inside a group has the size of one group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -95,8 +96,14 @@ def draw(rep, k, size):
 def cluster_bootstrap(stats: DataFrame, cluster: str, reps: int) -> DataFrame:
     """(rep, rmse_delta): clusters drawn with replacement, candidate rmse less reference rmse.
 
-    stats: n, sse_reference, sse_candidate per cluster, so that no row is read again. Draws are dealt by repetition.
+    stats: n, sse_reference, sse_candidate per cluster, so that no row is read again.
     """
+    sums = resampled(stats, cluster, reps)
+    return sums.select("rep", (F.sqrt(F.col("c") / F.col("n")) - F.sqrt(F.col("r") / F.col("n"))).alias("rmse_delta"))
+
+
+def resampled(stats: DataFrame, cluster: str, reps: int) -> DataFrame:
+    """(rep, n, r, c): the sums of n, sse_reference and sse_candidate over each draw of clusters, dealt by repetition."""
     from pyspark.sql import Window
 
     numbered = stats.withColumn("_i", F.row_number().over(Window.orderBy(cluster)) - 1)
@@ -105,8 +112,7 @@ def cluster_bootstrap(stats: DataFrame, cluster: str, reps: int) -> DataFrame:
     plan = stats.sparkSession.range(reps).select((F.col("id") + 1).alias("rep")).join(F.broadcast(size))
     draws = plan.select("rep", "_m", F.explode(F.sequence(F.lit(0), F.col("_m").cast("int") - 1)).alias("_k")).where("_m > 0")
     draws = draws.select("rep", draw(F.col("rep"), F.col("_k"), F.col("_m")).cast("int").alias("_i"))
-    sums = draws.join(numbered, "_i").groupBy("rep").agg(F.sum("n").alias("n"), F.sum("sse_reference").alias("r"), F.sum("sse_candidate").alias("c"))
-    return sums.select("rep", (F.sqrt(F.col("c") / F.col("n")) - F.sqrt(F.col("r") / F.col("n"))).alias("rmse_delta"))
+    return draws.join(numbered, "_i").groupBy("rep").agg(F.sum("n").alias("n"), F.sum("sse_reference").alias("r"), F.sum("sse_candidate").alias("c"))
 
 
 def bootstrap_summary(draws: DataFrame, value: str = "rmse_delta") -> DataFrame:
@@ -137,6 +143,62 @@ def nystrom_map(k: np.ndarray, share: float = 0.9) -> tuple[np.ndarray, np.ndarr
     return v[:, :rank][:, keep], 1 / np.sqrt(w[:rank][keep])
 
 
+def mixed_kernel(blocks: Sequence[np.ndarray]) -> np.ndarray:
+    """Equal-weight mean of the RBF kernels of several feature blocks, each with its own median bandwidth."""
+    return sum(rbf_kernel(x, x, median_bandwidth(x)) for x in blocks) / len(blocks)
+
+
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function, by its continued fraction (Lentz)."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - incomplete_beta(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    f = d
+    for m in range(1, 500):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + step * d, 1 + step / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            f *= d * c
+        if abs(d * c - 1) < 1e-14:
+            break
+    return front * f
+
+
+def correlation_p_value(r: float, n: float) -> float:
+    """Two-sided p of a correlation over n rows by Student's t with n - 2 degrees."""
+    if r is None or n is None or n < 3 or not abs(r) < 1:
+        return 0.0 if r is not None and n is not None and n >= 3 and abs(r) >= 1 else math.nan
+    t2 = r * r * (n - 2) / (1 - r * r)
+    return incomplete_beta((n - 2) / 2, 0.5, (n - 2) / (n - 2 + t2))
+
+
+def with_p_value(df: DataFrame, r: str, n: str, name: str = "p_value") -> DataFrame:
+    """Adds the p-value of a correlation column; the table has a row per group."""
+
+    @F.pandas_udf("double")
+    def p(rs: pd.Series, ns: pd.Series) -> pd.Series:
+        return pd.Series([correlation_p_value(None if pd.isna(a) else a, b) for a, b in zip(rs, ns, strict=True)])
+
+    return df.withColumn(name, F.nanvl(p(F.col(r), F.col(n).cast("double")), F.lit(None).cast("double")))
+
+
+def coverage_bootstrap(stats: DataFrame, cluster: str, reps: int) -> DataFrame:
+    """(rep, coverage): hits over rows of clusters drawn with replacement. stats: n and hits per cluster."""
+    same = stats.select(cluster, "n", F.col("hits").alias("sse_reference"), F.col("hits").alias("sse_candidate"))
+    return resampled(same, cluster, reps).select("rep", (F.col("r") / F.col("n")).alias("coverage"))
+
+
+def rank_slice(df: DataFrame, vec: str, rank: int, name: str) -> DataFrame:
+    """The first ``rank`` features, scaled so that a map of that rank keeps the weight of the whole."""
+    scale = F.sqrt(F.size(vec) / F.lit(float(rank)))
+    return df.withColumn(name, F.transform(F.slice(vec, 1, rank), lambda x: x.cast("double") * scale))
+
+
 def reml_blup(y: np.ndarray, k: np.ndarray, low: float = -12.0, high: float = 12.0) -> tuple[float, float, np.ndarray, bool]:
     """log delta (residual over genetic variance), mean, genetic values and whether the search ended at a bound.
 

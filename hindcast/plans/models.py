@@ -10,6 +10,7 @@ from hindcast.operators import aggregates as A
 from hindcast.operators import estimators as M
 
 from .bindings import CELLS_SQL, PREDICTIONS_SQL, cells, load, n, predictions, r
+from .metrics import INTERVALS_SQL, intervals
 
 REPS = 200
 
@@ -134,7 +135,75 @@ def grid_search(spark, d):
     return years.join(best, "year", "left").select("year", F.coalesce("chosen", F.lit(0.0)).alias("chosen"), F.when(F.col("chosen").isNull(), "INSUFFICIENT_HISTORY").otherwise("SELECTED").alias("status"))
 
 
+def correlation_tests(spark, d):
+    """Correlation of observed with replicates per nation, and its p-value."""
+    c = cells(spark, d).withColumn("x", F.col("replicates").cast("double"))
+    out = M.with_p_value(c.groupBy("nation").agg(A.pearson("observed", "x").alias("rho"), F.count(F.lit(1)).alias("n")), "rho", "n")
+    return out.select("nation", n("n", "n"), r("rho", "rho"), r("p_value", "p_value"))
+
+
+def coverage_interval(spark, d):
+    rows = intervals(spark, d).where("level = 0.9")
+    stats = rows.groupBy("context").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("err") <= F.col("q")).cast("long")).alias("hits"))
+    out = M.bootstrap_summary(M.coverage_bootstrap(stats, "context", REPS), "coverage")
+    return out.select(r("low", "low", 6), r("high", "high", 6), n("reps", "reps"))
+
+
+def rank_slices(spark, d):
+    e = M.rank_slice(load(spark, d, "embeddings"), "embedding", 16, "f")
+    return e.select("vec_id", n(F.size("f"), "width"), r(F.aggregate("f", F.lit(0.0), lambda s, x: s + x), "total"))
+
+
+def mixed_kernel_ranks(spark, d):
+    """Directions that two averaged RBF kernels of label groups need for 90 % of their trace."""
+    import pandas as pd
+
+    e = load(spark, d, "embeddings").select(F.col("label").cast("long").alias("label"), "vec_id", "embedding")
+
+    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf.sort_values("vec_id")["embedding"].to_numpy()).astype(float)
+        k = M.mixed_kernel([x[:, :32], x[:, 32:]])
+        v, _ = M.nystrom_map(k)
+        return pd.DataFrame({"label": [key[0]], "rows": [len(x)], "rank": [v.shape[1]]})
+
+    return e.groupBy("label").applyInPandas(fit, "label long, rows long, rank long")
+
+
+def model_families(spark, d):
+    """Elastic net, random forest and boosted trees from Spark ML on the embeddings; even ids train, odd ids test.
+
+    Spark has no XGBoost or LightGBM; its boosted trees stand for them.
+    """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+
+    e = load(spark, d, "embeddings").select("vec_id", array_to_vector("embedding").alias("features"), F.col("label").cast("double").alias("label"))
+    train, test = e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1")
+    models = {"elastic_net": LinearRegression(regParam=0.1, elasticNetParam=0.5), "forest": RandomForestRegressor(numTrees=20, seed=7), "boosted": GBTRegressor(maxIter=10, seed=7)}
+    out = None
+    for name, model in models.items():
+        p = model.fit(train).transform(test).select(F.lit(name).alias("model"), F.col("label").alias("observed"), F.col("prediction").alias("predicted"))
+        out = p if out is None else out.union(p)
+    return A.regression_metrics(out, ["model"]).select("model", n("n", "n"), r("rmse", "rmse", 2))
+
+
+def witnesses(spark, d):
+    """Two worlds with equal source risk and unequal target risk: the source alone cannot tell them apart."""
+    rows = [("w1", 0.1, 0.9, 0.1), ("w1", 0.1, 0.1, 0.9), ("w2", 0.1, 0.9, 0.1), ("w2", 0.5, 0.0, 0.9), ("w2", 0.1, 0.1, 0.0)]
+    w = spark.createDataFrame(rows, "world string, loss double, source double, target double")
+    out = w.groupBy("world").agg(F.sum(F.col("loss") * F.col("source")).alias("s"), F.sum(F.col("loss") * F.col("target")).alias("t"))
+    return out.select("world", r("s", "source_risk", 6), r("t", "target_risk", 6))
+
+
 QUERIES = {
+    "correlation_tests": (correlation_tests, None),
+    "coverage_interval": (coverage_interval, f"""WITH {INTERVALS_SQL}, st AS (SELECT context, count(*) AS n, sum((err <= q)::INT) AS h, row_number() OVER (ORDER BY context) - 1 AS i FROM ints WHERE level = 0.9 GROUP BY context),
+        dr AS (SELECT rep, ('0x' || substr(md5(rep || ':' || k), 1, 8))::BIGINT % (SELECT count(*) FROM st) AS i FROM range(1, {REPS + 1}) a(rep), range((SELECT count(*) FROM st)) b(k)),
+        x AS (SELECT rep, sum(h) / sum(n) AS c FROM dr JOIN st USING (i) GROUP BY rep) SELECT round(quantile_cont(c, 0.025), 6) AS low, round(quantile_cont(c, 0.975), 6) AS high, count(*) AS reps FROM x"""),
+    "rank_slices": (rank_slices, "SELECT vec_id, 16::BIGINT AS width, round(list_sum(embedding[1:16]::DOUBLE[]) * 2, 4) + 0 AS total FROM embeddings"),
+    "mixed_kernel_ranks": (mixed_kernel_ranks, None),
+    "model_families": (model_families, None),
+    "witnesses": (witnesses, "SELECT * FROM (VALUES ('w1', 0.1::DOUBLE, 0.1::DOUBLE), ('w2', 0.1::DOUBLE, 0.46::DOUBLE)) t(world, source_risk, target_risk)"),
     "gram_sums": (gram_sums, """WITH x AS (SELECT list_concat([1.0::DOUBLE], embedding[1:8]::DOUBLE[], [label::DOUBLE]) AS x FROM embeddings)
         SELECT i, j, round(sum(x[i+1]*x[j+1]), 4) + 0 AS v FROM x, range(10) a(i), range(10) b(j) GROUP BY i, j"""),
     "simple_ridge": (simple_ridge, f"WITH {CELLS_SQL} SELECT round(regr_intercept(replicates, observed/1000), 4) AS intercept, round(regr_slope(replicates, observed/1000), 4) + 0 AS slope FROM cells"),

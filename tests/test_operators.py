@@ -164,6 +164,20 @@ def test_conjugate_gradient_and_kernels():
     assert np.allclose(f @ f.T, k, atol=1e-6)
 
 
+def test_p_values():
+    # Student's t with 3 degrees at 3.182446 and with 8 at 2.306004 has 5 % outside
+    for df, t in ((3, 3.182446), (8, 2.306004), (30, 2.042272)):
+        rho = t / np.sqrt(df + t * t)
+        assert abs(M.correlation_p_value(rho, df + 2) - 0.05) < 1e-6
+    assert np.isnan(M.correlation_p_value(0.5, 2)) and M.correlation_p_value(1.0, 9) == 0.0
+
+
+def test_mixed_kernel():
+    x = np.random.default_rng(7).normal(size=(30, 4))
+    k = M.mixed_kernel([x[:, :2], x[:, 2:]])
+    assert np.allclose(np.diag(k), 1) and np.allclose(k, k.T) and np.linalg.eigvalsh(k).min() > -1e-9
+
+
 def test_reml_finds_signal():
     rng = np.random.default_rng(5)
     z = rng.normal(size=(150, 300))
