@@ -17,8 +17,8 @@ SYMBOLS = "#*$%&|<>"
 FENCE = 4
 MEASURES = (
     ("symbols", "n_symbols", "word_chars", 10_000, False, 0, 500, 2_000),
-    ("dup_lines", "n_dup_lines", "n_lines", 10_000, False, 0, 3_000, 6_000),
-    ("repeats", "n_repeat_words", "n_words", 10_000, False, 0, 1_500, 2_000),
+    ("dup_lines", "n_dup_lines", "n_lines", 10_000, False, 0, 5_000, 7_000),
+    ("repeats", "n_repeat_words", "n_words", 10_000, False, 0, 1_900, 2_000),
     ("word_len", "word_chars", "n_words", 100, True, 400, 0, 10_000),
 )
 #: A language and source with fewer documents takes the sketch of its language, one with fewer still that of all.
