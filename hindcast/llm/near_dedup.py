@@ -123,6 +123,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round a node takes the least label among its neighbours, then its label's label, until nothing changes.
     """
+    # written once: which edges connect a group hangs on the order of its rows, and both directions must be of the same edges
+    edges = cut(edges, "links")
     both = cut(edges.union(edges.select("b", "a")).distinct(), "edges")
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
     while True:
@@ -172,7 +174,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.transform(F.filter(F.sequence(F.lit(0), parts - 1), lambda p: p != part), lambda p: F.struct(F.least(p, part).alias("i"), F.greatest(p, part).alias("j")))
     )
     dealt = members.select("key", "band", "node", F.explode(meets).alias("m")).select("key", "band", "node", "m.i", "m.j")
-    groups = dealt.join(texts, dealt["node"] == texts["_node"]).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    groups = dealt.join(texts, dealt["node"] == texts["_node"]).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     comps = components(verified(groups))
     low = nodes.select("node", "low").join(comps.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n")).select("comp", "node", "low")
     least = low.groupBy("comp").agg(F.min("low").alias("component"))

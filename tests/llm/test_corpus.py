@@ -116,6 +116,20 @@ def test_near_dedup_large_group_in_parts(spark, monkeypatch):
     assert rows(got, "doc_id", "n_shingles", "component_id", "kept") == brute.near(texts)
 
 
+def test_components_of_edges_that_change_when_computed_again(spark):
+    import os
+
+    from hindcast.llm.near_dedup import components
+
+    flip = F.udf(lambda i: os.urandom(1)[0] < 128, "boolean").asNondeterministic()
+    node = lambda c: F.lpad(c.cast("string"), 4, "0").cast("binary")
+    path = spark.range(40).select("id", flip("id").alias("f")).select(
+        F.when(F.col("f"), node(F.col("id"))).otherwise(node(F.col("id") + 1)).alias("a"), F.when(F.col("f"), node(F.col("id") + 1)).otherwise(node(F.col("id"))).alias("b")
+    )
+    got = components(path).collect()
+    assert len(got) == 41 and {bytes(r["comp"]) for r in got} == {b"0000"}
+
+
 def test_sketch_merges_and_estimates():
     import numpy as np
 
