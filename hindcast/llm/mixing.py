@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,10 +11,12 @@ from .common import SPACE, cut, join_small, table
 
 #: Without given targets, a margin's shares are its token shares to this power, scaled to one: rare values gain.
 TEMPER = 0.7
-#: Share of all tokens to sample.
+#: Share of all tokens to sample, or less where the targets allow no more.
 BUDGET = 0.8
 #: The fit stops when no margin is further than TOLERANCE off, or after SWEEPS rounds over all margins.
 TOLERANCE, SWEEPS = 1e-4, 30
+#: A target counts as reached if the expected tokens are no further off than this share of it.
+REACHED = 0.01
 SEED = 17
 MARGINS = ("source", "lang", "topic")
 
@@ -42,40 +46,56 @@ def with_targets(cells: DataFrame, margin: str, targets: dict | None) -> DataFra
     return cells.join(sums, cells[margin].eqNullSafe(sums["_v"])).drop("_v")
 
 
-def rake(cells: DataFrame, targets: dict) -> DataFrame:
-    """cells (source, lang, topic, tokens) with a weight per token such that every margin meets its targets."""
+def margins(cells: DataFrame) -> DataFrame:
+    """(margin, value, tokens, target, expected, reached): tokens that each value has, should give and is expected to give."""
+    out = None
+    for margin in MARGINS:
+        one = cells.groupBy(F.lit(margin).alias("margin"), F.col(margin).cast("string").alias("value"), (F.col(f"target_{margin}") * F.col("budget")).alias("target"))
+        one = one.agg(F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("probability")).alias("expected"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("reached", F.abs(F.col("expected") - F.col("target")) <= REACHED * F.col("target"))
+
+
+def rake(cells: DataFrame, targets: dict, budget: float) -> DataFrame:
+    """cells (source, lang, topic, tokens) with probability, weight (probability / budget) and the budget that was used.
+
+    The expected tokens of every value of every margin are its target: probabilities are the products of one factor per
+    value, at most 1, and a cell at 1 leaves the rest of its margin to the cells below 1 in the next round. A value
+    cannot give more tokens than it has, so the budget is at most the least ratio of tokens to target, less a
+    hundredth; where cells at 1 still keep a target out of reach, half of it is tried, then a quarter.
+    """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    cells = cells.withColumn("_all", F.lit(float(total))).withColumn("weight", F.lit(1.0))
+    cells = cells.withColumn("_all", F.lit(float(total)))
     for margin in MARGINS:
         cells = cut(with_targets(cells, margin, targets.get(margin)), "cells")
-    for _ in range(SWEEPS):
-        off = []
-        for margin in MARGINS:
-            now = F.sum(F.col("tokens") * F.col("weight")).over(Window.partitionBy(margin))
-            cells = cells.withColumn(f"_f_{margin}", F.coalesce(F.try_divide(F.col(f"target_{margin}"), now), F.lit(1.0)))
-            cells = cells.withColumn("weight", F.col("weight") * F.col(f"_f_{margin}"))
-            off.append(F.max(F.when(F.col(f"target_{margin}") > 0, F.abs(F.col(f"_f_{margin}") - 1))))
-        cells = cut(cells, "cells")
-        worst = cells.agg(F.greatest(*off)).first()[0]
-        cells = cells.drop(*[f"_f_{m}" for m in MARGINS])
-        if worst is None or worst < TOLERANCE:
+    for margin in MARGINS:
+        ratio = F.try_divide(F.col("has"), F.col("target"))
+        needs = cells.groupBy(margin).agg(F.sum("tokens").alias("has"), F.max(f"target_{margin}").alias("target"))
+        least = needs.where("target > 0 and has > 0").agg(F.min(ratio)).first()[0]
+        if least is not None and least < budget * 1.01:
+            budget = min(budget, 0.99 * least)
+    p, first = F.least(F.lit(1.0), F.col("_x")), None
+    for share in (budget, budget / 2, budget / 4):
+        fitted = cells.withColumn("_x", F.lit(float(share)))
+        for _ in range(SWEEPS):
+            off = []
+            for margin in MARGINS:
+                now = F.sum(F.col("tokens") * p).over(Window.partitionBy(margin))
+                fitted = fitted.withColumn(f"_f_{margin}", F.coalesce(F.try_divide(F.col(f"target_{margin}") * share, now), F.lit(1.0)))
+                fitted = fitted.withColumn("_x", F.col("_x") * F.col(f"_f_{margin}"))
+                off.append(F.max(F.when(F.col(f"target_{margin}") > 0, F.abs(F.col(f"_f_{margin}") - 1))))
+            fitted = cut(fitted, "cells")
+            worst = fitted.agg(F.greatest(*off)).first()[0]
+            fitted = fitted.drop(*[f"_f_{m}" for m in MARGINS])
+            if worst is None or worst < TOLERANCE:
+                break
+        fitted = fitted.withColumn("probability", p).withColumn("budget", F.lit(float(share))).withColumn("weight", F.col("probability") / F.col("budget"))
+        first = fitted if first is None else first
+        if not margins(fitted).where("not reached").limit(1).count():
+            return fitted
+        if not fitted.where("_x >= 1").limit(1).count():
             break
-    return cells
-
-
-def calibrate(cells: DataFrame, budget: float) -> float:
-    """The factor on weights at which probabilities, none over 1, sample ``budget`` of all tokens."""
-    aim = budget * (cells.agg(F.sum("tokens")).first()[0] or 0)
-    factor = 0.0
-    while True:
-        full = F.col("weight") * factor >= 1
-        whole, part = cells.agg(F.sum(F.when(full, F.col("tokens"))), F.sum(F.when(~full, F.col("tokens") * F.col("weight")))).first()
-        if not part or aim <= (whole or 0):
-            return factor or 1.0
-        new = (aim - (whole or 0)) / part
-        if new <= factor * (1 + 1e-12):
-            return factor
-        factor = new
+    return first
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, targets: dict | None = None, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
@@ -83,9 +103,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     targets: per margin ("source", "lang", "topic") a share for each value. tokens are words; the topic is the shape of
     the text unless a column is given. Cells (source, language, topic) are summed before they are shuffled, so a source
-    with a third of all rows is no hot spot; raking and calibration touch cells alone. A document is kept if a number
-    drawn from its id and the seed is below its probability: weight times a factor at which the expected tokens are
-    ``budget`` of all, and at most 1.
+    with a third of all rows is no hot spot; raking touches cells alone. A document is kept if a number drawn from its id
+    and the seed is below its probability, which is at most 1 and at which every margin's expected tokens meet its
+    targets. Targets come before the budget: where ``budget`` of all tokens would need more of a value than there is,
+    fewer tokens are sampled. Targets that no budget tried reaches, as margins contradict each other, are named in a
+    warning; ``margins`` of the raked cells lists all. weight is probability / share of tokens sampled.
 
     Null sources, languages and topics are values like others. Null or empty text has no tokens and is drawn like the
     rest of its cell. Rows with the same id draw the same number. An empty table gives an empty result; other columns of
@@ -95,9 +117,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), (topic_of(text) if topic is None else topic).alias("topic"), words_in(text).alias("tokens"))
     own = cut(own, "mixing")
     cells = cut(own.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
-    fitted = rake(cells, targets or {})
-    factor = calibrate(fitted, budget)
-    rates = cut(fitted.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], "weight", F.least(F.lit(1.0), F.col("weight") * factor).alias("probability")), "fitted")
+    fitted = cut(rake(cells, targets or {}, budget), "fitted")
+    lost = margins(fitted).where("not reached").limit(20).collect()
+    if lost:
+        warnings.warn("targets out of reach: " + ", ".join(f"{r.margin} {r.value} ({r.expected:.0f} of {r.target:.0f} tokens)" for r in lost), stacklevel=2)
+    rates = fitted.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], "weight", "probability")
     out = join_small(own, rates, {m: f"_{m}" for m in MARGINS}, "inner")
     drawn = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     return out.select(F.col("id").alias(id_col), "source", "lang", "topic", "tokens", "weight", "probability", (drawn < F.col("probability")).alias("kept"))

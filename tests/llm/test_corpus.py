@@ -311,6 +311,26 @@ def test_calibrated_budget(spark):
     assert abs(expected / everything - 0.5) < 0.01 and abs(sampled / everything - 0.5) < 0.05
 
 
+def test_sampled_tokens_have_the_target_weights(spark):
+    rng = random.Random(12)
+    lang = lambda i: "en" if i % 20 else "de"
+    df = spark.createDataFrame([(i, words(rng, 20), lang(i), "ab"[i % 3 == 0]) for i in range(6000)], "doc_id long, text string, lang string, source string")
+    got = mixing.mix_sources(df, targets={"lang": {"en": 0.8, "de": 0.2}}, budget=0.8).toPandas()
+    kept = got[got.kept]
+    share = kept.groupby("lang").tokens.sum() / kept.tokens.sum()
+    assert abs(share["de"] - 0.2) < 0.02
+    expected = (got.tokens * got.probability).groupby(got.lang).sum()
+    assert abs(expected["de"] / expected.sum() - 0.2) < 0.001
+    assert 0.24 < expected.sum() / got.tokens.sum() <= 0.25
+
+
+def test_targets_out_of_reach_are_named(spark):
+    rng = random.Random(13)
+    df = spark.createDataFrame([(i, words(rng, 20), "en" if i % 2 else "de", "a" if i % 2 else "b") for i in range(40)], "doc_id long, text string, lang string, source string")
+    with pytest.warns(UserWarning, match="out of reach"):
+        mixing.mix_sources(df, targets={"lang": {"en": 0.9, "de": 0.1}, "source": {"a": 0.5, "b": 0.5}})
+
+
 def test_pipeline(spark, docs, nothing, tmp_path):
     import corpus_pipeline
 
