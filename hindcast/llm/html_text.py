@@ -28,8 +28,12 @@ CHROME_WORDS = frozenset(
     "dialog alert footer masthead menu menubar modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo "
     "promotion related recommended search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
-#: Width of the smoothing, in lines, and share of the best container's text that another must have to be kept too.
-SIGMA, SECOND = 1.5, 0.5
+#: Elements whose text counts as a block of the element around them.
+BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6".split())
+#: Width of the smoothing, in lines. Clusters are apart if the low mean is under this share of the high one.
+SIGMA, APART = 1.5, 0.5
+#: A marked article, or a block of the high cluster, is dropped if its mean ratio is under this share of the best one's or the cluster's.
+THIN = 0.1
 
 
 class Line:
@@ -90,7 +94,7 @@ class Events(HTMLParser):
             soft, container = f, container if container >= 0 else self.numbers
         elif tag == "header" and container >= 0 and not any(True for n, v in attrs if n in ("class", "id", "role")):
             f = False  # the heading of an article
-        self.open.append((tag, silent or s, hard or h, soft or f, container, parent if tag in INLINE or tag == "p" else self.numbers))
+        self.open.append((tag, silent or s, hard or h, soft or f, container, parent if tag in INLINE or tag in BLOCKS else self.numbers))
 
     def close_implied(self, tag: str) -> None:
         """A block ends an open paragraph; an item, cell or row ends the one before it."""
@@ -160,9 +164,9 @@ def main_text(html: str) -> str:
     """Blocks of the article in page order, joined by an empty line.
 
     Lines in menus, footers, asides, forms, notices, adverts and comments never count. The others get their smoothed
-    text-to-tag ratio. Where the page marks articles, the one with most weight is the content, with all its blocks, and
-    so are others of at least half its weight. Else two clusters of ratios part content from the rest, and blocks
-    between content blocks of the same parent go with them.
+    text-to-tag ratio. Where the page marks articles, they are the content, with all their blocks; only those whose mean
+    ratio is far under the best one's are not. Else two clusters of ratios part content from the rest, if they are
+    clearly apart, and all blocks of the same parents go with the content; else every block is content.
     """
     events = Events()
     events.feed(html)
@@ -172,22 +176,30 @@ def main_text(html: str) -> str:
     if not found:
         return ""
     usable = np.array([not line.chrome for _, line in found])
-    ratio = smoothed(np.array([len(text) / line.tags if ok else 0.0 for (text, line), ok in zip(found, usable, strict=True)]))
+    raw = np.array([len(text) / line.tags if ok else 0.0 for (text, line), ok in zip(found, usable, strict=True)])
+    ratio = smoothed(raw)
     weight: dict[int, float] = {}
+    length: dict[int, int] = {}
     for (text, line), ok, r in zip(found, usable, ratio, strict=True):
         if ok and line.container >= 0:
             weight[line.container] = weight.get(line.container, 0.0) + len(text) * float(r)
+            length[line.container] = length.get(line.container, 0) + len(text)
     if weight:
-        most = max(weight.values())
-        chosen = {c for c, w in weight.items() if w >= SECOND * most}
+        mean = {c: w / length[c] for c, w in weight.items()}
+        best = mean[max(weight, key=weight.get)]
+        chosen = {c for c, m in mean.items() if m >= THIN * best}
         return "\n\n".join(text for (text, line), ok in zip(found, usable, strict=True) if ok and line.container in chosen)
     if not usable.any():
         return ""
-    content = usable & (ratio >= threshold(ratio[usable]))
-    at = np.flatnonzero(content)
-    parents = {found[i][1].parent for i in at}
-    inside = np.arange(len(found))
-    content |= usable & (inside >= at[0]) & (inside <= at[-1]) & np.array([line.parent in parents for _, line in found])
+    high = ratio >= threshold(ratio[usable])
+    content, low = usable & high, raw[usable & ~high]
+    level = raw[content].mean()
+    if len(low) and low.mean() >= APART * level:
+        content = usable
+    else:  # a thin block beside a long one has a high smoothed ratio only
+        content = content & (raw >= THIN * level)
+    parents = {found[i][1].parent for i in np.flatnonzero(content)}
+    content = usable & np.array([line.parent in parents for _, line in found])
     return "\n\n".join(found[i][0] for i in np.flatnonzero(content))
 
 

@@ -291,6 +291,23 @@ def test_html_without_article():
     assert "Short." in text and text.count("\n\n") == 8 and "One" not in text and "Three" not in text
 
 
+def test_html_uneven_blocks_stay_whole():
+    def page(sizes):
+        return "<body><div>" + "".join(f"<p>{chr(97 + i) * n}</p>" for i, n in enumerate(sizes)) + "</div></body>"
+
+    for sizes in ([250, 300, 280, 320, 900, 310, 290, 270, 260], [300] * 5 + [6000] + [300] * 5, [20, 300, 320, 310, 300, 330, 15]):
+        assert html_text.main_text(page(sizes)).split("\n\n") == [chr(97 + i) * n for i, n in enumerate(sizes)]
+    menu = "<ul>" + "".join(f"<li><a href={i}>Link</a></li>" for i in range(8)) + "</ul>"
+    text = html_text.main_text(f"<body>{menu}<div><h2>Heading</h2>{'<p>' + 'word ' * 60 + '</p>'}<p>End.</p></div>{menu}</body>")
+    assert text.startswith("Heading") and text.endswith("End.") and "Link" not in text
+
+
+def test_html_keeps_each_marked_article():
+    articles = [("word " * n).strip() for n in (200, 40, 90)]
+    body = "".join(f"<article><p>{a}</p></article>" for a in articles)
+    assert html_text.main_text(f"<body>{body}</body>").split("\n\n") == articles
+
+
 def test_mixing(docs, nothing):
     topics = F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd")
     got = mixing.mix_sources(docs, topic=topics, targets={"lang": {"en": 0.6, "de": 0.4}}).toPandas()
