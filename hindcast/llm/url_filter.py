@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import cut, join_small, table
 
 #: (host, path prefix, verdict); a host stands for its subdomains too, and the longest rule wins.
-FIXED_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "allow"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+FIXED_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 BAD = "@bad"
 #: Share of the labelled urls that a token combination must occur in, least confidence and least lift of a rule.
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 0.6, 1.5

@@ -188,7 +188,7 @@ def test_url_rules(spark, nothing):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(pages, labels).collect()}
     assert got[0] == ("m.example.org", "/es/1", "example.org/es/", "block")
-    assert got[1] == ("x.example.org", "/en/12", "example.org/en/1", "allow")
+    assert got[1] == ("x.example.org", "/en/12", "example.org/en/1", "block")
     assert got[2] == ("a.org", "", None, "allow") and got[3] == ("a.org", "/", "org/", "allow")
     assert got[4] == ("sub.foo.com", "/de/3", "com/de/", "block") and got[5] == ("", "", None, "allow") and got[6] == ("", "", None, "allow")
     assert got[7] == ("notexample.org", "/es/", "org/", "allow") and got[8][:3] == ("u@b.com:80", "/fr/", None)
