@@ -6,16 +6,19 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that cache small tables)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that separates words, as a regular-expression class; the same in Java, RE2 and Python.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Keys that may be broadcast: each costs some tens of bytes, so this is some 40 MB on an executor.
-BROADCAST_KEYS = 400_000
+#: Bytes that may be broadcast, as counted rows times the bytes of a row; beyond that both sides of a join shuffle.
+BROADCAST_BYTES = 24 << 20
+#: Bytes of a row in a broadcast hash table besides its values.
+ROW_BYTES = 48
 
 _own_dir: list[str] = []
+#: Paths of cut tables that are not yet deleted, by the DataFrame's path.
+_written: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,11 +44,39 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there, and a lost executor loses nothing."""
+    """Write df to the shared folder and read it back: the lineage ends there, and a lost executor loses nothing.
+
+    The table stays until ``forget`` gets it or the driver's Python ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete cut tables that nothing reads any more: all that came from them has been cut or collected since."""
+    for df in tables:
+        _delete(df.cut_path)
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path, None)
+    if spark is not None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path in list(_written):
+        try:
+            _delete(path)
+        except Exception:  # the session is gone: whoever owns the folder clears it  # noqa: BLE001
+            return
 
 
 def let(value: Column, body) -> Column:
@@ -62,11 +93,16 @@ def match_null_safe(left: DataFrame, right: DataFrame, keys: dict[str, str]) ->
 
 
 def join_small(big: DataFrame, small: DataFrame, keys: dict[str, str], how: str) -> DataFrame:
-    """Join on null-safe keys; small is broadcast only if its counted rows are few, else both sides shuffle.
+    """Join on null-safe keys; small is broadcast only if its counted bytes are few, else both sides shuffle.
 
-    small should be a cut table: it is counted first.
+    small should be a cut table: it is counted first, and its strings are summed.
     """
-    few = small.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    texts = [f.name for f in small.schema if f.dataType.simpleString() in ("string", "binary")]
+    fixed = ROW_BYTES + 16 * len(small.columns)
+    size = F.count(F.lit(1)) * fixed
+    for name in texts:
+        size = size + F.coalesce(F.sum(F.octet_length(name)), F.lit(0))
+    few = small.agg(size).first()[0] <= BROADCAST_BYTES
     return big.join(F.broadcast(small) if few else small, match_null_safe(big, small, keys), how)
 
 

@@ -1,7 +1,7 @@
 """Repeated windows across and inside documents: what byte-level and word-level substring dedup share.
 
 1. One pass over the texts emits *segments* (runs of windows with one anchor, see windows.py), some 1 % to 7 % as many
-   as windows.
+   as windows. A sieve, where there is one, holds back those that it knows to occur once.
 2. Segments whose anchor occurs once in the corpus hold no repeated window and go.
 3. Segments equal as a whole are grouped, with counts added before the shuffle: a passage that many documents share
    becomes few rows. All their windows are repeated.
@@ -18,17 +18,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import windows as W
-from .common import cut, join_small, shuffle_width
+from .common import cut, forget, join_small, shuffle_width
 
 #: Different segments of an anchor beyond which its windows are grouped one by one instead of in one task's memory.
 HOT_ANCHOR = 1_000
-#: Bytes of segments that one task holds at a time, and that a partition should have.
-BLOCK_BYTES = 4 << 20
+#: Bytes of segments that a task compares at a time, and that a partition should have.
+BLOCK_BYTES, PARTITION_BYTES = 1 << 20, 4 << 20
 
 
 @dataclass(frozen=True)
@@ -57,8 +58,11 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.n
     return at, data
 
 
-def scan(docs: DataFrame, unit: Unit) -> DataFrame:
-    """docs (id, th, text) to rows of two kinds: per document n and sha (of all that there is), per segment the rest."""
+def scan(docs: DataFrame, unit: Unit, sieve: Callable | None = None) -> DataFrame:
+    """docs (id, th, text) to rows of two kinds: per document n and sha (of all that there is), per segment the rest.
+
+    sieve(anchors) says which segments may have repeated windows.
+    """
     id_type = docs.schema["id"].dataType
     schema = T.StructType([T.StructField("id", id_type), *[T.StructField(n, T.LongType()) for n in ("th", "n")], T.StructField("sha", T.StringType()), *[T.StructField(n, T.LongType()) for n in ("anchor", "segment")], *[T.StructField(n, T.IntegerType()) for n in ("start", "windows")]])
 
@@ -75,7 +79,11 @@ def scan(docs: DataFrame, unit: Unit) -> DataFrame:
                 n.extend(np.diff(own).tolist())
                 for i in range(first, last):
                     sha.append(hashlib.sha256(unit.kept(data[at[i] : at[i + 1]].tobytes(), [])).hexdigest())
-                text, start, count, anchor, segment = W.segments(symbols, own, unit.window, unit.gram)
+                found = W.segments(symbols, own, unit.window, unit.gram)
+                if sieve is not None:
+                    stay = sieve(found[3])
+                    found = tuple(x[stay] for x in found)
+                text, start, count, anchor, segment = found
                 k = len(text)
                 if k:
                     pick = pa.array(text + first)
@@ -90,8 +98,12 @@ def scan(docs: DataFrame, unit: Unit) -> DataFrame:
 
 def repeated_anchors(segments: DataFrame) -> DataFrame:
     """The segments whose anchor occurs twice or more."""
-    twice = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c >= 2").select(F.col("anchor").alias("_a"))
-    return segments.join(twice, segments["anchor"] == twice["_a"]).drop("_a")
+    counts = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"))
+    # written before the join, so that the join alone makes its stage and an anchor with very many segments can be split
+    twice = cut(counts.where("c >= 2").select(F.col("anchor").alias("_a")), "anchors")
+    shared = cut(join_small(segments, twice, {"anchor": "_a"}, "left_semi"), "shared")
+    forget(twice)
+    return shared
 
 
 def examples(work: DataFrame, unit: Unit, payload: Callable) -> DataFrame:
@@ -117,7 +129,7 @@ def examples(work: DataFrame, unit: Unit, payload: Callable) -> DataFrame:
                     hashes = W.Spans(part).all(unit.window).view(np.int64) if w["hot"] or unit.words else None
                     rows.append((i, w["anchor"], start, n, None if w["hot"] else payload(text, hashes, start, n), hashes if w["hot"] else None))
                     size += n * 8 if unit.words or w["hot"] else n + unit.window
-                if size > BLOCK_BYTES or (i == len(wanted) - 1 and rows):
+                if size > PARTITION_BYTES or (i == len(wanted) - 1 and rows):
                     who, anchor, start, n, content, hashes = zip(*rows, strict=True)
                     pick = pa.array(who, pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), batch.column(0).take(pick), batch.column(1).take(pick), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(content, pa.binary()), pa.array(hashes, pa.list_(pa.int64()))], names=schema.names)
@@ -130,7 +142,7 @@ def compare(found: DataFrame, flags: Callable, keep_first: bool) -> DataFrame:
     """Rows sorted by anchor to the ranges (id, th, start, end) of windows that another segment or place has too.
 
     flags(contents, windows, groups) gives (has an earlier match, has a later match) for every window; a block holds
-    whole anchors, at most HOT_ANCHOR segments more than BLOCK_BYTES.
+    whole anchors, at most those that begin in BLOCK_BYTES.
     """
     id_type = found.schema["id"].dataType
     schema = T.StructType([T.StructField("id", id_type), T.StructField("th", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -149,6 +161,18 @@ def compare(found: DataFrame, flags: Callable, keep_first: bool) -> DataFrame:
         pick, s = pa.array(r), start[r] + offset[edge]
         return pa.RecordBatch.from_arrays([block.column("id").combine_chunks().take(pick), block.column("th").combine_chunks().take(pick), pa.array(s.astype(np.int32)), pa.array((s + stop - edge).astype(np.int32))], names=schema.names)
 
+    def blocks(whole: pa.Table, last: bool) -> tuple[list[pa.Table], pa.Table]:
+        """Blocks of whole anchors, and the rows that are held back as their anchor may go on."""
+        anchor = whole.column("anchor").to_numpy()
+        edge = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1], [last])))
+        size = np.concatenate(([0], np.cumsum(pc.binary_length(whole.column("content")).to_numpy(), dtype=np.int64)))
+        out, first = [], 0
+        for at in edge[1:].tolist():
+            if size[at] - size[first] >= BLOCK_BYTES or at == edge[-1]:
+                out.append(whole.slice(first, at - first))
+                first = at
+        return out, whole.slice(first).combine_chunks()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
@@ -156,17 +180,12 @@ def compare(found: DataFrame, flags: Callable, keep_first: bool) -> DataFrame:
                 continue
             held.append(batch)
             size += batch.nbytes
-            if size < BLOCK_BYTES:
-                continue
-            whole = pa.Table.from_batches(held)
-            anchor = whole.column("anchor").to_numpy()
-            last = int(np.searchsorted(anchor, anchor[-1], "left"))
-            if last:
-                yield judge(whole.slice(0, last))
-            rest = whole.slice(last).combine_chunks()
-            held, size = rest.to_batches(), rest.nbytes if last else 0
+            if size >= BLOCK_BYTES:
+                ready, rest = blocks(pa.Table.from_batches(held), False)
+                yield from map(judge, ready)
+                held, size = rest.to_batches(), 0
         if held:
-            yield judge(pa.Table.from_batches(held))
+            yield from map(judge, blocks(pa.Table.from_batches(held), True)[0])
 
     return found.mapInArrow(run, schema)
 
@@ -200,27 +219,28 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def repeated_windows(docs: DataFrame, unit: Unit, prefilter: Callable, payload: Callable, flags: Callable, keep_first: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs (id, th, text) to (summaries, fetched texts, spans), all cut.
+def repeated_windows(docs: DataFrame, unit: Unit, prefilter: Callable, payload: Callable, flags: Callable, keep_first: bool = False, sieve: Callable | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs (id, th, text) to (scanned, fetched texts, spans), all cut.
 
-    summaries: id, th, n, sha of every row. spans: id, th and the ranges of window starts to remove. th is a hash of the
-    text, so that rows which share an id by mistake are kept apart.
+    scanned: id, th, n, sha of every row, besides rows without n. spans: id, th and the ranges of window starts to
+    remove. th is a hash of the text, so that rows which share an id by mistake are kept apart.
     """
-    scanned = cut(scan(docs, unit), "scan")
-    summaries = scanned.where(F.col("n").isNotNull()).select("id", "th", "n", "sha")
-    segments = scanned.where(F.col("anchor").isNotNull()).select("id", "th", "anchor", "segment", "start", "windows")
-    shared = cut(prefilter(segments), "shared")
+    scanned = cut(scan(docs, unit, sieve), "scan")
+    shared = prefilter(scanned.where(F.col("anchor").isNotNull()).select("id", "th", "anchor", "segment", "start", "windows"))
     place = F.struct("id", "th", "start", "windows")
     kinds = cut(shared.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first")), "kinds")
-    anchors = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k >= 2")
-    mixed = kinds.join(anchors, "anchor").select("anchor", "first.*", (F.col("k") > HOT_ANCHOR).alias("hot"))
+    anchors = cut(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k >= 2"), "anchors")
+    most = min(HOT_ANCHOR, BLOCK_BYTES // (2 * unit.window))
+    mixed = kinds.join(anchors, "anchor").select("anchor", "first.*", (F.col("k") > most).alias("hot"))
     wanted = cut(mixed.groupBy("id", "th").agg(F.collect_list(F.struct("anchor", "start", "windows", "hot")).alias("wanted")), "wanted")
-    copies = kinds.where("c >= 2").select("anchor", "segment", *([F.col("first")] if keep_first else []))
-    full = shared.join(copies, ["anchor", "segment"])
+    copies = cut(kinds.where("c >= 2").select(F.col("anchor").alias("_a"), F.col("segment").alias("_s"), *([F.col("first")] if keep_first else [])), "copies")
+    # a shuffle on both keys alone: very many copies of one segment are split by adaptive execution
+    full = shared.join(copies, (shared["anchor"] == copies["_a"]) & (shared["segment"] == copies["_s"]))
     if keep_first:
         full = full.where(~place.eqNullSafe(F.col("first")))
     full = full.groupBy("id", "th").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("windows")).alias("end"))).alias("spans"))
     full = cut(full, "full")
+    forget(kinds, anchors, copies, shared)
     keys = cut(wanted.select("id", "th").union(full.select("id", "th")).distinct().withColumnsRenamed({"id": "_i", "th": "_t"}), "keys")
     fetched = cut(join_small(docs, keys, {"id": "_i", "th": "_t"}, "left_semi"), "texts")
 
@@ -228,7 +248,7 @@ def repeated_windows(docs: DataFrame, unit: Unit, prefilter: Callable, payload:
     work = fetched.join(asked, fetched["id"].eqNullSafe(asked["_i"]) & (fetched["th"] == asked["_t"])).drop("_i", "_t")
     found = cut(examples(work, unit, payload), "examples")
     size = found.agg(F.sum(F.octet_length("content"))).first()[0] or 0
-    parts = max(shuffle_width(docs.sparkSession), -(-size // BLOCK_BYTES))
+    parts = max(shuffle_width(docs.sparkSession), -(-size // PARTITION_BYTES))
     cold = found.where(F.col("content").isNotNull()).select("anchor", "id", "th", "start", "windows", "content")
     cold = compare(cold.repartition(parts, "anchor").sortWithinPartitions("anchor", "id", "th", "start"), flags, keep_first)
 
@@ -239,18 +259,21 @@ def repeated_windows(docs: DataFrame, unit: Unit, prefilter: Callable, payload:
     warm = (warm.where(~spot.eqNullSafe(F.col("first"))) if keep_first else warm).select("id", "th", "start", (F.col("start") + 1).alias("end"))
 
     partial = cold.union(warm).groupBy("id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    spans = full.union(partial).groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    return summaries, fetched, cut(spans, "spans")
+    spans = cut(full.union(partial).groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
+    forget(wanted, keys, found, full)
+    return scanned, fetched, spans
 
 
-def substring_dedup(docs: DataFrame, id_col: str, text_col: str, unit: Unit, prefilter: Callable, payload: Callable, flags: Callable, keep_first: bool) -> DataFrame:
-    """id, n, n_removed, n_spans, sha for every input row."""
+def substring_dedup(docs: DataFrame, id_col: str, text_col: str, unit: Unit, prefilter: Callable, payload: Callable, flags: Callable, keep_first: bool, sieve: Callable | None = None) -> DataFrame:
+    """id, n, n_removed, n_spans, sha for every input row. sieve(docs) makes a sieve for scan()."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    summaries, fetched, spans = repeated_windows(docs, unit, prefilter, payload, flags, keep_first)
-    spans = spans.withColumnsRenamed({"id": "_i", "th": "_t"})
-    work = fetched.join(spans, fetched["id"].eqNullSafe(spans["_i"]) & (fetched["th"] == spans["_t"])).drop("_i", "_t")
+    scanned, fetched, spans = repeated_windows(docs, unit, prefilter, payload, flags, keep_first, sieve(docs) if sieve else None)
+    ranges = spans.withColumnsRenamed({"id": "_i", "th": "_t"})
+    work = fetched.join(ranges, fetched["id"].eqNullSafe(ranges["_i"]) & (fetched["th"] == ranges["_t"])).drop("_i", "_t")
     done = cut(apply_spans(work, unit).dropDuplicates(["id", "th"]).withColumnsRenamed({"id": "_i", "th": "_t", "sha": "_sha"}), "applied")
+    forget(fetched, spans)
+    summaries = scanned.where(F.col("n").isNotNull()).select("id", "th", "n", "sha")
     out = join_small(summaries, done, {"id": "_i", "th": "_t"}, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n"), zero("n_removed"), zero("n_spans"), F.coalesce("_sha", "sha").alias("kept_sha256"))

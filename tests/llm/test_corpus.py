@@ -62,6 +62,60 @@ def test_substring_dedup(docs, nothing):
     assert substring_dedup.count_min_dedup(nothing).count() == 0
 
 
+def test_whole_tables_at_the_real_window(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    own = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = suffix_dedup.suffix_dedup(docs)
+    assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.substring(own, suffix_dedup.WINDOW, False)
+    got = substring_dedup.count_min_dedup(docs)
+    assert rows(got, "doc_id", "n_words", "n_removed", "n_spans", "kept_sha256") == brute.substring(own, substring_dedup.WINDOW, True)
+
+
+def test_longest_previous_factors():
+    import numpy as np
+
+    rng = random.Random(3)
+    for window in (3, 8, 10, 24, 60, 100):
+        text = bytes(rng.choice(b"ab") for _ in range(30))
+        text = b"".join(text[rng.randrange(30) :] for _ in range(25))
+        starts = np.array(sorted(rng.sample(range(len(text) - window + 1), 90)))
+
+        def common(a, b, text=text, window=window):
+            return next((k for k in range(window) if text[a + k] != text[b + k]), window)
+
+        lpf, follow = suffix_dedup.previous_factors(np.frombuffer(text, dtype=np.uint8), starts, window)
+        for i, s in enumerate(starts):
+            assert lpf[i] == max((common(s, x) for x in starts[:i]), default=0)
+            assert (follow[i] >= window) == any(common(s, x) >= window for x in starts[i + 1 :])
+
+
+def test_count_min_never_estimates_too_low(spark):
+    import numpy as np
+
+    unit = substring_dedup.Unit(True, 12, 6)
+    own = spark.createDataFrame([(t or "",) for _, t in pairs()], "text string").repartition(3)
+    sieve = substring_dedup.count_min_sieve(own, unit)
+    from hindcast.llm import windows
+
+    anchors = []
+    for _, t in pairs():
+        data = np.frombuffer((t or "").encode(), dtype=np.uint8)
+        symbols, at = windows.word_hashes(data, np.array([0, len(data)]))
+        anchors.append(windows.segments(symbols, at, 12, 6)[3])
+    anchors = np.concatenate(anchors)
+    each, n = np.unique(anchors, return_counts=True)
+    said = sieve(each)
+    assert said[n > 1].all() and said[n == 1].mean() < 0.05
+
+
+def test_blocks_hold_whole_anchors(docs, monkeypatch):
+    from hindcast.llm import repeats
+
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 2_000)
+    got = suffix_dedup.suffix_dedup(docs, window=60)
+    assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.substring(pairs(), 60, False)
+
+
 def test_hot_anchors_go_through_single_windows(docs, monkeypatch):
     from hindcast.llm import repeats
 
