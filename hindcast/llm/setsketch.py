@@ -9,9 +9,9 @@ from . import windows as W
 SHINGLE = 5
 #: Registers, rows of a band; base, rate and largest value of the registers (16 bits).
 REGISTERS, ROWS = 160, 4
+BANDS = REGISTERS // ROWS
 BASE_B, RATE_A, TOP_Q = 1.001, 20.0, (1 << 16) - 2
 _factors = W._rng.integers(0, W.MASK64, REGISTERS, dtype=np.uint64, endpoint=True) | np.uint64(1)
-_band_salt = W.mix(np.arange(1, REGISTERS // ROWS + 1, dtype=np.uint64))
 #: Similarities among which the likelihood is maximised.
 GRID = np.linspace(0, 1, 41)
 
@@ -42,15 +42,6 @@ def registers(elements: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE_B)), 0, TOP_Q + 1).astype(np.uint16)
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    """A key for each run of ROWS registers, from their values and the run's number."""
-    packed = regs.reshape(-1, ROWS).astype(np.uint64)
-    key = np.zeros(len(packed), dtype=np.uint64)
-    for i in range(ROWS):
-        key = (key << np.uint64(16)) | packed[:, i]
-    return W.mix(key ^ _band_salt)
-
-
 def may_link(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float, ratio: float = 18.0) -> np.ndarray:
     """Pairs (rows of a and b) whose similarity may reach `least`, by joint maximum likelihood.
 

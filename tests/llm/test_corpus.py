@@ -170,6 +170,28 @@ def test_near_dedup_large_group_in_parts(spark, monkeypatch):
     assert rows(got, "doc_id", "n_shingles", "component_id", "kept") == brute.near(texts)
 
 
+def test_near_dedup_on_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    own = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert rows(near_dedup.near_dedup(docs), "doc_id", "n_shingles", "component_id", "kept") == brute.near(own)
+
+
+def test_near_dedup_of_nodes_that_stars_leave_apart(spark, monkeypatch):
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for i in range(90):  # drifts away from the first text, so that a band's hub links few of its nodes
+        at = (7 * i) % 76
+        base = base[:at] + [f"x{i}"] + base[at + 1 :]
+        texts.append((i, " ".join(base)))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = brute.near(texts)
+    for part in (500, 3):
+        monkeypatch.setattr(near_dedup, "PART", part)
+        assert rows(near_dedup.near_dedup(docs), "doc_id", "n_shingles", "component_id", "kept") == want
+
+
 def test_components_of_edges_that_change_when_computed_again(spark):
     import os
 
