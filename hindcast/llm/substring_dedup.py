@@ -104,7 +104,7 @@ def count_min_sieve(docs: DataFrame, unit: Unit, most: int = MOST_CELLS) -> Call
     bits = sketch_bits(size, most)
     each = 1 << (BLOCK_BITS - 3)
     rows = [np.zeros(1 << (bits - 3), dtype=np.uint8) for _ in range(DEPTH)]
-    for block, part in merged_sketch(partial_sketches(docs, unit, bits)).toLocalIterator():
+    for block, part in merged_sketch(partial_sketches(docs, unit, bits)).collect():  # at most DEPTH * most bits
         row, number = divmod(block, 1 << (bits - BLOCK_BITS))
         rows[row][number * each : (number + 1) * each] = np.frombuffer(part, dtype=np.uint8)
     sent = spark.sparkContext.broadcast(rows)
