@@ -22,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_url_filter": url_filter.url_sql(),
         "op5_quality_rules": quality_rules.quality_sql(),
         "op10_exact_dedup": exact_dedup.OP10_SQL,
     }

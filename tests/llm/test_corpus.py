@@ -271,16 +271,94 @@ def test_url_rules(spark, nothing):
     assert got[9] == ("y:", "//org/", None, "allow") and got[10] == ("", "", None, "allow")
 
 
-def test_mined_url_rules(spark):
+def url_table(spark):
     rows_ = []
     for i in range(400):
         host, path = ("spam.net", "/win/") if i % 4 == 0 else ("good.net", "/win/") if i % 4 == 1 else ("spam.net", "/news/") if i % 4 == 2 else ("good.net", "/news/")
         rows_.append((i, f"http://{host}{path}{i}", 0 if i % 4 == 0 else 1))
-    df = spark.createDataFrame(rows_, "page_id long, url string, quality int")
+    return spark.createDataFrame(rows_, "page_id long, url string, quality int")
+
+
+def test_mined_url_rules(spark):
+    df = url_table(spark)
     labels = df.select(F.col("page_id").alias("doc_id"), "quality", F.lit(None).cast("int").alias("toxic"))
     got = url_filter.url_filter(df.select("page_id", "url"), labels, fixed=())
     assert {(r.page_id % 4 == 0, r.verdict) for r in got.collect()} == {(True, "block"), (False, "allow")}
     assert {r.mined_rule for r in got.where("verdict = 'block'").collect()} == {"h:spam.net p:win"}
+    few = labels.where("doc_id < 76")  # 19 bad pages: one too few for a rule
+    assert not url_filter.url_filter(df, few, fixed=()).where("verdict = 'block'").count()
+    assert url_filter.url_filter(df, labels.where("doc_id < 80"), fixed=()).where("verdict = 'block'").count() == 100
+
+
+def brute_url_rules(pages, labels):
+    """Verdict per (page_id, url): every combination of up to three tokens is counted."""
+    import re
+    from itertools import combinations
+
+    def parts(url):
+        m = re.match(r"(?s:.*?)://([^/?#]*)([^?#]*)(?:\?([^#]*))?", url or "")
+        return (m[1].lower(), m[2], m[3] or "") if m else ("", "", "")
+
+    def tokens(url):
+        host, path, query = parts(url)
+        if not host:
+            return frozenset()
+        labels_ = host.split(".")
+        out = {"h:" + ".".join(labels_[i:]) for i in range(max(len(labels_) - 1, 1))}
+        out |= {"p:" + x for x in re.sub(r"\.[A-Za-z0-9]*\Z", "", path).split("/") if x and not re.fullmatch("[0-9]+", x)}
+        out |= {"q:" + x.split("=")[0] for x in query.split("&") if x}
+        end = re.search(r"\.([A-Za-z0-9]+)\Z", path)
+        return frozenset(out | ({"e:" + end[1]} if end else set()))
+
+    baskets = [(tokens(u), q == 0 or t == 1) for p, u in pages for d, q, t in labels if p == d and tokens(u)]
+    n, k = {}, {}
+    often = {x for x in set().union(*(own for own, _ in baskets)) if sum(x in own and bad for own, bad in baskets) >= 20}
+    for own, bad in baskets:
+        for size in (1, 2, 3):
+            for c in combinations(sorted(own & often), size):
+                n[c], k[c] = n.get(c, 0) + 1, k.get(c, 0) + bad
+    base = sum(bad for _, bad in baskets) / max(len(baskets), 1)
+    rules = {}
+    for c in n:
+        p, z = k[c] / n[c], url_filter.Z
+        low = (p + z * z / (2 * n[c]) - z * (p * (1 - p) / n[c] + z * z / (4 * n[c] ** 2)) ** 0.5) / (1 + z * z / n[c])
+        if k[c] >= max(20, 0.002 * len(baskets)) and low >= 0.6 and p / base >= 1.5:
+            rules[c] = p
+    out = []
+    for p, u in pages:
+        host, path, _ = parts(u)
+        rule = max((r for r in url_filter.FIXED_RULES if (host == r[0] or host.endswith("." + r[0])) and path.startswith(r[1])), key=lambda r: (len(r[0] + r[1]), len(r[0])), default=None)
+        hit = any(set(c) <= tokens(u) for c in rules)
+        out.append((p, host, path, rule and rule[0] + rule[1], rule[2] if rule else "block" if hit else "allow"))
+    return sorted(out, key=str)
+
+
+def test_url_rules_against_brute_force_and_sql(spark):
+    import duckdb
+
+    rng = random.Random(17)
+    pages = []
+    for i in range(900):
+        host = rng.choice(["Spam.net", "a.spam.net", "good.net", "en.example.org", "b.com", "x.org"])
+        path = rng.choice(["/win/", "/news/", "/fr/", "/de/", "/en/1", "/es/", ""]) + rng.choice(["", "7", "a.html", "b.php"])
+        pages.append((i, f"https://{host}{path}" + rng.choice(["", "?q=1&ref=2", "#x"])))
+    pages += [(900, None), (901, "no host"), (3, pages[3][1]), (None, "http://good.net/win/"), (902, "http://" + "long." * 500 + "net/" + "deep/" * 500)]
+    label = lambda u: int("pam.net" in u and "/win/" in u and rng.random() < 0.97)
+    labels = [(p, 1 - label(u), rng.choice([0, 0, 0, 0, None])) for p, u in pages if p is not None and u and p % 3] + [(5, None, None), (6, 1, 0), (6, 1, 0)]
+    df = spark.createDataFrame(pages, "page_id long, url string").withColumn("quality", F.lit("x")).withColumn("rule", F.lit(1)).withColumn("host", F.lit("h"))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("page_id", F.lit("y"))
+    want = brute_url_rules(pages, labels)
+    assert {r[4] for r in want if r[3] is None} == {"block", "allow"}
+    got = url_filter.url_filter(df, lab)
+    assert sorted((tuple(r) for r in got.select("page_id", "host", "path", "rule", "verdict").collect()), key=str) == want
+    con = duckdb.connect()
+    con.register("pages", df.select("page_id", "url").toPandas())
+    con.execute("CREATE TABLE labels (doc_id BIGINT, quality INT, toxic INT)")
+    con.executemany("INSERT INTO labels VALUES (?, ?, ?)", labels)
+    con.execute("CREATE TABLE p2 AS SELECT CAST(page_id AS BIGINT) AS page_id, url FROM pages")
+    sql = con.sql(url_filter.url_sql("p2")).project("page_id, host, path, rule, verdict, mined_rule").fetchall()
+    assert sorted(map(str, sql)) == sorted(str(tuple(r)) for r in got.select("page_id", "host", "path", "rule", "verdict", "mined_rule").collect())
+    assert url_filter.url_filter(df.limit(0), lab).count() == 0
 
 
 def test_packing(docs, nothing):
