@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import wide_table
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is no text of the page.
@@ -221,4 +221,4 @@ def html_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 
 def op7_html_text(spark, sf_dir: str) -> DataFrame:
-    return html_text(table(spark, sf_dir, "pages"))
+    return html_text(wide_table(spark, sf_dir, "pages"))

@@ -7,7 +7,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, join_small, table
+from .common import SPACE, cut, join_small, wide_table
 
 #: Without given targets, a margin's shares are its token shares to this power, scaled to one: rare values gain.
 TEMPER = 0.7
@@ -128,4 +128,4 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"))
+    return mix_sources(wide_table(spark, sf_dir, "documents"))

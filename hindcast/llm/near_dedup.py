@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from . import setsketch as S
 from . import windows as W
-from .common import cut, forget, join_small, table
+from .common import cut, forget, join_small, wide_table
 
 #: Two texts link if 100 * shared >= LEAST * all shingles.
 LEAST = 75
@@ -319,4 +319,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents"))
+    return near_dedup(wide_table(spark, sf_dir, "documents"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import cut, wide_table
 
 CAPACITY, END_ID = 2048, 0
 #: Lengths over this share of the capacity are large: they are grouped and rounded up. GROUPS: sizes that are left.
@@ -268,4 +268,4 @@ def default_tokenizer(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op3_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    return best_fit_packing(table(spark, sf_dir, "documents"), default_tokenizer())
+    return best_fit_packing(wide_table(spark, sf_dir, "documents"), default_tokenizer())

@@ -1,7 +1,7 @@
 """Quality rules with adaptive thresholds. DataFrame operations only.
 
 Per document some counts are taken; per language and source a quantile sketch of each measure is kept, and the cut-off
-of a measure is a fence around the quartiles that the sketch gives, instead of one number for all.
+of a measure is a fence beyond the quantiles that the sketch gives, instead of one number for all.
 """
 
 from __future__ import annotations
@@ -9,20 +9,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, let, table
+from .common import SPACE, cut, let, wide_table
 
 SYMBOLS = "#*$%&|<>"
-#: Measures, as whole numbers: (name, numerator, denominator, scale, lower fence too, least spread, floor, ceiling).
-#: A cut-off above is max(floor, min(ceiling, q75 + spread)), below q25 - spread; spread = max(least, FENCE * (q75 - q25)).
-FENCE = 4
+#: Measures, as whole numbers: (name, numerator, denominator, scale, tail, fence, least spread, floor, ceiling, below too).
+#: A document is cut off if its measure is over high + spread, where high leaves `tail` per cent of its group above it
+#: and spread is max(least spread, fence * (high - median)); below too, if it is under the same on the other side. The
+#: tail is what a group may hold of such junk. Floor and ceiling only guard groups in which all values are alike.
 MEASURES = (
-    ("symbols", "n_symbols", "word_chars", 10_000, False, 0, 500, 2_000),
-    ("dup_lines", "n_dup_lines", "n_lines", 10_000, False, 0, 5_000, 7_000),
-    ("repeats", "n_repeat_words", "n_words", 10_000, False, 0, 1_900, 2_000),
-    ("word_len", "word_chars", "n_words", 100, True, 400, 0, 10_000),
+    ("symbols", "n_symbols", "word_chars", 10_000, 25, 4, 0, 100, 2_000, False),
+    ("dup_lines", "n_dup_lines", "n_lines", 10_000, 1, 1, 0, 500, 5_000, False),
+    ("repeats", "n_repeat_words", "n_words", 10_000, 1, 1, 0, 200, 2_000, False),
+    ("word_len", "word_chars", "n_words", 100, 25, 10, 100, 0, 10_000, True),
 )
 #: A language and source with fewer documents takes the sketch of its language, one with fewer still that of all.
-LEAST_DOCS = 50
+LEAST_DOCS = 100
+
+
+def percents(tail: int, below: bool) -> tuple[int, ...]:
+    """The percentiles that a fence needs."""
+    return (tail, 50, 100 - tail) if below else (50, 100 - tail)
 
 
 def repeated_words(words: Column, window: int = 5) -> Column:
@@ -89,31 +95,30 @@ def sketches(features: DataFrame) -> DataFrame:
     return rows.groupBy("_lang", "_source", "measure", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: documents, and the lower and upper quartile of each measure."""
+def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: documents, and the percentiles that each measure needs."""
     merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     part = Window.partitionBy(*keys, "measure")
     ranked = merged.withColumn("upto", F.sum("n").over(part.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(part))
-    at = lambda m, q: F.min(F.when((F.col("measure") == m) & (4 * F.col("upto") >= q * F.col("all")), F.col("bucket")))
-    aggs = [F.max("all").alias("docs")] + [f(at(m[0], q)).alias(f"{m[0]}_q{q}") for m in MEASURES for q, f in ((1, bucket_top), (3, bucket_top))]
+    at = lambda m, q: F.min(F.when((F.col("measure") == m) & (100 * F.col("upto") >= q * F.col("all")), F.col("bucket")))
+    aggs = [F.max("all").alias("docs")] + [bucket_top(at(m[0], q)).alias(f"{m[0]}_q{q}") for m in MEASURES for q in percents(m[4], m[9])]
     return ranked.groupBy(*keys).agg(*aggs)
 
 
 def thresholds(sketch: DataFrame, least_docs: int) -> DataFrame:
     """(lang, source): lower and upper cut-off of each measure, from its own sketch or, if that is thin, a merged one."""
-    own, lang, everything = quartiles(sketch, ["_lang", "_source"]), quartiles(sketch, ["_lang"]), quartiles(sketch, [])
+    own, lang, everything = quantiles(sketch, ["_lang", "_source"]), quantiles(sketch, ["_lang"]), quantiles(sketch, [])
     cols = [c for c in own.columns if c not in ("_lang", "_source")]
     lang = lang.select(F.col("_lang").alias("_l"), *[F.col(c).alias(f"l_{c}") for c in cols])
     everything = everything.select(*[F.col(c).alias(f"a_{c}") for c in cols])
-    # one row: the quartiles over all rows
+    # one row: the quantiles over all rows
     both = own.join(lang, own["_lang"].eqNullSafe(lang["_l"])).join(F.broadcast(everything))
     pick = lambda c: F.when(F.col("docs") >= least_docs, F.col(c)).when(F.col("l_docs") >= least_docs, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
     out = []
-    for name, _, _, _, low, least, floor, ceiling in MEASURES:
-        q1, q3 = pick(f"{name}_q1"), pick(f"{name}_q3")
-        spread = F.greatest(F.lit(least), FENCE * (q3 - q1))
-        out.append(F.greatest(F.lit(floor), F.least(F.lit(ceiling), q3 + spread)).cast("long").alias(f"{name}_max"))
-        out.append((q1 - spread if low else F.lit(0)).cast("long").alias(f"{name}_min"))
+    for name, _, _, _, tail, fence, least, floor, ceiling, below in MEASURES:
+        low, mid, high = pick(f"{name}_q{tail}") if below else None, pick(f"{name}_q50"), pick(f"{name}_q{100 - tail}")
+        out.append(F.greatest(F.lit(floor), F.least(F.lit(ceiling), high + F.greatest(F.lit(least), fence * (high - mid)))).cast("long").alias(f"{name}_max"))
+        out.append((low - F.greatest(F.lit(least), fence * (mid - low)) if below else F.lit(0)).cast("long").alias(f"{name}_min"))
     return both.select("_lang", "_source", *out)
 
 
@@ -123,9 +128,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The features are written once; their sketches give the cut-offs, which then join back on (lang, source). A source
     with a third of all rows meets in few sketch rows, as counts are added before the shuffle.
 
-    Null or empty text has no words and fails the base rule. A null language or source is a group like any other. A
-    group whose documents all fail the base rule has no cut-offs and needs none. Rows that repeat count and answer each
-    for itself; other columns of docs are not read.
+    Null or empty text has no words and fails the base rule; very long texts are counted whole. A null language or
+    source is a group like any other. A group whose documents all fail the base rule has no cut-offs and needs none.
+    Rows that repeat count and answer each for itself; other columns of docs are not read. An empty table gives an empty
+    result.
     """
     features = cut(quality_features(docs, id_col, text_col, lang_col, source_col), "quality")
     limits = thresholds(sketches(features), least_docs).withColumnsRenamed({"_lang": "_tl", "_source": "_ts"})
@@ -139,7 +145,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality_rules(wide_table(spark, sf_dir, "documents"))
 
 
 def quality_sql(docs: str = "documents") -> str:
@@ -152,17 +158,17 @@ def quality_sql(docs: str = "documents") -> str:
 
     def quart(name: str, keys: str) -> str:
         k = keys + ", " if keys else ""
-        cols = ", ".join(f"{top(f'min(bucket) FILTER (WHERE measure = {chr(39)}{m[0]}{chr(39)} AND 4 * upto >= {q} * total)')} AS {m[0]}_q{q}" for m in MEASURES for q in (1, 3))
+        cols = ", ".join(f"{top(f'min(bucket) FILTER (WHERE measure = {chr(39)}{m[0]}{chr(39)} AND 100 * upto >= {q} * total)')} AS {m[0]}_q{q}" for m in MEASURES for q in percents(m[4], m[9]))
         return f"""{name} AS (SELECT {k}max(total) AS docs, {cols} FROM (
             SELECT {k}measure, bucket, sum(n) OVER (PARTITION BY {k}measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {k}measure) AS total
             FROM (SELECT {k}measure, bucket, count(*) AS n FROM rows GROUP BY {k}measure, bucket)) {'GROUP BY ' + keys if keys else ''})"""
 
     pick = lambda c: f"CASE WHEN o.docs >= {LEAST_DOCS} THEN o.{c} WHEN l.docs >= {LEAST_DOCS} THEN l.{c} ELSE a.{c} END"
     cuts = []
-    for name, _, _, _, low, least, floor, ceiling in MEASURES:
-        q1, q3 = pick(f"{name}_q1"), pick(f"{name}_q3")
-        spread = f"greatest({least}, {FENCE} * (({q3}) - ({q1})))"
-        cuts.append(f"greatest({floor}, least({ceiling}, ({q3}) + {spread})) AS {name}_max, {f'({q1}) - {spread}' if low else 0} AS {name}_min")
+    for name, _, _, _, tail, fence, least, floor, ceiling, below in MEASURES:
+        mid, high = pick(f"{name}_q50"), pick(f"{name}_q{100 - tail}")
+        under = f"({pick(f'{name}_q{tail}')}) - greatest({least}, {fence} * (({mid}) - ({pick(f'{name}_q{tail}')})))" if below else 0
+        cuts.append(f"greatest({floor}, least({ceiling}, ({high}) + greatest({least}, {fence} * (({high}) - ({mid}))))) AS {name}_max, {under} AS {name}_min")
     fine = " AND ".join(f"coalesce({val[m[0]]} BETWEEN {m[0]}_min AND {m[0]}_max, true)" for m in MEASURES)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM {docs}),

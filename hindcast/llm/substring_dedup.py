@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import table
+from .common import wide_table
 from .repeats import Unit, repeated_anchors, substring_dedup as dedup, texts
 
 WINDOW, GRAM = 35, 6
@@ -153,4 +153,4 @@ def count_min_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return count_min_dedup(table(spark, sf_dir, "documents"))
+    return count_min_dedup(wide_table(spark, sf_dir, "documents"))

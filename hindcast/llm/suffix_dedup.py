@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import table
+from .common import wide_table
 from .repeats import Unit, repeated_anchors, substring_dedup
 
 WINDOW, GRAM = 400, 48
@@ -137,4 +137,4 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return suffix_dedup(table(spark, sf_dir, "documents"))
+    return suffix_dedup(wide_table(spark, sf_dir, "documents"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import wide_table
 
 #: What the tokenizer takes off the least score for a character that no piece covers; how it writes a space.
 UNKNOWN_PENALTY, SPACE_MARK = 10.0, "▁"
@@ -120,4 +120,4 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts(wide_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
