@@ -6,7 +6,8 @@
 3. Segments equal as a whole are grouped, with counts added before the shuffle: a passage that many documents share
    becomes few rows. All their windows are repeated.
 4. Where an anchor has several different segments, one example of each is cut out of the texts and its windows are
-   compared, anchor by anchor. An anchor with very many different segments goes through a grouping of single windows.
+   compared, anchor by anchor. The windows of an anchor with very many different segments go through a count-min sketch
+   and, if it estimates them as repeated, through a grouping of single windows.
 5. The repeated windows of a document are applied to its text.
 """
 
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 
 from . import windows as W
 from .common import cut, forget, join_small, shuffle_width
+from .countmin import twice_sieve
 
 #: Different segments of an anchor beyond which its windows are grouped one by one instead of in one task's memory.
 HOT_ANCHOR = 1_000
@@ -138,6 +140,35 @@ def examples(work: DataFrame, unit: Unit, payload: Callable) -> DataFrame:
     return work.select("id", "th", "text", "wanted").mapInArrow(run, schema)
 
 
+def hot_windows(hot: DataFrame) -> DataFrame:
+    """Rows (anchor, id, th, start, hashes) to a row (anchor, hash, id, th, start) for each window that may be repeated."""
+    schema = T.StructType([*[T.StructField(n, T.LongType()) for n in ("anchor", "hash")], hot.schema["id"], T.StructField("th", T.LongType()), T.StructField("start", T.IntegerType())])
+    windows = hot.agg(F.sum(F.size("hashes"))).first()[0]
+    if not windows:
+        return hot.sparkSession.createDataFrame([], schema)
+
+    def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, hash and key of each window: windows are the same if anchor and hash are."""
+        lists = batch.column(batch.schema.get_field_index("hashes"))
+        n = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        row, hashes = np.repeat(np.arange(len(n)), n), lists.flatten().to_numpy()
+        anchor = batch.column(batch.schema.get_field_index("anchor")).to_numpy()
+        return row, hashes, W.mix(anchor.view(np.uint64))[row] ^ hashes.view(np.uint64)
+
+    sieve = twice_sieve(hot.select("anchor", "hashes"), lambda batch: [flat(batch)[2]], windows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, hashes, key = flat(batch)
+            begin = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=batch.num_rows))))
+            stay = np.flatnonzero(sieve(key))
+            pick = pa.array(row[stay])
+            start = batch.column(3).to_numpy()[row[stay]] + stay - begin[row[stay]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), pa.array(hashes[stay]), batch.column(1).take(pick), batch.column(2).take(pick), pa.array(start.astype(np.int32))], names=schema.names)
+
+    return hot.select("anchor", "id", "th", "start", "hashes").mapInArrow(run, schema)
+
+
 def compare(found: DataFrame, flags: Callable, keep_first: bool) -> DataFrame:
     """Rows sorted by anchor to the ranges (id, th, start, end) of windows that another segment or place has too.
 
@@ -252,15 +283,16 @@ def repeated_windows(docs: DataFrame, unit: Unit, prefilter: Callable, payload:
     cold = found.where(F.col("content").isNotNull()).select("anchor", "id", "th", "start", "windows", "content")
     cold = compare(cold.repartition(parts, "anchor").sortWithinPartitions("anchor", "id", "th", "start"), flags, keep_first)
 
-    single = found.where(F.col("hashes").isNotNull()).select("anchor", "id", "th", "start", F.posexplode("hashes").alias("i", "hash")).select("anchor", "hash", "id", "th", (F.col("start") + F.col("i")).alias("start"))
+    single = cut(hot_windows(found.where(F.col("hashes").isNotNull())), "hot")
     spot = F.struct("id", "th", "start")
     twice = single.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("c"), F.min(spot).alias("first")).where("c >= 2").drop("c")
-    warm = single.join(twice, ["anchor", "hash"])
+    twice = cut(twice.withColumnsRenamed({"anchor": "_a", "hash": "_h"}), "hot-twice")
+    warm = single.join(twice, (single["anchor"] == twice["_a"]) & (single["hash"] == twice["_h"]))
     warm = (warm.where(~spot.eqNullSafe(F.col("first"))) if keep_first else warm).select("id", "th", "start", (F.col("start") + 1).alias("end"))
 
     partial = cold.union(warm).groupBy("id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     spans = cut(full.union(partial).groupBy("id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans")), "spans")
-    forget(wanted, keys, found, full)
+    forget(wanted, keys, found, full, single, twice)
     return scanned, fetched, spans
 
 

@@ -11,112 +11,30 @@ from pyspark.sql import functions as F
 
 from . import windows as W
 from .common import wide_table
+from .countmin import MOST_CELLS, twice_sieve
 from .repeats import Unit, repeated_anchors, substring_dedup as dedup, texts
 
 WINDOW, GRAM = 35, 6
-#: Rows of the sketch; cells in a row for each BYTES_EACH bytes of text, and at most (16 MB a row in the second pass).
-DEPTH, CELLS_EACH, BYTES_EACH, MOST_CELLS = 2, 4, 48, 1 << 27
-#: Cells of a block of the sketch, in bits, and items that a task counts before it emits them.
-BLOCK_BITS, HELD = 20, 1 << 21
-_salts = W.mix(np.arange(101, 101 + DEPTH, dtype=np.uint64))
-
-
-def sketch_bits(text_bytes: int, most: int = MOST_CELLS) -> int:
-    """Bits of a cell number: CELLS_EACH cells for each item that a text of this size may have, within the bound."""
-    return max(BLOCK_BITS, min(most.bit_length() - 1, (CELLS_EACH * text_bytes // BYTES_EACH).bit_length()))
-
-
-def cells(anchors: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return W.mix(anchors ^ _salts[row]) >> np.uint64(64 - bits)
-
-
-def partial_sketches(docs: DataFrame, unit: Unit, bits: int) -> DataFrame:
-    """(block, counts): what each task counted, by blocks of 2 ** BLOCK_BITS cells; block numbers go on over the rows.
-
-    counts holds a number for each cell that is not zero: its place in the block, times two, plus one if it was counted
-    twice or more.
-    """
-
-    def emit(held: list[np.ndarray]) -> pa.RecordBatch:
-        anchors = np.concatenate(held)
-        blocks, counts = [], []
-        for row in range(DEPTH):
-            cell, n = np.unique(cells(anchors, row, bits), return_counts=True)
-            place = ((cell & np.uint64((1 << BLOCK_BITS) - 1)) << np.uint64(1)).astype(np.uint32) + (n > 1).astype(np.uint32)
-            block = (cell >> np.uint64(BLOCK_BITS)).astype(np.int64)
-            edge = np.flatnonzero(np.diff(block, prepend=-1))
-            blocks += (block[edge] + (row << (bits - BLOCK_BITS))).tolist()
-            counts += [x.tobytes() for x in np.split(place, edge[1:])]
-        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(counts, pa.binary())], names=["block", "counts"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            at, data = texts(batch)
-            for first, last in W.chunks(at, 2 << 20):
-                base = int(at[first])
-                symbols, own = unit.symbols(data[base : int(at[last])], at[first : last + 1] - base)
-                held.append(W.segments(symbols, own, unit.window, unit.gram)[3])
-                size += len(held[-1])
-                if size >= HELD:
-                    yield emit(held)
-                    held, size = [], 0
-        if size:
-            yield emit(held)
-
-    return docs.select("text").mapInArrow(run, "block long, counts binary")
-
-
-def merged_sketch(partial: DataFrame) -> DataFrame:
-    """(block, bits): which cells of a block are two or more, after adding what all tasks counted."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, sums = None, np.zeros(1 << BLOCK_BITS, dtype=np.uint8)
-
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(sums > 1).tobytes()], pa.binary())], names=["block", "bits"])
-
-        for batch in batches:
-            for own, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if own != block:
-                    if block is not None:
-                        yield done()
-                    block = own
-                    sums[:] = 0
-                number = np.frombuffer(counts, dtype=np.uint32)
-                place = number >> 1
-                sums[place] = np.minimum(sums[place] + 1 + (number & 1).astype(np.uint8), 2)
-        if block is not None:
-            yield done()
-
-    return partial.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block long, bits binary")
+#: Bytes of text to a run of windows with one anchor, roughly.
+BYTES_EACH = 48
 
 
 def count_min_sieve(docs: DataFrame, unit: Unit, most: int = MOST_CELLS) -> Callable:
     """A test for anchors: False for those that the count-min sketch of all texts knows to occur once.
 
-    A window is counted under its anchor, once for each run of windows with that anchor: a cell counts a window and all
-    that are equal to it, so the least cell of its rows is never too low. Tasks count their own texts, and the merged
-    sketch, of which a bit per cell is left, is broadcast: DEPTH * most bits at the most, whatever the corpus.
+    A window is counted under its anchor, once for each run of windows with that anchor: its count is never more than
+    that of its anchor.
     """
-    spark = docs.sparkSession
+
+    def anchors(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        at, data = texts(batch)
+        for first, last in W.chunks(at, 2 << 20):
+            base = int(at[first])
+            symbols, own = unit.symbols(data[base : int(at[last])], at[first : last + 1] - base)
+            yield W.segments(symbols, own, unit.window, unit.gram)[3]
+
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = sketch_bits(size, most)
-    each = 1 << (BLOCK_BITS - 3)
-    rows = [np.zeros(1 << (bits - 3), dtype=np.uint8) for _ in range(DEPTH)]
-    for block, part in merged_sketch(partial_sketches(docs, unit, bits)).collect():  # at most DEPTH * most bits
-        row, number = divmod(block, 1 << (bits - BLOCK_BITS))
-        rows[row][number * each : (number + 1) * each] = np.frombuffer(part, dtype=np.uint8)
-    sent = spark.sparkContext.broadcast(rows)
-
-    def sieve(anchors: np.ndarray) -> np.ndarray:
-        twice = np.ones(len(anchors), dtype=bool)
-        for row, known in enumerate(sent.value):
-            cell = cells(anchors, row, bits)
-            twice &= (known[cell >> np.uint64(3)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & 1 == 1
-        return twice
-
-    return sieve
+    return twice_sieve(docs.select("text"), anchors, size // BYTES_EACH, most)
 
 
 def count_min_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, keep: str = "none", most_cells: int = MOST_CELLS) -> DataFrame:
