@@ -164,9 +164,9 @@ def main_text(html: str) -> str:
     """Blocks of the article in page order, joined by an empty line.
 
     Lines in menus, footers, asides, forms, notices, adverts and comments never count. The others get their smoothed
-    text-to-tag ratio. Where the page marks articles, they are the content, with all their blocks; only those whose mean
-    ratio is far under the best one's are not. Else two clusters of ratios part content from the rest, if they are
-    clearly apart, and all blocks of the same parents go with the content; else every block is content.
+    text-to-tag ratio, and two clusters of ratios part content from the rest, if they are clearly apart; else every block
+    is content. Content brings along the blocks around it: those of the articles that the page marks, if content is in
+    one, and other such articles unless their mean ratio is far under the content's; else all blocks of the same parents.
     """
     events = Events()
     events.feed(html)
@@ -178,17 +178,6 @@ def main_text(html: str) -> str:
     usable = np.array([not line.chrome for _, line in found])
     raw = np.array([len(text) / line.tags if ok else 0.0 for (text, line), ok in zip(found, usable, strict=True)])
     ratio = smoothed(raw)
-    weight: dict[int, float] = {}
-    length: dict[int, int] = {}
-    for (text, line), ok, r in zip(found, usable, ratio, strict=True):
-        if ok and line.container >= 0:
-            weight[line.container] = weight.get(line.container, 0.0) + len(text) * float(r)
-            length[line.container] = length.get(line.container, 0) + len(text)
-    if weight:
-        mean = {c: w / length[c] for c, w in weight.items()}
-        best = mean[max(weight, key=weight.get)]
-        chosen = {c for c, m in mean.items() if m >= THIN * best}
-        return "\n\n".join(text for (text, line), ok in zip(found, usable, strict=True) if ok and line.container in chosen)
     if not usable.any():
         return ""
     high = ratio >= threshold(ratio[usable])
@@ -198,8 +187,19 @@ def main_text(html: str) -> str:
         content = usable
     else:  # a thin block beside a long one has a high smoothed ratio only
         content = content & (raw >= THIN * level)
-    parents = {found[i][1].parent for i in np.flatnonzero(content)}
-    content = usable & np.array([line.parent in parents for _, line in found])
+    marked = {found[i][1].container for i in np.flatnonzero(content)} - {-1}
+    if marked:  # what the page marks as articles, where the clusters agree: each with all its blocks
+        size: dict[int, list[float]] = {}
+        for (text, line), ok, r in zip(found, usable, ratio, strict=True):
+            if ok and line.container >= 0:
+                own = size.setdefault(line.container, [0.0, 0.0])
+                own[0] += len(text) * float(r)
+                own[1] += len(text)
+        marked |= {c for c, (weight, length) in size.items() if weight >= THIN * level * length}
+        content = usable & np.array([line.container in marked for _, line in found])
+    else:
+        parents = {found[i][1].parent for i in np.flatnonzero(content)}
+        content = usable & np.array([line.parent in parents for _, line in found])
     return "\n\n".join(found[i][0] for i in np.flatnonzero(content))
 
 

@@ -462,6 +462,39 @@ def test_html_keeps_each_marked_article():
     assert html_text.main_text(f"<body>{body}</body>").split("\n\n") == articles
 
 
+def plain_article(html):
+    """The blocks between <article> tags, by patterns alone."""
+    import html as entities
+    import re
+
+    inner = re.search(r"<article\b[^>]*>(.*)</article>", html, re.S)[1]
+    inner = re.sub(r"<!--.*?-->|<(script|style|aside|form|nav|footer)\b.*?</\1>|<div class=\"[^\"]*\b(?:ad|comments?|share|related)\b.*?</div>", "", inner, flags=re.S)
+    inner = re.sub(r"</?(?:a|b|i|em|strong|span|code|u|sup|sub|small)\b[^>]*>", "", inner)
+    blocks = [" ".join(entities.unescape(x).split()) for x in re.split(r"<(?!br)[^>]*>", inner.replace("<br>", " ").replace("<br/>", " "))]
+    return "\n\n".join(x for x in blocks if x)
+
+
+def test_html_of_a_whole_table_with_and_without_marks(spark):
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    want = {r.page_id: plain_article(r.html) for r in pages.collect()}
+    extra = pages.withColumn("text", F.lit("x")).withColumn("id", F.lit(1))
+    assert {r.page_id: r.text for r in html_text.html_text(extra).collect()} == want
+    bare = [(r.page_id, html_text.main_text(re.sub(r"<(/?)article\b", r"<\1div", r.html))) for r in pages.collect()]
+    assert dict(bare) == want
+    assert html_text.html_text(pages.limit(0)).count() == 0
+
+
+def test_html_marks_count_only_where_the_clusters_agree():
+    teasers = "".join(f"<article><a href={i}>Read</a></article>" for i in range(6))
+    body = "".join(f"<p>{'Many words of real content stand in this block. ' * 6}{i}</p>" for i in range(4))
+    text = html_text.main_text(f"<body>{teasers}<div>{body}</div></body>")
+    assert text.count("\n\n") == 3 and "Read" not in text
+    long = html_text.main_text(f"<body><article>{'<p>' + 'word ' * 40000 + '</p>'}{body}</article></body>")
+    assert long.count("\n\n") == 4
+
+
 def test_mixing(docs, nothing):
     topics = F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd")
     got = mixing.mix_sources(docs, topic=topics, targets={"lang": {"en": 0.6, "de": 0.4}}).toPandas()
