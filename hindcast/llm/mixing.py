@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, join_small, wide_table
+from .common import SPACE, cut, forget, join_small, wide_table
 
 #: Without given targets, a margin's shares are its token shares to this power, scaled to one: rare values gain.
 TEMPER = 0.7
@@ -18,14 +19,19 @@ TOLERANCE, SWEEPS = 1e-4, 30
 #: A target counts as reached if the expected tokens are no further off than this share of it.
 REACHED = 0.01
 SEED = 17
+#: Up to this many cells are raked in the driver's memory (some 10 MB); more are raked as a table.
+DRIVER_CELLS = 50_000
+#: Forms of text: a table has a bar in every BAR_EACH characters, a list has lines of under LIST_LINE characters on
+#: average, a long text has over LONG_TEXT characters; all else is prose.
+BAR_EACH, LIST_LINE, LONG_TEXT = 40, 80, 12_000
 MARGINS = ("source", "lang", "topic")
 
 
 def topic_of(text: Column) -> Column:
-    """A topic where the table has none: what kind of text it is, by its shape."""
+    """A stand-in where the table has no topic: the form of the text. Give mix_sources a column of real topics instead."""
     lines = F.size(F.split(text, "\n"))
     bars = F.length(text) - F.length(F.translate(text, "|", ""))
-    return F.when(40 * bars > F.length(text), "table").when(F.length(text) < 80 * lines, "list").when(F.length(text) > 12_000, "long").otherwise("prose")
+    return F.when(BAR_EACH * bars > F.length(text), "table").when(F.length(text) < LIST_LINE * lines, "list").when(F.length(text) > LONG_TEXT, "long").otherwise("prose")
 
 
 def words_in(text: Column) -> Column:
@@ -56,6 +62,50 @@ def margins(cells: DataFrame) -> DataFrame:
     return out.withColumn("reached", F.abs(F.col("expected") - F.col("target")) <= REACHED * F.col("target"))
 
 
+def rake_in_driver(cells: DataFrame, targets: dict, budget: float) -> DataFrame:
+    """What rake gives, for at most DRIVER_CELLS cells."""
+    rows = cells.select(*MARGINS, "tokens").collect()
+    tokens = np.array([float(r["tokens"] or 0) for r in rows])
+    total = tokens.sum()
+    codes, wanted = [], []
+    for margin in MARGINS:
+        number: dict = {}
+        code = np.array([number.setdefault(r[margin], len(number)) for r in rows], dtype=np.int64)
+        has = np.bincount(code, tokens, len(number))
+        given = targets.get(margin)
+        share = (has / (total or 1.0)) ** TEMPER if given is None else np.array([float(given.get(v, 0.0)) for v in number])
+        want = share / (share.sum() or 1.0) * total
+        some = (want > 0) & (has > 0)
+        least = (has[some] / want[some]).min() if some.any() else None
+        if least is not None and least < budget * 1.01:
+            budget = min(budget, 0.99 * float(least))
+        codes.append(code)
+        wanted.append(want)
+    first = None
+    for share in (budget, budget / 2, budget / 4):
+        x = np.full(len(rows), share)
+        for _ in range(SWEEPS):
+            worst = 0.0
+            for code, want in zip(codes, wanted, strict=True):
+                now = np.bincount(code, tokens * np.minimum(x, 1), len(want))
+                factor = np.divide(want * share, now, out=np.ones(len(want)), where=now > 0)
+                x = x * factor[code]
+                worst = max([worst, *np.abs(factor - 1)[want > 0]])
+            if worst < TOLERANCE:
+                break
+        p = np.minimum(x, 1)
+        first = (p, share) if first is None else first
+        if all((np.abs(np.bincount(c, tokens * p, len(w)) - w * share) <= REACHED * w * share).all() for c, w in zip(codes, wanted, strict=True)):
+            first = (p, share)
+            break
+        if not (x >= 1).any():
+            break
+    p, share = first
+    out = [(*(r[m] for m in MARGINS), r["tokens"], *(float(w[c[i]]) for c, w in zip(codes, wanted, strict=True)), float(p[i]), float(share), float(p[i] / share)) for i, r in enumerate(rows)]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (cells.schema[m] for m in (*MARGINS, "tokens")))
+    return cells.sparkSession.createDataFrame(out, f"{kinds}, {', '.join(f'target_{m} double' for m in MARGINS)}, probability double, budget double, weight double")
+
+
 def rake(cells: DataFrame, targets: dict, budget: float) -> DataFrame:
     """cells (source, lang, topic, tokens) with probability, weight (probability / budget) and the budget that was used.
 
@@ -64,7 +114,10 @@ def rake(cells: DataFrame, targets: dict, budget: float) -> DataFrame:
     cannot give more tokens than it has, so the budget is at most the least ratio of tokens to target, less a
     hundredth; where cells at 1 still keep a target out of reach, half of it is tried, then a quarter.
     """
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    total, many = cells.agg(F.sum("tokens"), F.count(F.lit(1))).first()
+    if many <= DRIVER_CELLS:
+        return rake_in_driver(cells, targets, budget)
+    total = total or 0
     cells = cells.withColumn("_all", F.lit(float(total)))
     for margin in MARGINS:
         cells = cut(with_targets(cells, margin, targets.get(margin)), "cells")
@@ -84,9 +137,9 @@ def rake(cells: DataFrame, targets: dict, budget: float) -> DataFrame:
                 fitted = fitted.withColumn(f"_f_{margin}", F.coalesce(F.try_divide(F.col(f"target_{margin}") * share, now), F.lit(1.0)))
                 fitted = fitted.withColumn("_x", F.col("_x") * F.col(f"_f_{margin}"))
                 off.append(F.max(F.when(F.col(f"target_{margin}") > 0, F.abs(F.col(f"_f_{margin}") - 1))))
-            fitted = cut(fitted, "cells")
-            worst = fitted.agg(F.greatest(*off)).first()[0]
-            fitted = fitted.drop(*[f"_f_{m}" for m in MARGINS])
+            swept = cut(fitted, "cells")
+            worst = swept.agg(F.greatest(*off)).first()[0]
+            fitted = swept.drop(*[f"_f_{m}" for m in MARGINS])
             if worst is None or worst < TOLERANCE:
                 break
         fitted = fitted.withColumn("probability", p).withColumn("budget", F.lit(float(share))).withColumn("weight", F.col("probability") / F.col("budget"))
@@ -110,14 +163,15 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     warning; ``margins`` of the raked cells lists all. weight is probability / share of tokens sampled.
 
     Null sources, languages and topics are values like others. Null or empty text has no tokens and is drawn like the
-    rest of its cell. Rows with the same id draw the same number. An empty table gives an empty result; other columns of
-    docs are not read.
+    rest of its cell; a very long text counts whole. Rows with the same id draw the same number. An empty table gives an
+    empty result; other columns of docs are not read, unless the topic names them.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), (topic_of(text) if topic is None else topic).alias("topic"), words_in(text).alias("tokens"))
     own = cut(own, "mixing")
     cells = cut(own.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
     fitted = cut(rake(cells, targets or {}, budget), "fitted")
+    forget(cells)
     lost = margins(fitted).where("not reached").limit(20).collect()
     if lost:
         warnings.warn("targets out of reach: " + ", ".join(f"{r.margin} {r.value} ({r.expected:.0f} of {r.target:.0f} tokens)" for r in lost), stacklevel=2)

@@ -507,6 +507,66 @@ def test_mixing(docs, nothing):
     assert mixing.mix_sources(nothing).count() == 0
 
 
+def plain_raking(cells, targets, budget, sweeps=200):
+    """Probability per cell, by one margin after the other."""
+    margins = range(len(next(iter(cells))))
+    total = sum(cells.values())
+    p = dict.fromkeys(cells, budget)
+    for _ in range(sweeps):
+        for m in margins:
+            for v in {c[m] for c in cells}:
+                now = sum(n * p[c] for c, n in cells.items() if c[m] == v)
+                for c in cells:
+                    if c[m] == v:
+                        p[c] *= targets[m][v] * total * budget / now
+    return p
+
+
+def test_raking_against_a_plain_version(spark, monkeypatch):
+    rng = random.Random(31)
+    data = [(i, words(rng, rng.randrange(5, 40)), rng.choice(["en", "de", "fr"]), rng.choice(["a", "b"]), rng.choice(["x", "y", "z"])) for i in range(1500)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, subject string")
+    targets = {"source": {"a": 0.4, "b": 0.6}, "lang": {"en": 0.5, "de": 0.3, "fr": 0.2}, "topic": {"x": 0.2, "y": 0.35, "z": 0.45}}
+    cells = {}
+    for _, t, lang, source, subject in data:
+        cells[source, lang, subject] = cells.get((source, lang, subject), 0) + len(t.split())
+    want = plain_raking(cells, [targets[m] for m in mixing.MARGINS], 0.3)
+    for most in (mixing.DRIVER_CELLS, 0):
+        monkeypatch.setattr(mixing, "DRIVER_CELLS", most)
+        got = mixing.mix_sources(df, topic=F.col("subject"), targets=targets, budget=0.3).toPandas()
+        for r in got.itertuples():
+            assert abs(r.probability - want[r.source, r.lang, r.topic]) < 1e-3
+        expected = got.tokens * got.probability
+        for m in mixing.MARGINS:
+            share = expected.groupby(got[m]).sum() / expected.sum()
+            assert all(abs(share[v] - x) < 1e-3 for v, x in targets[m].items())
+        kept = got[got.kept]
+        for m in mixing.MARGINS:
+            share = kept.groupby(m).tokens.sum() / kept.tokens.sum()
+            assert all(abs(share[v] - x) < 0.06 for v, x in targets[m].items())
+
+
+def test_raking_is_the_same_in_the_driver_and_as_a_table(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(2).cache()
+    both = []
+    for most in (mixing.DRIVER_CELLS, 0):
+        monkeypatch.setattr(mixing, "DRIVER_CELLS", most)
+        both.append(sorted((r.doc_id, r.topic, r.tokens, round(r.probability, 6), round(r.weight, 6)) for r in mixing.mix_sources(docs).collect()))
+    assert both[0] == both[1]
+
+
+def test_tokens_and_topics_in_sql(spark):
+    import duckdb
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    sql = f"""SELECT doc_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS tokens, CASE
+        WHEN {mixing.BAR_EACH} * (length(text) - length(replace(text, '|', ''))) > length(text) THEN 'table'
+        WHEN length(text) < {mixing.LIST_LINE} * len(string_split(text, chr(10))) THEN 'list' WHEN length(text) > {mixing.LONG_TEXT} THEN 'long' ELSE 'prose' END AS topic
+        FROM (SELECT doc_id, coalesce(text, '') AS text FROM '{path}')"""
+    got = mixing.mix_sources(spark.read.parquet(path).withColumn("topic", F.lit("clash")).withColumn("tokens", F.lit(0)))
+    assert rows(got, "doc_id", "tokens", "topic") == sorted(duckdb.sql(sql).fetchall())
+
+
 def test_calibrated_budget(spark):
     rng = random.Random(8)
     df = spark.createDataFrame([(i, words(rng, 20), "en" if i % 5 else "de", f"s{i % 3}") for i in range(2000)], "doc_id long, text string, lang string, source string")
