@@ -151,13 +151,13 @@ def rake(cells: DataFrame, targets: dict, budget: float) -> DataFrame:
     return first
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, targets: dict | None = None, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, targets: dict | None = None, budget: float = BUDGET, seed: int = SEED, draw_col: str | None = None) -> DataFrame:
     """One row per input row: id, source, lang, topic, tokens, weight, probability, kept.
 
     targets: per margin ("source", "lang", "topic") a share for each value. tokens are words; the topic is the shape of
     the text unless a column is given. Cells (source, language, topic) are summed before they are shuffled, so a source
     with a third of all rows is no hot spot; raking touches cells alone. A document is kept if a number drawn from its id
-    and the seed is below its probability, which is at most 1 and at which every margin's expected tokens meet its
+    (or draw_col) and the seed is below its probability, which is at most 1 and at which every margin's expected tokens meet its
     targets. Targets come before the budget: where ``budget`` of all tokens would need more of a value than there is,
     fewer tokens are sampled. Targets that no budget tried reaches, as margins contradict each other, are named in a
     warning; ``margins`` of the raked cells lists all. weight is probability / share of tokens sampled.
@@ -167,7 +167,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty result; other columns of docs are not read, unless the topic names them.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), (topic_of(text) if topic is None else topic).alias("topic"), words_in(text).alias("tokens"))
+    own = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(draw_col or id_col), F.lit(seed)).alias("_draw"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), (topic_of(text) if topic is None else topic).alias("topic"), words_in(text).alias("tokens"))
     own = cut(own, "mixing")
     cells = cut(own.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
     fitted = cut(rake(cells, targets or {}, budget), "fitted")
@@ -177,7 +177,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         warnings.warn("targets out of reach: " + ", ".join(f"{r.margin} {r.value} ({r.expected:.0f} of {r.target:.0f} tokens)" for r in lost), stacklevel=2)
     rates = fitted.select(*[F.col(m).alias(f"_{m}") for m in MARGINS], "weight", "probability")
     out = join_small(own, rates, {m: f"_{m}" for m in MARGINS}, "inner")
-    drawn = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    drawn = F.pmod("_draw", F.lit(1 << 53)) / F.lit(float(1 << 53))
     return out.select(F.col("id").alias(id_col), "source", "lang", "topic", "tokens", "weight", "probability", (drawn < F.col("probability")).alias("kept"))
 
 

@@ -312,7 +312,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     named = cut(low.join(least, "comp").select(F.col("node").alias("_n"), "component"), "named")
     forget(members, texts)
     own = nodes.select(F.col("node").alias("_m"), "low")
-    alone = own.join(named, own["_m"] == named["_n"], "left").select("_m", F.coalesce("component", "low").alias("component"))
+    # written, so that the last join alone makes its stage and a set that very many rows have can be split
+    alone = cut(own.join(named, own["_m"] == named["_n"], "left").select("_m", F.coalesce("component", "low").alias("component")), "answers")
+    forget(nodes, named)
     out = rows.join(alone, F.col("node") == F.col("_m"), "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

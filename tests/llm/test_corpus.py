@@ -613,3 +613,35 @@ def test_pipeline(spark, docs, nothing, tmp_path):
     assert (ordered.groupby("sequence_id").length.cumsum() - ordered.length == ordered.offset).all()
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, nothing.select("doc_id", "text", "lang", "source", "n_chars"), str(tmp_path)).columns == plain.columns, name
+
+
+def test_stages_decide_about_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(40)
+    clean, other, junk = words(rng, 60), words(rng, 60), "bad bad"
+    data = [(None, clean), (None, junk), (7, other), (7, junk), (8, other), (8, other), (8, other + " end"), (None, other), (9, words(rng, 50)), (9, words(rng, 55))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "x") for i, t in data], "doc_id long, text string, lang string, source string, n_chars long, _m string")
+    docs.repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda r: (r.doc_id if r.doc_id is not None else -1, r.text)
+    left = corpus_pipeline.quality(spark, docs, "")
+    assert sorted(map(key, left.collect())) == sorted((-1 if i is None else i, t) for i, t in data if t != junk) and left.columns == docs.columns
+    left = corpus_pipeline.exact(spark, left, "")
+    assert sorted(map(key, left.collect())) == sorted([(-1, clean), (8, other), (8, other + " end"), *((9, t) for i, t in data if i == 9)])
+    left = corpus_pipeline.near(spark, left, "")
+    kept = sorted(map(key, left.collect()))
+    assert len(kept) == 4 and (-1, clean) in kept and sum(k == 8 for k, _ in kept) == 1 and sum(k == 9 for k, _ in kept) == 2
+    both = docs.where("doc_id is null").unionByName(docs.where("doc_id = 7"))  # the null id does not win
+    assert {r.doc_id for r in corpus_pipeline.near(spark, both.where(F.col("text") == other), "").collect()} == {7}
+    assert set(map(key, corpus_pipeline.mixed(spark, left, "").collect())) <= set(kept)
+
+
+def test_packing_of_repeated_rows_and_clashing_columns(spark):
+    text = words(random.Random(41), 30)
+    df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "other")], "doc_id long, text string").withColumn("piece", F.lit("p")).withColumn("length", F.lit(1)).withColumn("id", F.lit(2))
+    got = packing.best_fit_packing(df, packing.default_tokenizer(), capacity=64).toPandas()
+    assert len(got[got.doc_id.isna()]) >= 1 and len(got[got.doc_id == 1]) == 2 * len(got[got.doc_id.isna()])
+    assert got.groupby("sequence_id").length.sum().max() <= 64
+    ordered = got.sort_values(["sequence_id", "offset"])
+    assert (ordered.groupby("sequence_id").length.cumsum() - ordered.length == ordered.offset).all()
