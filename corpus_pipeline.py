@@ -1,7 +1,12 @@
-"""From documents to packed training sequences, in five stages; each takes what the one before it left."""
+"""From documents to packed training sequences, in five stages; each takes what the one before it left.
+
+Stages decide about rows, not ids: a null or repeated id never makes one row stand for another. Null and empty texts fail
+the quality rules; an empty table goes through all stages; further columns of documents stay as they are.
+"""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,30 +18,50 @@ from hindcast.llm.packing import best_fit_packing, default_tokenizer
 from hindcast.llm.quality_rules import quality_rules
 
 
+def keyed(docs: DataFrame, nulls_last: bool = False) -> DataFrame:
+    """docs with the place of each row, _file and _row, and a key that sorts by doc_id and then by place.
+
+    A row of a Parquet file is told by file and row number, whatever its id: rows with a null or repeated id are rows of
+    their own. Null ids sort before all others, or after them.
+    """
+    place = F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
+    try:
+        docs = docs.select("*", *place)
+    except AnalysisException:  # no table of files, or several: written as one
+        docs = cut(docs, "documents").select("*", *place)
+    null = F.col("doc_id").isNull() if nulls_last else F.col("doc_id").isNotNull()
+    return docs.withColumn("_key", F.struct(null.alias("null"), "doc_id", F.col("_file").alias("file"), F.col("_row").alias("row")))
+
+
 def without_dropped(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The documents that the decisions keep. Rows with the same id go or stay together: one dropped row drops all."""
-    dropped = cut(decisions.where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
-    return join_small(docs, dropped, {"doc_id": "_dropped"}, "left_anti")
+    """The rows of keyed docs that the decisions keep, with the columns of documents."""
+    dropped = decisions.where(~F.col("kept")).select(F.col("_key.file").alias("_f"), F.col("_key.row").alias("_r"))
+    kept = join_small(docs, cut(dropped, "dropped"), {"_file": "_f", "_row": "_r"}, "left_anti")
+    return kept.drop("_file", "_row", "_key")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules accept."""
-    return without_dropped(docs, quality_rules(docs))
+    docs = keyed(docs)
+    return without_dropped(docs, quality_rules(docs, id_col="_key"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
-    return without_dropped(docs, exact_dedup(docs))
+    """One document of each text: the one with the largest id."""
+    docs = keyed(docs)
+    return without_dropped(docs, exact_dedup(docs, id_col="_key"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return without_dropped(docs, near_dedup(docs))
+    """One document of each near-duplicate group: the one with the smallest id."""
+    docs = keyed(docs, nulls_last=True)
+    return without_dropped(docs, near_dedup(docs, id_col="_key"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose sources, languages and topics have the target weights."""
-    return without_dropped(docs, mix_sources(docs))
+    """A sample whose sources, languages and topics have the target weights; rows with one id share their draw."""
+    docs = keyed(docs)
+    return without_dropped(docs, mix_sources(docs, id_col="_key", draw_col="doc_id"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
