@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -133,9 +133,28 @@ def row_text(*columns: str) -> Column:
     return F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns])
 
 
-def seal(*columns: str) -> Column:
-    """SHA-256 over the sorted lines of a small table: the same for any order of its rows."""
-    return F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(row_text(*columns)))), 256)
+def seal(df: DataFrame, line: Column, digits: int = 4) -> DataFrame:
+    """(digest, rows): a hash tree over the SHA-256 digests of a table's lines, the same for any order of its rows.
+
+    Leaves are the digests that share their first ``digits`` hexadecimal digits, in order; each level above takes two
+    digits less. A leaf holds a 16 ** digits-th part of the rows, so no task sees the table.
+    """
+    own = df.select(F.sha2(line, 256).alias("h"))
+    out = own.groupBy(F.substring("h", 1, digits).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"), F.count(F.lit(1)).alias("rows"))
+    for left in [*range(digits - 2, 0, -2), 0]:
+        ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), "")
+        keys = [F.substring("p", 1, left).alias("q")] if left else []
+        out = out.groupBy(*keys).agg(F.sha2(ordered, 256).alias("d"), F.sum("rows").alias("rows"))
+        out = out.withColumnRenamed("q", "p") if left else out
+    return out.select(F.col("d").alias("digest"), "rows")
+
+
+def seal_sql(lines: str, digits: int = 4) -> str:
+    """The same in SQL over a query that gives a column l."""
+    out = f"SELECT substr(h, 1, {digits}) AS p, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS rows FROM (SELECT sha256(l) AS h FROM ({lines})) GROUP BY 1"
+    for left in range(digits - 2, 0, -2):
+        out = f"SELECT substr(p, 1, {left}) AS p, sha256(string_agg(d, '' ORDER BY p)) AS d, sum(rows) AS rows FROM ({out}) GROUP BY substr(p, 1, {left})"
+    return f"SELECT sha256(string_agg(d, '' ORDER BY p)) AS digest, CAST(sum(rows) AS BIGINT) AS rows FROM ({out})"
 
 
 def count_sketch_place(marker: Column, width: int) -> tuple[Column, Column]:

@@ -55,13 +55,67 @@ def balanced_mean(df: DataFrame, group: str, value: Column | str, keys: Sequence
     return per.groupBy(*keys).agg(F.avg("_m").alias("balanced"), (F.sum("_s") / F.sum("_c")).alias("weighted"), F.count(F.lit(1)).alias("groups"), F.sum("_c").alias("n"))
 
 
-def finite_sample_quantile(df: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float]) -> DataFrame:
-    """(keys, level, n, q): the order statistic at ceil((n + 1) * level), at most n. Ranks are numbered, not collected."""
+def order_bucket(value: str) -> Column:
+    """A whole number that grows with the value, in steps of 1/64 of its size; null sorts first."""
+    x = F.col(value)
+    size = F.floor(F.ln(F.abs(x)) * 64) + 100_000
+    return F.coalesce(F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * size), F.lit(-1_000_000)).cast("long")
+
+
+def finite_sample_rank(n: Column, level: Column) -> Column:
+    """ceil((n + 1) * level), from 1 to n."""
+    return F.least(n, F.greatest(F.lit(1), F.ceil(F.round((n + 1) * level, 9))))
+
+
+def order_statistics(counts: DataFrame, values, keys: Sequence[str], levels: Sequence[float]) -> DataFrame:
+    """(keys, level, n, q) from counts (keys, bucket, c): the bucket that holds the rank, then the value within it.
+
+    values(targets) gives the rows (keys, level, n, need, value) of the buckets asked for. Only those are put in order,
+    and equal ones count as one row.
+    """
     w = Window.partitionBy(*keys)
-    ranked = df.select(*keys, value, F.row_number().over(w.orderBy(value)).alias("_k"), F.count(F.lit(1)).over(w).alias("n"))
-    at = ranked.withColumn("level", F.explode(F.array(*[F.lit(float(x)) for x in levels])))
-    rank = F.least(F.col("n"), F.greatest(F.lit(1), F.ceil(F.round((F.col("n") + 1) * F.col("level"), 9))))
-    return at.where(F.col("_k") == rank).select(*keys, "level", "n", F.col(value).alias("q"))
+    upto = counts.withColumn("_upto", F.sum("c").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
+    at = upto.withColumn("level", F.explode(F.array(*[F.lit(float(x)) for x in levels]))).withColumn("_rank", finite_sample_rank(F.col("n"), F.col("level")))
+    targets = at.where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("c") < F.col("_rank")))
+    targets = targets.select(*keys, "level", "n", F.col("bucket").alias("_bucket"), (F.col("_rank") - F.col("_upto") + F.col("c")).alias("need"))
+    found = values(targets).groupBy(*keys, "level", "n", "need", "value").agg(F.count(F.lit(1)).alias("_c"))
+    inner = Window.partitionBy(*keys, "level").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    return found.withColumn("_upto", F.sum("_c").over(inner)).where("_upto >= need").groupBy(*keys, "level", "n").agg(F.min_by("value", "_upto").alias("q"))
+
+
+def finite_sample_quantile(df: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float]) -> DataFrame:
+    """(keys, level, n, q): the order statistic at ceil((n + 1) * level), at most n.
+
+    Values are counted in buckets by size first; no group is sorted as a whole, however large.
+    """
+    own = df.select(*keys, F.col(value).alias("value"), order_bucket(value).alias("bucket"))
+    counts = own.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("c"))
+
+    def values(targets: DataFrame) -> DataFrame:
+        targets = targets.select(*[F.col(k).alias(f"_{k}") for k in keys], "level", "n", "_bucket", "need")
+        cond = own["bucket"] == targets["_bucket"]
+        for k in keys:
+            cond = cond & own[k].eqNullSafe(targets[f"_{k}"])
+        return own.join(targets, cond).select(*keys, "level", "n", "need", "value")
+
+    return order_statistics(counts, values, keys, levels)
+
+
+def prior_quantile(df: DataFrame, period: str, value: str, levels: Sequence[float], name: str = "test_period") -> DataFrame:
+    """(test_period, level, n, periods, q): the same over all rows of strictly earlier periods.
+
+    Counts of period and bucket are added up for each test period, so that no row stands in several pools.
+    """
+    own = df.select(F.col(period).alias("_p"), F.col(value).alias("value"), order_bucket(value).alias("bucket"))
+    each = own.groupBy("_p", "bucket").agg(F.count(F.lit(1)).alias("c"))
+    tests = each.select(F.col("_p").alias(name)).distinct()
+    # as many rows as periods
+    pools = each.join(F.broadcast(tests), F.col("_p") < F.col(name))
+    counts = pools.groupBy(name, "bucket").agg(F.sum("c").alias("c"))
+    periods = pools.groupBy(F.col(name).alias("_t")).agg(F.countDistinct("_p").alias("periods"))
+    # as many rows as periods and levels
+    out = order_statistics(counts, lambda targets: own.join(F.broadcast(targets), (F.col("bucket") == F.col("_bucket")) & (F.col("_p") < F.col(name))).select(name, "level", "n", "need", "value"), [name], levels)
+    return out.join(F.broadcast(periods), F.col(name) == F.col("_t")).drop("_t")
 
 
 def mode_of(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hindcast.functions.scalar import squared_distance
+#: Vectors of a block where all pairs are looked at.
+BLOCK = 2_000
 
 # columns and contracts
 
@@ -122,16 +125,58 @@ def nearest_match(left: DataFrame, right: DataFrame, keys: Sequence[str], left_t
     return both.withColumn("_best", best).select(*columns, F.col("_best.t").alias(right_time), F.col("_best.v").alias(value))
 
 
+def block_pairs(left: DataFrame, right: DataFrame, id_col: str, vec: str, meet, schema: str, block: int = BLOCK) -> DataFrame:
+    """meet(left ids, left matrix, right ids, right matrix) of every block of left rows with every block of right rows.
+
+    All pairs are looked at, but none is a row: a task holds two blocks of about ``block`` vectors each, dealt by a hash
+    of the id, and returns what meet makes of them (a frame with the columns of schema).
+    """
+    a, b = (max(1, -(-df.count() // block)) for df in (left, right))
+    deal = lambda df, own, salt, n, other, m: df.select(F.col(id_col).alias("i"), F.transform(vec, lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(id_col, F.lit(salt)), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+    mine, theirs = deal(left, "a", 1, a, "b", b), deal(right, "b", 2, b, "a", a)
+
+    def both(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        return meet(x["i"].to_numpy(), np.stack(x["v"].to_numpy()), y["i"].to_numpy(), np.stack(y["v"].to_numpy()))
+
+    return mine.groupBy("a", "b").cogroup(theirs.groupBy("a", "b")).applyInPandas(both, schema)
+
+
+def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0)
+
+
 def nearest_points(test: DataFrame, train: DataFrame, id_col: str, vec: str, k: int = 5) -> DataFrame:
-    """Per test point: nearest train point, squared distance to it, mean of the k least. Test points meet train in blocks."""
-    from pyspark.sql.types import ArrayType  # noqa: F401
+    """Per test point: nearest train point, squared distance to it, mean of the k least.
 
-    blocks = train.select(F.pmod(F.xxhash64(id_col), F.lit(64)).alias("_b"), F.struct(F.col(id_col).alias("i"), F.col(vec).alias("v")).alias("_p")).groupBy("_b").agg(F.collect_list("_p").alias("_ps"))
-    least = F.slice(F.array_sort(F.transform("_ps", lambda p: F.struct(squared_distance(F.col(vec), p["v"]).alias("d"), p["i"].alias("i")))), 1, k)
-    met = test.select(id_col, vec).join(blocks).select(id_col, F.explode(least).alias("_n"))
-    w = Window.partitionBy(id_col).orderBy("_n.d", "_n.i")
+    Blocks meet as matrix products and keep their k least; a few more are taken, as the products round, and measured anew.
+    """
+
+    def least(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        d, many = squared_distances(x, y), min(len(j), k + 8)
+        near = np.argpartition(d, many - 1, axis=1)[:, :many]
+        exact = ((x[:, None, :] - y[near]) ** 2).sum(2)
+        order = np.lexsort((j[near], exact), axis=1)[:, :k]
+        return pd.DataFrame({"i": np.repeat(i, order.shape[1]), "d": np.take_along_axis(exact, order, 1).ravel(), "j": np.take_along_axis(j[near], order, 1).ravel()})
+
+    kind = test.schema[id_col].dataType.simpleString()
+    met = block_pairs(test, train, id_col, vec, least, f"i {kind}, d double, j {kind}")
+    w = Window.partitionBy("i").orderBy("d", "j")
     ranked = met.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k)
-    return ranked.groupBy(id_col).agg(F.min("_n")["i"].alias("nearest"), F.min("_n.d").alias("nearest_sq"), F.avg("_n.d").alias("mean_k_sq"))
+    return ranked.groupBy(F.col("i").alias(id_col)).agg(F.min(F.struct("d", "j"))["j"].alias("nearest"), F.min("d").alias("nearest_sq"), F.avg("d").alias("mean_k_sq"))
+
+
+def support_geometry(test: DataFrame, train: DataFrame, id_col: str, vec: str, bandwidth: float) -> DataFrame:
+    """Per test point, over all train points: largest and mean Gaussian similarity, and the share within the bandwidth."""
+
+    def sums(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        d = squared_distances(x, y)
+        k = np.exp(-d / bandwidth)
+        return pd.DataFrame({"i": i, "n": len(j), "most": k.max(1), "total": k.sum(1), "near": (d <= bandwidth).sum(1)})
+
+    met = block_pairs(test, train, id_col, vec, sums, f"i {test.schema[id_col].dataType.simpleString()}, n long, most double, total double, near long")
+    return met.groupBy(F.col("i").alias(id_col)).agg(F.max("most").alias("similarity"), (F.sum("total") / F.sum("n")).alias("density"), (F.sum("near") / F.sum("n")).alias("mass"))
 
 
 def shared_pairs(df: DataFrame, entity: str, context: str, value: str) -> DataFrame:

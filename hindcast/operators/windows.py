@@ -52,9 +52,37 @@ def others_mean(keys: Sequence[str], value: str) -> Column:
     return F.try_divide(F.sum(value).over(w) - F.col(value), F.count(value).over(w) - 1)
 
 
-def leave_one_out_mean(keys: Sequence[str], value: str) -> Column:
-    """Other rows of the key, else all other rows."""
-    return F.coalesce(others_mean(keys, value), others_mean([], value))
+def leave_one_out_mean(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Mean over the other rows of the key, else over all other rows; null for a row alone. Sums are joined, not windowed."""
+    per = df.groupBy(*keys).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
+    whole = per.agg(F.sum("_s").alias("_ws"), F.sum("_c").alias("_wc"))
+    per = per.select(*[F.col(k).alias(f"_{k}") for k in keys], "_s", "_c")
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & df[k].eqNullSafe(per[f"_{k}"])
+    # one row: the sums over all rows
+    out = df.join(per, cond).join(F.broadcast(whole))
+    own = lambda s, c: F.try_divide(F.col(s) - F.col(value), F.col(c) - 1)
+    return out.withColumn(name, F.coalesce(own("_s", "_c"), own("_ws", "_wc"))).drop("_s", "_c", "_ws", "_wc", *[f"_{k}" for k in keys])
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Number of each row from 0 in that order, over the whole table: ranges are sorted and counted apart, then shifted."""
+    from hindcast.sources.scratch import stored
+
+    ranges = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    shift = ranges.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    # as many rows as ranges
+    shift = shift.select("_part", F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_shift"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    out = ranges.withColumn("_own", own).join(F.broadcast(shift), "_part")
+    return out.withColumn(name, F.coalesce("_shift", F.lit(0)) + F.col("_own")).drop("_part", "_own", "_shift")
+
+
+def coded(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Place of the row's value among the distinct values in order, from 0."""
+    codes = numbered(df.select(F.col(column).alias("_v")).distinct(), ["_v"], name)
+    return df.join(codes, df[column].eqNullSafe(codes["_v"])).drop("_v")
 
 
 def mean_step(keys: Sequence[str], order: str, value: str) -> Column:

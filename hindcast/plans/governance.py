@@ -8,7 +8,7 @@ from hindcast.functions import scalar as S
 from hindcast.operators import aggregates as A
 from hindcast.operators import relational as R
 from hindcast.sources import readers
-from hindcast.sources.scratch import shared_path
+from hindcast.sources.scratch import shared_path, stored
 from hindcast.streaming import events as E
 
 from .bindings import DAILY_SQL, PREDICTIONS_SQL, cells, daily, load, n, predictions, r
@@ -24,12 +24,16 @@ def sealed(spark, d):
 
 def prediction_seal(spark, d):
     """Digest of a sealed table; shuffled rows give the same, a changed value does not."""
-    p = sealed(spark, d)
-    own = p.agg(S.seal("entity", "context", "predicted").alias("digest"), n(F.count(F.lit(1)), "rows"))
-    again = p.orderBy(F.xxhash64("context", "entity")).agg(S.seal("entity", "context", "predicted").alias("again"))
-    changed = p.withColumn("predicted", F.when(F.col("entity") == "Brand#1", F.col("predicted") + 1).otherwise(F.col("predicted")).cast("decimal(18,3)")).agg(S.seal("entity", "context", "predicted").alias("changed"))
-    one = [t.withColumn("_one", F.lit(1)) for t in (own, again, changed)]
-    return one[0].join(one[1], "_one").join(one[2], "_one").select("digest", "rows", (F.col("digest") == F.col("again")).alias("order_free"), (F.col("digest") != F.col("changed")).alias("tamper_seen"))
+    p = stored(sealed(spark, d), "sealed")
+    line = S.row_text("entity", "context", "predicted")
+    own = S.seal(p, line)
+    again = S.seal(p.repartition(7, F.xxhash64("context", "entity")), line).select(F.col("digest").alias("again"))
+    first = p.agg(F.min(F.struct("entity", "context")).alias("least"))
+    # one row: the cell whose value is changed
+    other = p.join(F.broadcast(first)).withColumn("predicted", F.when(F.struct("entity", "context") == F.col("least"), F.col("predicted") + 1).otherwise(F.col("predicted")).cast("decimal(18,3)"))
+    changed = S.seal(other, line).select(F.col("digest").alias("changed"))
+    # one row each
+    return own.join(F.broadcast(again)).join(F.broadcast(changed)).select("digest", n("rows", "rows"), (F.col("digest") == F.col("again")).alias("order_free"), (F.col("digest") != F.col("changed")).alias("tamper_seen"))
 
 
 def observable_cohort(spark, d):
@@ -165,11 +169,14 @@ def topic_evidence(spark, d):
 
 
 QUERIES = {
-    "prediction_seal": (prediction_seal, f"WITH {PREDICTIONS_SQL} SELECT sha256(string_agg(l, chr(10) ORDER BY l)) AS digest, count(*) AS rows, true AS order_free, true AS tamper_seen FROM (SELECT {LINE} AS l FROM predictions WHERE model = 'G+E' AND year = 2001)"),
+    "prediction_seal": (prediction_seal, f"""WITH {PREDICTIONS_SQL}, s AS (SELECT entity, context, predicted FROM predictions WHERE model = 'G+E' AND year = 2001), t AS (SELECT min((entity, context)) AS least FROM s),
+        c AS (SELECT entity, context, predicted + ((entity, context) = least)::INT AS predicted FROM s, t), a AS ({S.seal_sql(f"SELECT {LINE} AS l FROM s")}), b AS ({S.seal_sql(f"SELECT {LINE} AS l FROM c")}), r AS ({S.seal_sql(f"SELECT {LINE} AS l FROM (SELECT * FROM s ORDER BY context DESC, entity)")})
+        SELECT a.digest, a.rows, a.digest = r.digest AS order_free, a.digest <> b.digest AS tamper_seen FROM a, b, r"""),
     "observable_cohort": (observable_cohort, f"WITH {PREDICTIONS_SQL} SELECT replicates >= 10 AS present, count(*) AS cells, count(DISTINCT context) AS contexts FROM cells WHERE year = 2001 GROUP BY 1"),
     "reveal_scores": (reveal_scores, f"WITH {INTERVALS_SQL} SELECT nation, count(*) AS n, round(sqrt(avg((predicted-observed)*(predicted-observed))), 4) AS rmse, round(avg((err <= q)::INT), 6) AS coverage, avg((err <= q)::INT) >= 0.85 AS passes FROM ints WHERE level = 0.9 AND year = 2001 GROUP BY nation"),
     "gate_check": (gate_check, f"WITH {PREDICTIONS_SQL} SELECT count(DISTINCT entity) = 25 AND count(DISTINCT nation) = 25 AND count(DISTINCT year) = 7 AS holds FROM cells"),
-    "reproduction_audit": (reproduction_audit, "SELECT * FROM (VALUES ('Mean', true), ('G', true), ('E', true), ('G+E', true)) t(model, reproduced)"),
+    "reproduction_audit": (reproduction_audit, f"""WITH {PREDICTIONS_SQL}, a AS (SELECT model, sqrt(avg((predicted-observed)**2)) AS a FROM predictions GROUP BY model),
+        b AS (SELECT model, sqrt(sum(s) / sum(c)) AS b FROM (SELECT model, context, sum((predicted-observed)**2) AS s, count(*) AS c FROM predictions GROUP BY ALL) GROUP BY model) SELECT model, abs(a - b) <= 1e-8 AS reproduced FROM a JOIN b USING (model)"""),
     "metadata_audit": (metadata_audit, """WITH o AS (SELECT o_custkey AS k, list_sort(list(o_orderdate::DATE)) AS l, count(DISTINCT o_orderdate::DATE) AS n FROM orders GROUP BY 1)
         SELECT c_custkey AS k, CASE WHEN n IS NULL THEN 'NO_DATE' WHEN n = 1 THEN 'ONE_DATE' ELSE 'SEVERAL_DATES' END AS reason, strftime(l[len(l) // 2 + 1], '%Y-%m-%d') AS median_date FROM customer LEFT JOIN o ON c_custkey = k"""),
     "conflicting_duplicates": (conflicting_duplicates, "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, count(DISTINCT l_returnflag) AS values, count(*) AS rows FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_returnflag) > 1"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hindcast.operators import aggregates as A
 from hindcast.operators import windows as W
+from hindcast.sources.scratch import stored
 
 from .bindings import CELLS_SQL, PLOTS_SQL, PREDICTIONS_SQL, cells, n, plots, predictions, r
 
@@ -27,13 +28,18 @@ def bundle(df: DataFrame, *keys: str) -> DataFrame:
 
 def intervals(spark, d) -> DataFrame:
     """Forward intervals of the G+E predictor: per test year and level, the quantile of strictly earlier absolute errors."""
-    p = predictions(spark, d).where("model = 'G+E'").withColumn("err", F.abs(F.col("observed") - F.col("predicted")))
-    years = p.select(F.col("year").alias("test_year")).distinct()
-    # every test year takes the errors of earlier years: errors fan out to at most the number of years
-    pool = p.select("year", "err").join(F.broadcast(years), F.col("year") < F.col("test_year"))
-    history = pool.groupBy("test_year").agg(F.countDistinct("year").alias("years"))
-    q = A.finite_sample_quantile(pool, ["test_year"], "err", LEVELS).join(history, "test_year").where("years >= 2")
-    return p.join(F.broadcast(q.withColumnRenamed("test_year", "year").select("year", "level", "q")), "year")
+    return with_intervals(forward_errors(spark, d))
+
+
+def forward_errors(spark, d) -> DataFrame:
+    """Predictions of G+E with their absolute errors, written once, as several passes read them."""
+    return stored(predictions(spark, d).where("model = 'G+E'").withColumn("err", F.abs(F.col("observed") - F.col("predicted"))), "errors")
+
+
+def with_intervals(p: DataFrame) -> DataFrame:
+    q = A.prior_quantile(p, "year", "err", LEVELS, "year").where("periods >= 2").select("year", "level", "q")
+    # as many rows as years and levels
+    return p.join(F.broadcast(q), "year")
 
 
 INTERVALS_SQL = (
@@ -50,11 +56,12 @@ ints AS (SELECT g.*, level, q FROM ge g JOIN quant USING (year))"""
 
 
 def forward_interval_coverage(spark, d):
-    rows = intervals(spark, d).withColumn("hit", (F.col("err") <= F.col("q")).cast("double"))
+    errors = forward_errors(spark, d)
+    rows = with_intervals(errors).withColumn("hit", (F.col("err") <= F.col("q")).cast("double"))
     per = rows.groupBy("year", "level", "context").agg(F.avg("hit").alias("m"), F.sum("hit").alias("s"), F.count(F.lit(1)).alias("c"), F.max("q").alias("q"))
     out = per.groupBy("year", "level").agg(F.sum("c").alias("cells"), (F.sum("s") / F.sum("c")).alias("coverage"), F.avg("m").alias("balanced"), (2 * F.max("q")).alias("width"))
     known = out.select("year", "level", n("cells", "cells"), r("coverage", "coverage", 6), r("balanced", "balanced_coverage", 6), r("width", "width"), F.lit("CALIBRATED").alias("status"))
-    short = predictions(spark, d).where("model = 'G+E'").groupBy("year").agg(F.count(F.lit(1)).alias("cells")).join(out.select("year").distinct(), "year", "left_anti")
+    short = errors.groupBy("year").agg(F.count(F.lit(1)).alias("cells")).join(out.select("year").distinct(), "year", "left_anti")
     none = short.select("year", F.lit(None).cast("double").alias("level"), n("cells", "cells"), *[F.lit(None).cast("double").alias(c) for c in ("coverage", "balanced_coverage", "width")], F.lit("INSUFFICIENT_CALIBRATION_HISTORY").alias("status"))
     return known.unionByName(none)
 
@@ -99,7 +106,7 @@ def model_spearman(spark, d):
 
 
 def fold_and_pooled_metrics(spark, d):
-    p = predictions(spark, d).where("model = 'G+E'").withColumn("fold", F.pmod(F.dense_rank().over(W.Window.orderBy("nation")) - 1, F.lit(5)).cast("long"))
+    p = W.coded(predictions(spark, d).where("model = 'G+E'"), "nation", "_code").withColumn("fold", F.pmod("_code", F.lit(5)).cast("long"))
     e = F.col("predicted") - F.col("observed")
     out = A.grouped_summaries(p, [["fold"], []], [F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae")])
     return out.select("fold", n("n", "n"), r("rmse", "rmse"), r("mae", "mae"))

@@ -56,8 +56,8 @@ def S_plain(name: str) -> str:
 def melted_grid(spark, d):
     wide = cells(spark, d).where("nation in ('NATION_1', 'NATION_2', 'NATION_3')").groupBy("entity").pivot("nation", ["NATION_1", "NATION_2", "NATION_3"]).agg(F.sum("replicates"))
     long = R.melt(wide, ["entity"], ["NATION_1", "NATION_2", "NATION_3"], "context", "replicates")
-    code = lambda c: (F.dense_rank().over(W.Window.orderBy(c)) - 1).cast("long")
-    return long.select("entity", "context", n("replicates", "replicates"), code("entity").alias("entity_code"), code("context").alias("context_code"))
+    long = W.coded(W.coded(long, "entity", "entity_code"), "context", "context_code")
+    return long.select("entity", "context", n("replicates", "replicates"), n("entity_code", "entity_code"), n("context_code", "context_code"))
 
 
 def finite_mask(spark, d):
@@ -121,7 +121,7 @@ def candidate_universe(spark, d):
     e = c.where("year < 1997").select("entity").distinct()
     x = c.where("year = 2001").select("context").distinct()
     # a product by definition: every entity with every feasible context
-    return e.crossJoin(x).agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws("|", "entity", "context")))), 256).alias("digest"), n(F.count(F.lit(1)), "pairs"))
+    return S.seal(e.crossJoin(x), F.concat_ws("|", "entity", "context")).select("digest", n("rows", "pairs"))
 
 
 def scenario_grid(spark, d):
@@ -333,7 +333,7 @@ QUERIES = {
     "missing_keys": (missing_keys, sql("SELECT entity, nation, CASE WHEN entity < 'Brand#2' THEN 'EARLY_BRAND' ELSE 'ABSENT_IN_1995' END AS reason FROM cells a WHERE year = 2001 AND NOT EXISTS (SELECT 1 FROM cells b WHERE b.year = 1995 AND replicates > 12 AND a.entity = b.entity AND a.nation = b.nation)", CELLS_SQL)),
     "paired_segments": (paired_segments, sql("""m AS (SELECT entity, nation, segment, CAST(sum(price) AS DOUBLE) / count(*) AS o FROM plots GROUP BY ALL)
         SELECT entity, nation, round(x.o, 7) AS a, round(y.o, 7) AS b, round(y.o - x.o, 6) + 0 AS difference FROM m x JOIN m y USING (entity, nation) WHERE x.segment = 'AUTOMOBILE' AND y.segment = 'BUILDING'""", PLOTS_SQL + ",")),
-    "candidate_universe": (candidate_universe, sql("SELECT sha256(string_agg(e || '|' || x, chr(10) ORDER BY e || '|' || x)) AS digest, count(*) AS pairs FROM (SELECT DISTINCT entity AS e FROM cells WHERE year < 1997), (SELECT DISTINCT context AS x FROM cells WHERE year = 2001)", CELLS_SQL)),
+    "candidate_universe": (candidate_universe, sql(f"SELECT digest, rows AS pairs FROM ({S.seal_sql('SELECT e || chr(124) || x AS l FROM (SELECT DISTINCT entity AS e FROM cells WHERE year < 1997), (SELECT DISTINCT context AS x FROM cells WHERE year = 2001)')})", CELLS_SQL)),
     "scenario_grid": (scenario_grid, "SELECT alpha, gamma, fold, row_number() OVER (ORDER BY alpha, gamma, fold) AS scenario FROM (VALUES (0.1::DOUBLE), (1.0), (10.0)) a(alpha), (VALUES (0.5::DOUBLE), (1.0), (2.0)) g(gamma), range(5) f(fold)"),
     "interval_aggregate": (interval_aggregate, sql("""SELECT user_id, horizon, round(avg(v_mean),9) + 0 AS mean, round(min(v_min),9) + 0 AS low, round(max(v_max),9) + 0 AS high, round(sum(v_sum),9) + 0 AS total, count(*) AS days
         FROM daily JOIN firsts USING (user_id) CROSS JOIN (VALUES ('T1', 7), ('T2', 14)) h(horizon, k) WHERE date BETWEEN anchor AND anchor + k::INTEGER GROUP BY ALL""", FIRST_SQL)),
