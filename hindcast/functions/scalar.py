@@ -158,9 +158,9 @@ def seal_sql(lines: str, digits: int = 4) -> str:
 
 
 def count_sketch_place(marker: Column, width: int) -> tuple[Column, Column]:
-    """Bucket and sign of a marker in a count sketch."""
-    h = F.xxhash64(marker)
-    return F.pmod(h, F.lit(width)), F.when(F.pmod(F.xxhash64(marker, F.lit(1)), F.lit(2)) == 0, 1).otherwise(-1)
+    """Bucket and sign of a marker in a count sketch, from its md5: the same in every engine."""
+    number = lambda at: F.conv(F.substring(F.md5(marker.cast("string")), at, 8), 16, 10).cast("long")
+    return F.pmod(number(1), F.lit(width)), F.when(F.pmod(number(9), F.lit(2)) == 0, 1).otherwise(-1)
 
 
 # claims

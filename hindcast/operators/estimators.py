@@ -66,18 +66,85 @@ def predict_linear(df: DataFrame, vec: str, coefficients: Sequence[float], name:
     return df.withColumn(name, F.lit(float(coefficients[0])) + F.aggregate(F.zip_with(vec, w, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x))
 
 
-def relationship(dosage: DataFrame, sample: str, marker: str, value: str, ploidy: int = 2) -> DataFrame:
+def relationship(dosage: DataFrame, sample: str, marker: str, value: str, ploidy: int = 2, block: int = 1_000, markers: int = 1_000) -> DataFrame:
     """(a, b, g): sum over markers of centred products over ploidy * sum p (1 - p); markers without variation are left out.
 
-    Long form: pairs of samples meet by marker and are added up before the shuffle. Pairs are the result itself.
+    Blocks of about ``block`` samples meet as matrix products over about ``markers`` markers at a time; what is shuffled is
+    a sum for each pair and chunk of markers. Pairs are the result itself. A sample without a marker counts as average.
     """
     p = dosage.groupBy(marker).agg((F.avg(value) / ploidy).alias("_p")).where((F.col("_p") > 0) & (F.col("_p") < 1))
-    scale = p.agg((ploidy * F.sum(F.col("_p") * (1 - F.col("_p")))).alias("_s"))
-    z = dosage.join(F.broadcast(p), marker).select(marker, F.col(sample), (F.col(value) - ploidy * F.col("_p")).alias("_z"))
-    a, b = z.select(marker, F.col(sample).alias("a"), F.col("_z").alias("_za")), z.select(marker, F.col(sample).alias("b"), F.col("_z").alias("_zb"))
-    sums = a.join(b, marker).groupBy("a", "b").agg(F.sum(F.col("_za") * F.col("_zb")).alias("_t"))
-    # one row: the scale
-    return sums.join(F.broadcast(scale)).select("a", "b", (F.col("_t") / F.col("_s")).alias("g"))
+    many, total = p.agg(F.count(F.lit(1)), ploidy * F.sum(F.col("_p") * (1 - F.col("_p")))).first()
+    chunks = max(1, -(-many // markers))
+    blocks = max(1, -(-dosage.select(sample).distinct().count() // block))
+    z = dosage.join(p, marker).select(F.col(marker).alias("m"), F.col(sample).alias("s"), (F.col(value) - ploidy * F.col("_p")).alias("z"), F.pmod(F.xxhash64(marker), F.lit(chunks)).alias("c"), F.pmod(F.xxhash64(sample), F.lit(blocks)).alias("own"))
+    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    side = lambda own, other: z.select(*[F.col(x).alias(x) for x in "mszc"], F.col("own").alias(own), others.alias(other))
+    rows, columns = side("i", "j"), side("j", "i")
+    kind = dosage.schema[sample].dataType.simpleString()
+
+    def product(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": [], "t": []})
+        known = np.unique(np.concatenate([x["m"].to_numpy(), y["m"].to_numpy()]))
+        sides = []
+        for side in (x, y):
+            samples, at = np.unique(side["s"].to_numpy(), return_inverse=True)
+            dense = np.zeros((len(samples), len(known)))
+            dense[at, np.searchsorted(known, side["m"].to_numpy())] = side["z"].fillna(0).to_numpy()
+            sides.append((samples, dense))
+        (a, xs), (b, ys) = sides
+        return pd.DataFrame({"a": np.repeat(a, len(b)), "b": np.tile(b, len(a)), "t": (xs @ ys.T).ravel()})
+
+    sums = rows.groupBy("c", "i", "j").cogroup(columns.groupBy("c", "i", "j")).applyInPandas(product, f"a {kind}, b {kind}, t double")
+    return sums.groupBy("a", "b").agg((F.sum("t") / F.lit(total)).alias("g"))
+
+
+def standardised(df: DataFrame, vec: str, name: str) -> DataFrame:
+    """The vector with each feature centred and scaled by all rows (sd over n; a constant feature stays at zero)."""
+    g = gram_matrix(gram(df, vec))
+    mean = g[0, 1:] / g[0, 0]
+    sd = np.sqrt(np.maximum(np.diag(g)[1:] / g[0, 0] - mean**2, 0))
+    sd[sd <= 1e-12] = 1.0
+    array = lambda x: F.array(*[F.lit(float(v)) for v in x])
+    centred = F.zip_with(vec, array(mean), lambda x, m: x.cast("double") - m)
+    return df.withColumn(name, F.zip_with(centred, array(sd), lambda x, d: x / d))
+
+
+def reservoir(df: DataFrame, keys: Sequence[str], row: str, size: int, slices: int = 16) -> DataFrame:
+    """At most ``size`` rows of each key, those whose id has the least md5: the same rows whatever the order of arrival.
+
+    Each key is sampled in slices first, so that a key with very many rows is no single task's work.
+    """
+    from pyspark.sql import Window
+
+    own = df.withColumn("_h", F.md5(F.col(row).cast("string"))).withColumn("_s", F.pmod(F.xxhash64(row), F.lit(slices)))
+    for part in ([*keys, "_s"], list(keys)):
+        own = own.withColumn("_k", F.row_number().over(Window.partitionBy(*part).orderBy("_h", row))).where(F.col("_k") <= size)
+    return own.drop("_h", "_s", "_k")
+
+
+def shrunken_effect(train: DataFrame, keys: Sequence[str], value, alpha: float, name: str) -> DataFrame:
+    """Ridge effect of each key: the sum of its values over their number plus alpha."""
+    return train.groupBy(*keys).agg((F.sum(value) / (F.count(F.lit(1)) + alpha)).alias(name))
+
+
+def cross_fitted_effects(rows: DataFrame, fit: Sequence[str], entity: str, context: str, y: str, alpha: float, role: str = "role") -> DataFrame:
+    """Test rows of each fit with predictions of four models: Mean, G, E and G+E, fitted on its training rows alone.
+
+    G and E are ridge effects about the training mean, E of G+E about what G leaves; a key that training lacks has none.
+    """
+    train, test = rows.where(F.col(role) == "train"), rows.where(F.col(role) == "test")
+    fit = list(fit)
+    mean = train.groupBy(*fit).agg(F.avg(y).alias("m"))
+    train = train.join(mean, fit)
+    g = shrunken_effect(train, [*fit, entity], F.col(y) - F.col("m"), alpha, "g")
+    e = shrunken_effect(train, [*fit, context], F.col(y) - F.col("m"), alpha, "e")
+    rest = shrunken_effect(train.join(g, [*fit, entity]), [*fit, context], F.col(y) - F.col("m") - F.col("g"), alpha, "r")
+    out = test.join(mean, fit).join(g, [*fit, entity], "left").join(e, [*fit, context], "left").join(rest, [*fit, context], "left")
+    part = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    models = {"Mean": F.col("m"), "G": F.col("m") + part("g"), "E": F.col("m") + part("e"), "G+E": F.col("m") + part("g") + part("r")}
+    long = F.explode(F.array(*[F.struct(F.lit(k).alias("model"), v.alias("predicted")) for k, v in models.items()])).alias("p")
+    return out.select(*fit, entity, context, F.col(y).alias("observed"), long).select(*fit, entity, context, "observed", "p.*")
 
 
 def marker_quality(dosage: DataFrame, marker: str, value: str, ploidy: int = 2, least_maf: float = 0.05, most_missing: float = 0.1) -> DataFrame:
@@ -104,9 +171,9 @@ def cluster_bootstrap(stats: DataFrame, cluster: str, reps: int) -> DataFrame:
 
 def resampled(stats: DataFrame, cluster: str, reps: int) -> DataFrame:
     """(rep, n, r, c): the sums of n, sse_reference and sse_candidate over each draw of clusters, dealt by repetition."""
-    from pyspark.sql import Window
+    from .windows import numbered as number
 
-    numbered = stats.withColumn("_i", F.row_number().over(Window.orderBy(cluster)) - 1)
+    numbered = number(stats, [cluster], "_i").withColumn("_i", F.col("_i").cast("int"))
     size = stats.agg(F.count(F.lit(1)).alias("_m"))
     # one row: the number of clusters
     plan = stats.sparkSession.range(reps).select((F.col("id") + 1).alias("rep")).join(F.broadcast(size))
@@ -215,19 +282,49 @@ def reml_blup(y: np.ndarray, k: np.ndarray, low: float = -12.0, high: float = 12
         q = ((yt - mu * one) ** 2 / s).sum()
         return (n - 1) * np.log(q / (n - 1)) + np.log(s).sum() + np.log(a)
 
-    ratio, a, b = (np.sqrt(5) - 1) / 2, low, high
+    t = golden(loss, low, high)
+    s = np.maximum(w, 0) + np.exp(t)
+    mu = (one * yt / s).sum() / (one**2 / s).sum()
+    return t, mu, v @ (np.maximum(w, 0) / s * (yt - mu * one)), min(t - low, high - t) < 1e-3
+
+
+def reml_share(g: np.ndarray, low: float = -12.0, high: float = 12.0) -> tuple[float, float, bool]:
+    """log delta, mean and whether the search ended at a bound, from Gram sums of features and target: no row is needed.
+
+    With K = Z Z' / p of standardised features, eigenvalues and the target's part along each come from the p x p sums;
+    what is left of the target lies where K is zero, and so does the intercept.
+    """
+    n, mean = g[0, 0], g[0, 1:] / g[0, 0]
+    c = g[1:, 1:] - n * np.outer(mean, mean)
+    p = len(c) - 1
+    sd = np.maximum(np.sqrt(np.maximum(np.diag(c)[:-1] / n, 0)), 1e-12)
+    w, v = np.linalg.eigh(c[:-1, :-1] / np.outer(sd, sd) / p)
+    keep = w > 1e-10
+    w = w[keep]
+    along = (v.T @ (c[:-1, -1] / sd))[keep] ** 2 / (p * w)
+    rest, free = max(c[-1, -1] - along.sum(), 0.0), n - len(w)
+
+    def loss(t: float) -> float:
+        s, d = w + np.exp(t), np.exp(t)
+        q = (along / s).sum() + rest / d
+        return (n - 1) * np.log(q / (n - 1)) + np.log(s).sum() + free * t + np.log(n / d)
+
+    t = golden(loss, low, high)
+    return t, float(mean[-1]), min(t - low, high - t) < 1e-3
+
+
+def golden(loss, a: float, b: float, width: float = 1e-6) -> float:
+    """Where a function of one number is least, by golden section."""
+    ratio = (np.sqrt(5) - 1) / 2
     c, d = b - ratio * (b - a), a + ratio * (b - a)
-    while b - a > 1e-6:
+    while b - a > width:
         if loss(c) < loss(d):
             b, d = d, c
             c = b - ratio * (b - a)
         else:
             a, c = c, d
             d = a + ratio * (b - a)
-    t = (a + b) / 2
-    s = np.maximum(w, 0) + np.exp(t)
-    mu = (one * yt / s).sum() / (one**2 / s).sum()
-    return t, mu, v @ (np.maximum(w, 0) / s * (yt - mu * one)), min(t - low, high - t) < 1e-3
+    return (a + b) / 2
 
 
 def conjugate_gradient(apply, b: np.ndarray, diagonal: np.ndarray, tolerance: float = 1e-7, most: int = 1000) -> np.ndarray:
@@ -248,22 +345,31 @@ def conjugate_gradient(apply, b: np.ndarray, diagonal: np.ndarray, tolerance: fl
     return x
 
 
-def kernel_ridge_by_group(df: DataFrame, keys: Sequence[str], vec: str, target: str, role: str, alpha: float) -> DataFrame:
-    """Per group: RBF kernel ridge on its training rows (role = "train"), predictions for the others, by CG."""
-    schema = ", ".join([f"{k} {df.schema[k].dataType.simpleString()}" for k in keys] + ["row_id long", "predicted double"])
-
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        train, test = pdf[pdf[role] == "train"], pdf[pdf[role] != "train"]
-        if not len(train) or not len(test):
-            return pd.DataFrame({**{k: [] for k in keys}, "row_id": [], "predicted": []})
-        x, z = np.stack(train[vec].to_numpy()).astype(float), np.stack(test[vec].to_numpy()).astype(float)
-        y = train[target].to_numpy(dtype=float)
-        width = median_bandwidth(x)
-        k = rbf_kernel(x, x, width)
-        coef = conjugate_gradient(lambda v: k @ v + alpha * v, y - y.mean(), np.diag(k) + alpha)
-        out = pd.DataFrame({"row_id": test["row_id"].to_numpy(), "predicted": y.mean() + rbf_kernel(z, x, width) @ coef})
-        for name, value in zip(keys, key, strict=True):
-            out[name] = value
-        return out[[*keys, "row_id", "predicted"]]
-
-    return df.groupBy(*keys).applyInPandas(fit, schema)
+#: Rows that stand for all where a kernel matrix is needed as a whole.
+LANDMARKS = 256
+
+
+def kernel_ridge(train: DataFrame, test: DataFrame, id_col: str, vec: str, target: str, alpha: float, landmarks: int = LANDMARKS) -> DataFrame:
+    """Test rows with ``predicted``: RBF kernel ridge about the training mean, through a map on landmarks (Nystroem).
+
+    At most ``landmarks`` training rows, those whose id has the least md5, span the map, and their median distance is the
+    bandwidth. All training rows enter the fit, as Gram sums of the map. With as many landmarks as training rows this is
+    kernel ridge itself; with fewer it is the best fit in their span.
+    """
+    picked = train.orderBy(F.md5(F.col(id_col).cast("string")), id_col).limit(landmarks).select(F.transform(vec, lambda x: x.cast("double")).alias("v")).collect()
+    if not picked:
+        return test.withColumn("predicted", F.lit(None).cast("double"))
+    x = np.array([r["v"] for r in picked])
+    width = median_bandwidth(x)
+    w, v = np.linalg.eigh(rbf_kernel(x, x, width))
+    keep = w > 1e-10 * w.max()
+    root = v[:, keep] / np.sqrt(w[keep])
+
+    @F.pandas_udf("array<double>")
+    def mapped(rows: pd.Series) -> pd.Series:
+        return pd.Series(list(rbf_kernel(np.stack(rows.to_numpy()).astype(float), x, width) @ root)) if len(rows) else rows
+
+    g = gram_matrix(gram(train.select(mapped(vec).alias("f"), target), "f", target))
+    mean = g[0, -1] / g[0, 0]
+    coef = np.linalg.solve(g[1:-1, 1:-1] + alpha * np.eye(len(g) - 2), g[1:-1, -1] - mean * g[1:-1, 0])
+    return predict_linear(test.withColumn("_f", mapped(vec)), "_f", [mean, *coef]).drop("_f")

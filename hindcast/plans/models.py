@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from hindcast.functions import scalar as S
 from hindcast.operators import aggregates as A
 from hindcast.operators import estimators as M
+from hindcast.operators import relational as R
+from hindcast.operators import windows as W
 
 from .bindings import CELLS_SQL, PREDICTIONS_SQL, cells, load, n, predictions, r
 from .metrics import INTERVALS_SQL, intervals
 
-REPS = 200
+REPS = 2_000
 
 
 def gram_sums(spark, d):
@@ -57,7 +59,7 @@ def marker_quality(spark, d):
 
 
 def marker_sketch(spark, d):
-    """Markers summed by sign into sixteen buckets per sample: sizes only, as the hash is the engine's own."""
+    """Markers summed by sign into sixteen buckets per sample; the size of each sketch."""
     x = dosages(spark, d)
     bucket, sign = S.count_sketch_place(F.col("marker"), 16)
     out = x.groupBy("vec_id", bucket.alias("bucket")).agg(F.sum(sign * F.col("dose")).alias("s"))
@@ -77,11 +79,13 @@ def bootstrap_delta(spark, d):
 
 def kernel_ridge(spark, d):
     """RBF kernel ridge of the label by fold parity; the metrics of both directions."""
-    e = load(spark, d, "embeddings").withColumn("fold", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("role", F.when(F.pmod("vec_id", F.lit(2)) == F.col("fold"), "test").otherwise("train"))
-    e = e.withColumnRenamed("vec_id", "row_id").withColumn("y", F.col("label").cast("double"))
-    out = M.kernel_ridge_by_group(e, ["fold"], "embedding", "y", "role", 1.0)
-    m = A.regression_metrics(out.join(load(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("label").cast("double").alias("observed")), "row_id"), ["fold"])
-    return m.select(n("fold", "fold"), n("n", "n"), r("rmse", "rmse", 3))
+    e = load(spark, d, "embeddings").withColumn("observed", F.col("label").cast("double"))
+    out = None
+    for fold in (0, 1):
+        own = F.pmod("vec_id", F.lit(2)) == fold
+        one = M.kernel_ridge(e.where(~own), e.where(own), "vec_id", "embedding", "observed", 1.0).withColumn("fold", F.lit(fold))
+        out = one if out is None else out.union(one)
+    return A.regression_metrics(out, ["fold"]).select(n("fold", "fold"), n("n", "n"), r("rmse", "rmse", 3))
 
 
 def principal_shares(spark, d):
@@ -104,21 +108,95 @@ def cluster_folds(spark, d):
 
 
 def reml_heritability(spark, d):
-    """Genetic share of the label's variance by REML on 32 markers, one fit per parity group."""
-    import pandas as pd
+    """Genetic share of the label's variance by REML on the standardised embedding, one fit per parity group."""
+    e = load(spark, d, "embeddings")
+    rows = []
+    for part in (0, 1):
+        t, mean, edge = M.reml_share(M.gram_matrix(M.gram(e.where(F.pmod("vec_id", F.lit(2)) == part), "embedding", "label")))
+        rows.append((part, float(1 / (1 + np.exp(t))), mean, bool(edge)))
+    return spark.createDataFrame(rows, "part long, share double, mean double, at_bound boolean").select("part", r("share", "share", 3), r("mean", "mean", 3), "at_bound")
 
-    from hindcast.operators.estimators import reml_blup
 
-    e = load(spark, d, "embeddings").withColumn("part", F.pmod("vec_id", F.lit(2)))
+def standardised_relationship(spark, d):
+    """Relationship of standardised features scaled to a mean diagonal of one: each row's own, and its tie to the first."""
+    z = M.standardised(load(spark, d, "embeddings"), "embedding", "z")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    z = z.withColumn("q", dot("z", "z"))
+    first = z.agg(F.avg("q").alias("scale"), F.min_by("z", "vec_id").alias("f"))
+    # one row: the scale and the first row's features
+    return z.join(F.broadcast(first)).select("vec_id", r(F.col("q") / F.col("scale"), "own", 6), r(dot("z", "f") / F.col("scale"), "with_first", 6))
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf.sort_values("vec_id")["embedding"].to_numpy()).astype(float)
-        x = (x - x.mean(0)) / np.maximum(x.std(0), 1e-12)
-        t, mu, u, edge = reml_blup(pdf.sort_values("vec_id")["label"].to_numpy(dtype=float), x @ x.T / x.shape[1])
-        return pd.DataFrame({"part": [key[0]], "share": [1 / (1 + np.exp(t))], "mean": [mu], "at_bound": [bool(edge)]})
 
-    out = e.groupBy("part").applyInPandas(fit, "part long, share double, mean double, at_bound boolean")
-    return out.select("part", r("share", "share", 3), r("mean", "mean", 3), "at_bound")
+def support_geometry(spark, d):
+    """How near each test vector is to the training ones: largest and mean similarity, and mass within the bandwidth.
+
+    The bandwidth is the mean squared distance between two training vectors.
+    """
+    e = load(spark, d, "embeddings")
+    train = e.where("label < 5")
+    g = M.gram_matrix(M.gram(train, "embedding"))
+    spread = 2 * (np.diag(g)[1:] / g[0, 0] - (g[0, 1:] / g[0, 0]) ** 2).sum()
+    out = R.support_geometry(e.where("label >= 5"), train, "vec_id", "embedding", float(spread))
+    return out.select("vec_id", r("similarity", "similarity", 6), r("density", "density", 6), r("mass", "mass", 4))
+
+
+def effective_rank(spark, d):
+    """Effective rank of the embeddings of each label: squared trace of their covariance over the trace of its square."""
+    e = load(spark, d, "embeddings")
+    rows = []
+    for label in sorted(x["label"] for x in e.select("label").distinct().collect()):  # as many fits as labels
+        g = M.gram_matrix(M.gram(e.where(F.col("label") == label), "embedding"))
+        c = g[1:, 1:] / g[0, 0] - np.outer(g[0, 1:], g[0, 1:]) / g[0, 0] ** 2
+        rows.append((int(label), int(g[0, 0]), float(np.trace(c) ** 2 / max((c * c).sum(), 1e-300))))
+    return spark.createDataFrame(rows, "label long, rows long, rank double").select("label", "rows", r("rank", "rank", 4))
+
+
+def designs(spark, d):
+    """Cells with a role in each fold of three designs: contexts held out, contexts and entities, sparse mask."""
+    c = W.coded(W.coded(cells(spark, d), "entity", "g"), "context", "e").crossJoin(F.broadcast(spark.range(5).select(F.col("id").alias("scenario"))))
+    at = lambda x: F.pmod(x, F.lit(5)) == F.col("scenario")
+    g, e, ge = at(F.col("g")), at(F.col("e")), at(F.col("g") + F.col("e"))
+    both = F.when(g & e, "test").when(~g & ~e, "train").otherwise("unused")
+    roles = {"CV-E": F.when(e, "test").otherwise("train"), "CV-GE": both, "SPARSE": F.when(ge, "test").otherwise("train")}
+    x = F.explode(F.array(*[F.struct(F.lit(k).alias("regime"), v.alias("role")) for k, v in roles.items()])).alias("x")
+    return c.select("entity", "context", "observed", "scenario", x).select("x.regime", "scenario", "x.role", "entity", "context", "observed")
+
+
+def cross_fitted_models(spark, d):
+    """Mean, G, E and G+E by ridge effects in three cross-validation designs: metrics of each fold."""
+    out = M.cross_fitted_effects(designs(spark, d), ["regime", "scenario"], "entity", "context", "observed", 1.0)
+    m = A.regression_metrics(out, ["regime", "scenario", "model"])
+    return m.select("regime", "scenario", "model", n("n", "n"), r("rmse", "rmse"), r("mae", "mae"))
+
+
+ALPHAS = (0.5, 2.0, 8.0, 32.0)
+
+
+def nested_search(spark, d):
+    """Penalty of entity effects per outer fold of contexts, by inner folds grouped by context; ties take the least.
+
+    Sums per entity and fold are all that inner and outer fits need, so the cells are read once.
+    """
+    c = W.coded(cells(spark, d), "context", "e").withColumn("fold", F.pmod("e", F.lit(5)))
+    per = c.groupBy("entity", "fold").agg(F.sum("observed").alias("s"), F.sum(F.col("observed") * F.col("observed")).alias("q"), F.count(F.lit(1)).alias("c"))
+    whole = F.broadcast(spark.range(5))
+    # (outer, inner) with inner = outer for the outer fit; training folds are all others
+    plans = whole.select(F.col("id").alias("outer")).crossJoin(whole.select(F.col("id").alias("inner")))
+    train = per.join(F.broadcast(plans), (F.col("fold") != F.col("outer")) & (F.col("fold") != F.col("inner")))
+    mean = train.groupBy("outer", "inner").agg((F.sum("s") / F.sum("c")).alias("m"))
+    g = train.groupBy("outer", "inner", "entity").agg(F.sum("s").alias("ts"), F.sum("c").alias("tc")).join(mean, ["outer", "inner"])
+    held = per.withColumnRenamed("fold", "inner").join(g, ["entity", "inner"])
+    held = held.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in ALPHAS])))
+    p = F.col("m") + (F.col("ts") - F.col("tc") * F.col("m")) / (F.col("tc") + F.col("alpha"))
+    held = held.withColumn("sse", F.col("q") - 2 * p * F.col("s") + F.col("c") * p * p)
+    tried = held.where("inner <> outer").groupBy("outer", "alpha").agg(F.round(F.sum("sse") / F.sum("c"), 2).alias("mse"))
+    best = tried.groupBy("outer").agg(F.min_by("alpha", F.struct("mse", "alpha")).alias("alpha"), F.min("mse").alias("inner_mse"))
+    outer = held.where("inner = outer").groupBy("outer", "alpha").agg((F.sum("sse") / F.sum("c")).alias("mse"))
+    return best.join(outer, ["outer", "alpha"]).select(n("outer", "fold"), "alpha", r("inner_mse", "inner_mse", 2), r("mse", "outer_mse", 2))
+
+
+def reservoir_sample(spark, d):
+    return M.reservoir(load(spark, d, "embeddings"), ["label"], "vec_id", 20).select(n("label", "label"), "vec_id")
 
 
 def grid_search(spark, d):
@@ -155,7 +233,7 @@ def rank_slices(spark, d):
 
 
 def mixed_kernel_ranks(spark, d):
-    """Directions that two averaged RBF kernels of label groups need for 90 % of their trace."""
+    """Directions that two averaged RBF kernels need for 90 % of their trace, on at most LANDMARKS vectors of each label."""
     import pandas as pd
 
     e = load(spark, d, "embeddings").select(F.col("label").cast("long").alias("label"), "vec_id", "embedding")
@@ -166,7 +244,7 @@ def mixed_kernel_ranks(spark, d):
         v, _ = M.nystrom_map(k)
         return pd.DataFrame({"label": [key[0]], "rows": [len(x)], "rank": [v.shape[1]]})
 
-    return e.groupBy("label").applyInPandas(fit, "label long, rows long, rank long")
+    return M.reservoir(e, ["label"], "vec_id", M.LANDMARKS).groupBy("label").applyInPandas(fit, "label long, rows long, rank long")
 
 
 def model_families(spark, d):
@@ -212,7 +290,35 @@ QUERIES = {
         z AS (SELECT vec_id, marker, dose - 2*p AS z FROM dose JOIN p USING (marker) WHERE p > 0 AND p < 1), g AS (SELECT a.vec_id AS a, b.vec_id AS b, sum(a.z*b.z)/any_value(s) AS g FROM z a JOIN z b USING (marker), s GROUP BY ALL)
         SELECT a AS vec_id, round(sum(g) FILTER (WHERE a = b), 4) AS own, round(sum(abs(g)), 3) AS size FROM g GROUP BY a"""),
     "marker_quality": (marker_quality, f"WITH {DOSE_SQL}, f AS (SELECT marker, avg(dose)/2 AS f FROM dose GROUP BY marker) SELECT marker, round(f, 4) AS freq, round(least(f, 1-f), 4) AS maf, 0.0::DOUBLE AS missing, least(f, 1-f) >= 0.45 AS passes FROM f"),
-    "marker_sketch": (marker_sketch, None),
+    "marker_sketch": (marker_sketch, f"""WITH {DOSE_SQL}, h AS (SELECT vec_id, dose, md5(marker::VARCHAR) AS m FROM dose),
+        b AS (SELECT vec_id, ('0x' || substr(m, 1, 8))::BIGINT % 16 AS bucket, sum(dose * CASE WHEN ('0x' || substr(m, 9, 8))::BIGINT % 2 = 0 THEN 1 ELSE -1 END) AS s FROM h GROUP BY ALL)
+        SELECT vec_id, round(sqrt(sum(s * s)), 4) AS norm FROM b GROUP BY vec_id"""),
+    "standardised_relationship": (standardised_relationship, """WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+        z AS (SELECT vec_id, i, coalesce((x - avg(x) OVER (PARTITION BY i)) / nullif(stddev_pop(x) OVER (PARTITION BY i), 0), 0) AS z FROM x),
+        f AS (SELECT i, z AS f FROM z WHERE vec_id = (SELECT min(vec_id) FROM embeddings)), q AS (SELECT vec_id, sum(z*z) AS q, sum(z*f) AS w FROM z JOIN f USING (i) GROUP BY vec_id)
+        SELECT vec_id, round(q / avg(q) OVER (), 6) + 0 AS own, round(w / avg(q) OVER (), 6) + 0 AS with_first FROM q"""),
+    "support_geometry": (support_geometry, """WITH t AS (SELECT embedding::DOUBLE[] AS y FROM embeddings WHERE label < 5), e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE label >= 5),
+        v AS (SELECT var_pop(u) AS v FROM (SELECT unnest(y) AS u, unnest(range(len(y))) AS i FROM t) GROUP BY i), b AS (SELECT 2 * sum(v) AS b FROM v), d AS (SELECT vec_id, list_distance(x, y)**2 AS d, b FROM e, t, b)
+        SELECT vec_id, round(max(exp(-d/b)), 6) AS similarity, round(avg(exp(-d/b)), 6) AS density, round(avg((d <= b)::INT), 4) AS mass FROM d GROUP BY vec_id"""),
+    "effective_rank": (effective_rank, """WITH x AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+        c AS (SELECT a.label, a.i, b.i AS j, covar_pop(a.x, b.x) AS c FROM x a JOIN x b USING (vec_id) GROUP BY ALL), n AS (SELECT label, count(*) AS rows FROM embeddings GROUP BY label)
+        SELECT label::BIGINT AS label, any_value(rows) AS rows, round(sum(c) FILTER (WHERE i = j) ** 2 / greatest(sum(c * c), 1e-300), 4) AS rank FROM c JOIN n USING (label) GROUP BY label"""),
+    "cross_fitted_models": (cross_fitted_models, f"""WITH {CELLS_SQL}, k AS (SELECT entity, context, observed, (dense_rank() OVER (ORDER BY entity) - 1) AS g, (dense_rank() OVER (ORDER BY context) - 1) AS e FROM cells), b AS (SELECT * FROM k, range(5) t(s)),
+        x AS (SELECT 'CV-E' AS regime, s, entity, context, observed, CASE WHEN e % 5 = s THEN 'test' ELSE 'train' END AS role FROM b
+        UNION ALL SELECT 'CV-GE', s, entity, context, observed, CASE WHEN g % 5 = s AND e % 5 = s THEN 'test' WHEN g % 5 <> s AND e % 5 <> s THEN 'train' ELSE 'unused' END FROM b
+        UNION ALL SELECT 'SPARSE', s, entity, context, observed, CASE WHEN (g + e) % 5 = s THEN 'test' ELSE 'train' END FROM b),
+        tr AS (SELECT *, avg(observed) OVER (PARTITION BY regime, s) AS m FROM x WHERE role = 'train'), mm AS (SELECT DISTINCT regime, s, m FROM tr),
+        ge AS (SELECT regime, s, entity, sum(observed - m) / (count(*) + 1) AS g FROM tr GROUP BY ALL), ee AS (SELECT regime, s, context, sum(observed - m) / (count(*) + 1) AS e FROM tr GROUP BY ALL),
+        rr AS (SELECT regime, s, context, sum(observed - m - g) / (count(*) + 1) AS r FROM tr JOIN ge USING (regime, s, entity) GROUP BY ALL),
+        p AS (SELECT regime, s, observed, m, coalesce(g, 0) AS g, coalesce(e, 0) AS e, coalesce(r, 0) AS r FROM x JOIN mm USING (regime, s) LEFT JOIN ge USING (regime, s, entity) LEFT JOIN ee USING (regime, s, context) LEFT JOIN rr USING (regime, s, context) WHERE role = 'test'),
+        l AS (SELECT regime, s, 'Mean' AS model, observed, m AS predicted FROM p UNION ALL SELECT regime, s, 'G', observed, m + g FROM p UNION ALL SELECT regime, s, 'E', observed, m + e FROM p UNION ALL SELECT regime, s, 'G+E', observed, m + g + r FROM p)
+        SELECT regime, s AS scenario, model, count(*) AS n, round(sqrt(avg((predicted-observed)**2)), 4) AS rmse, round(avg(abs(predicted-observed)), 4) AS mae FROM l GROUP BY ALL"""),
+    "nested_search": (nested_search, f"""WITH {CELLS_SQL}, k AS (SELECT entity, observed, (dense_rank() OVER (ORDER BY context) - 1) % 5 AS fold FROM cells), o AS (SELECT * FROM range(5) a(outer_), range(5) b(inner_)),
+        tr AS (SELECT outer_, inner_, entity, observed FROM k JOIN o ON fold <> outer_ AND fold <> inner_), m AS (SELECT outer_, inner_, avg(observed) AS m FROM tr GROUP BY ALL), g AS (SELECT outer_, inner_, entity, sum(observed) AS ts, count(*) AS tc FROM tr GROUP BY ALL),
+        h AS (SELECT outer_, inner_, alpha, (observed - m - (ts - tc * m) / (tc + alpha))**2 AS e FROM g JOIN m USING (outer_, inner_) JOIN k ON k.entity = g.entity AND k.fold = inner_ CROSS JOIN (VALUES (0.5::DOUBLE), (2.0), (8.0), (32.0)) a(alpha)),
+        t AS (SELECT outer_, alpha, round(avg(e), 2) AS mse FROM h WHERE inner_ <> outer_ GROUP BY ALL), b AS (SELECT outer_, arg_min(alpha, (mse, alpha)) AS alpha, min(mse) AS inner_mse FROM t GROUP BY outer_)
+        SELECT outer_ AS fold, alpha, inner_mse, round(avg(e), 2) AS outer_mse FROM b JOIN h USING (outer_, alpha) WHERE inner_ = outer_ GROUP BY ALL"""),
+    "reservoir_sample": (reservoir_sample, "SELECT label::BIGINT AS label, vec_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5(vec_id::VARCHAR), vec_id) <= 20"),
     "bootstrap_delta": (bootstrap_delta, f"""WITH {PREDICTIONS_SQL}, st AS (SELECT context, count(*) AS n, sum((m-observed)**2) AS sr, sum((g+e-m-observed)**2) AS sc, row_number() OVER (ORDER BY context) - 1 AS i FROM wide GROUP BY context),
         dr AS (SELECT rep, ('0x' || substr(md5(rep || ':' || k), 1, 8))::BIGINT % (SELECT count(*) FROM st) AS i FROM range(1, {REPS + 1}) a(rep), range((SELECT count(*) FROM st)) b(k)),
         x AS (SELECT rep, sqrt(sum(sc)/sum(n)) - sqrt(sum(sr)/sum(n)) AS delta FROM dr JOIN st USING (i) GROUP BY rep)

@@ -116,7 +116,7 @@ def test_anchor_falls_back_to_day_28(spark):
 
 def test_seal_ignores_order(spark):
     rows = [("a", 1.5), ("b", None), ("c", 2.0)]
-    digest = lambda x: spark.createDataFrame(x, "k string, v double").agg(S.seal("k", "v")).first()[0]
+    digest = lambda x: S.seal(spark.createDataFrame(x, "k string, v double"), S.row_text("k", "v")).first()[0]
     assert digest(rows) == digest(rows[::-1]) != digest([("a", 1.5), ("b", 0.0), ("c", 2.0)])
 
 
@@ -218,3 +218,73 @@ def test_readers(spark, tmp_path):
     import hashlib
 
     assert readers.digests(spark, str(tmp_path / "safe" / "ok.csv")).first()["sha256"] == hashlib.sha256(b"x").hexdigest()
+
+
+def test_kernel_ridge_with_all_rows_as_landmarks(spark):
+    rng = np.random.default_rng(4)
+    x, z = rng.normal(size=(40, 3)), rng.normal(size=(7, 3))
+    y = x[:, 0] ** 2 + x[:, 1]
+    table = lambda v, t: spark.createDataFrame([(i, [float(a) for a in r], float(b)) for i, (r, b) in enumerate(zip(v, t, strict=True))], "i long, v array<double>, y double")
+    got = M.kernel_ridge(table(x, y), table(z, np.zeros(7)), "i", "v", "y", 0.5, landmarks=40)
+    width = M.median_bandwidth(x)
+    k = M.rbf_kernel(x, x, width)
+    want = y.mean() + M.rbf_kernel(z, x, width) @ np.linalg.solve(k + 0.5 * np.eye(40), y - y.mean())
+    assert np.allclose([r["predicted"] for r in got.orderBy("i").collect()], want, atol=1e-6)
+    by_steps = M.conjugate_gradient(lambda v: k @ v + 0.5 * v, y - y.mean(), np.diag(k) + 0.5)
+    assert np.allclose(M.rbf_kernel(z, x, width) @ by_steps + y.mean(), want, atol=1e-4)
+
+
+def test_reml_from_sums_is_reml_from_rows(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(80, 5))
+    y = x @ rng.normal(size=5) + rng.normal(size=80) + 3
+    df = spark.createDataFrame([([float(a) for a in r], float(b)) for r, b in zip(x, y, strict=True)], "v array<double>, y double")
+    t, mean, edge = M.reml_share(M.gram_matrix(M.gram(df, "v", "y")))
+    z = (x - x.mean(0)) / x.std(0)
+    want, mu, _, bound = M.reml_blup(y, z @ z.T / 5)
+    assert abs(t - want) < 1e-4 and abs(mean - mu) < 1e-9 and edge == bound
+
+
+def test_nearest_points_and_support_over_blocks(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 4))
+    df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "i long, v array<double>")
+    d = ((x[:30, None, :] - x[None, 30:, :]) ** 2).sum(2)
+    R.BLOCK, before = 7, R.BLOCK
+    try:
+        for many in (7, 2_000):
+            def small(i, a, j, b):
+                return pd.DataFrame({"i": np.repeat(i, len(j)), "j": np.tile(j, len(i)), "d": R.squared_distances(a, b).ravel()})
+
+            got = R.block_pairs(df.where("i < 30"), df.where("i >= 30"), "i", "v", small, "i long, j long, d double", many).toPandas()
+            assert len(got) == 900 and np.allclose([d[i, j - 30] for i, j in zip(got.i, got.j, strict=True)], got.d)
+    finally:
+        R.BLOCK = before
+    got = {r["i"]: r for r in R.nearest_points(df.where("i < 30"), df.where("i >= 30"), "i", "v", 3).collect()}
+    for i in range(30):
+        order = np.argsort(d[i])
+        assert got[i]["nearest"] == order[0] + 30 and abs(got[i]["mean_k_sq"] - d[i][order[:3]].mean()) < 1e-9
+    got = {r["i"]: r for r in R.support_geometry(df.where("i < 30"), df.where("i >= 30"), "i", "v", 2.0).collect()}
+    assert all(abs(got[i]["density"] - np.exp(-d[i] / 2).mean()) < 1e-9 and abs(got[i]["mass"] - (d[i] <= 2).mean()) < 1e-9 for i in range(30))
+    assert R.nearest_points(df.limit(0), df, "i", "v").count() == 0 and R.nearest_points(df, df.limit(0), "i", "v").count() == 0
+
+
+def test_quantiles_without_a_sorted_pool(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(rng.integers(0, 3)), int(rng.integers(1990, 1996)), float(round(v, 1))) for v in rng.normal(size=400) * 10] + [(0, 1990, 0.0), (1, 1991, -0.0), (2, 1992, 1e-300)]
+    df = spark.createDataFrame(rows, "g int, y int, v double")
+    rank = lambda n, level: min(n, max(1, int(np.ceil(round((n + 1) * level, 9)))))
+    for r in A.finite_sample_quantile(df, ["g"], "v", [0.1, 0.5, 0.99]).collect():
+        own = sorted(v for g, _, v in rows if g == r["g"])
+        assert r["n"] == len(own) and r["q"] == own[rank(len(own), r["level"]) - 1]
+    got = A.prior_quantile(df, "y", "v", [0.5, 0.9]).collect()
+    assert {r["test_period"] for r in got} == set(range(1991, 1996))
+    for r in got:
+        own = sorted(v for _, y, v in rows if y < r["test_period"])
+        assert r["n"] == len(own) and r["periods"] == r["test_period"] - 1990 and r["q"] == own[rank(len(own), r["level"]) - 1]
+
+
+def test_numbers_over_ranges(spark):
+    df = spark.createDataFrame([(i * 7 % 101, "x") for i in range(101)] + [(None, "y")], "k long, s string").repartition(5)
+    got = sorted((r["n"], r["k"]) for r in W.numbered(df, ["k"], "n").collect() if r["k"] is not None)
+    assert got == [(i + 1, i) for i in range(101)]
