@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import governance, metrics, models, ranking, relational
+from . import governance, metrics, models, ranking, relational, studies
 
-PARTS = (metrics, relational, ranking, governance, models)
+PARTS = (metrics, relational, ranking, governance, models, studies)
 
 
 def queries() -> dict:

@@ -265,14 +265,6 @@ def model_families(spark, d):
     return A.regression_metrics(out, ["model"]).select("model", n("n", "n"), r("rmse", "rmse", 2))
 
 
-def witnesses(spark, d):
-    """Two worlds with equal source risk and unequal target risk: the source alone cannot tell them apart."""
-    rows = [("w1", 0.1, 0.9, 0.1), ("w1", 0.1, 0.1, 0.9), ("w2", 0.1, 0.9, 0.1), ("w2", 0.5, 0.0, 0.9), ("w2", 0.1, 0.1, 0.0)]
-    w = spark.createDataFrame(rows, "world string, loss double, source double, target double")
-    out = w.groupBy("world").agg(F.sum(F.col("loss") * F.col("source")).alias("s"), F.sum(F.col("loss") * F.col("target")).alias("t"))
-    return out.select("world", r("s", "source_risk", 6), r("t", "target_risk", 6))
-
-
 QUERIES = {
     "correlation_tests": (correlation_tests, None),
     "coverage_interval": (coverage_interval, f"""WITH {INTERVALS_SQL}, st AS (SELECT context, count(*) AS n, sum((err <= q)::INT) AS h, row_number() OVER (ORDER BY context) - 1 AS i FROM ints WHERE level = 0.9 GROUP BY context),
@@ -281,7 +273,6 @@ QUERIES = {
     "rank_slices": (rank_slices, "SELECT vec_id, 16::BIGINT AS width, round(list_sum(embedding[1:16]::DOUBLE[]) * 2, 4) + 0 AS total FROM embeddings"),
     "mixed_kernel_ranks": (mixed_kernel_ranks, None),
     "model_families": (model_families, None),
-    "witnesses": (witnesses, "SELECT * FROM (VALUES ('w1', 0.1::DOUBLE, 0.1::DOUBLE), ('w2', 0.1::DOUBLE, 0.46::DOUBLE)) t(world, source_risk, target_risk)"),
     "gram_sums": (gram_sums, """WITH x AS (SELECT list_concat([1.0::DOUBLE], embedding[1:8]::DOUBLE[], [label::DOUBLE]) AS x FROM embeddings)
         SELECT i, j, round(sum(x[i+1]*x[j+1]), 4) + 0 AS v FROM x, range(10) a(i), range(10) b(j) GROUP BY i, j"""),
     "simple_ridge": (simple_ridge, f"WITH {CELLS_SQL} SELECT round(regr_intercept(replicates, observed/1000), 4) AS intercept, round(regr_slope(replicates, observed/1000), 4) + 0 AS slope FROM cells"),

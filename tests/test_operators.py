@@ -288,3 +288,72 @@ def test_numbers_over_ranges(spark):
     df = spark.createDataFrame([(i * 7 % 101, "x") for i in range(101)] + [(None, "y")], "k long, s string").repartition(5)
     got = sorted((r["n"], r["k"]) for r in W.numbered(df, ["k"], "n").collect() if r["k"] is not None)
     assert got == [(i + 1, i) for i in range(101)]
+
+
+def test_archives(spark):
+    import io
+    import tarfile
+    import zipfile
+
+    from hindcast.sources import archives
+
+    def tar(*names):
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w:gz") as t:
+            for name in names:
+                info = tarfile.TarInfo(name)
+                info.size = 2
+                t.addfile(info, io.BytesIO(b"ab"))
+        return out.getvalue()
+
+    def zip_(*names):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name in names:
+                z.writestr(name, b"ab")
+        return out.getvalue()
+
+    table = lambda data: spark.createDataFrame([("x", bytearray(data))], "path string, content binary")
+    assert [r["member"] for r in archives.archive_members(table(tar("a/b.csv", "c.csv")), "tar").collect()] == ["a/b.csv", "c.csv"]
+    assert [bytes(r["content"]) for r in archives.archive_members(table(zip_("a.csv")), "zip", only=True).collect()] == [b"ab"]
+    for data, kind, only in ((tar("../x"), "tar", False), (tar("/x"), "tar", False), (zip_("a/../../x"), "zip", False), (zip_("a", "b"), "zip", True)):
+        with pytest.raises(PySparkException):
+            archives.archive_members(table(data), kind, only=only).collect()
+
+
+def test_queries_without_sql_against_numpy(spark):
+    """Ridge, principal shares, correlation tests, k-means and model families over a whole table."""
+    from hindcast.plans import models
+
+    d = "/root/testdata/sf0.001"
+    e = pd.read_parquet(f"{d}/embeddings.parquet").sort_values("vec_id")
+    x, y, odd = np.stack(e.embedding.to_numpy()).astype(float), e.label.to_numpy(dtype=float), e.vec_id.to_numpy() % 2 == 1
+    mean, sd = x[~odd].mean(0), x[~odd].std(0)
+    z = (x - mean) / sd
+    beta = np.linalg.solve(z[~odd].T @ z[~odd] + np.eye(x.shape[1]), z[~odd].T @ (y[~odd] - y[~odd].mean()))
+    miss = z[odd] @ beta + y[~odd].mean() - y[odd]
+    got = models.ridge_predictions(spark, d).first()
+    assert got["n"] == odd.sum() and abs(got["rmse"] - np.sqrt((miss**2).mean())) < 1e-3
+    w = np.linalg.eigvalsh(np.cov(x.T))[::-1]
+    got = models.principal_shares(spark, d).orderBy("component").collect()
+    assert np.allclose([r["share"] for r in got], (w / w.sum())[:10], atol=1e-4) and np.allclose([r["cumulative"] for r in got], (np.cumsum(w) / w.sum())[:10], atol=1e-4)
+    assert sum(r["rows"] for r in models.cluster_folds(spark, d).collect()) == len(e)
+    base = np.sqrt(((y[odd] - y[~odd].mean()) ** 2).mean())
+    assert all(r["n"] == odd.sum() and r["rmse"] < 2 * base for r in models.model_families(spark, d).collect())
+    for r in models.kernel_ridge(spark, d).collect():
+        test = (e.vec_id.to_numpy() % 2) == r["fold"]
+        assert r["n"] == test.sum() and r["rmse"] < 1.5 * base
+    got = {(r["label"], r["rows"], r["rank"]) for r in models.mixed_kernel_ranks(spark, d).collect()}
+    for label, many, rank in got:
+        own = x[y == label][: M.LANDMARKS]
+        assert many == len(own)
+        w = np.maximum(np.linalg.eigvalsh(M.mixed_kernel([own[:, :32], own[:, 32:]]))[::-1], 0)
+        assert rank == int(np.searchsorted(np.cumsum(w) / w.sum(), 0.9)) + 1
+
+
+def test_correlation_p_values_against_sampling():
+    rng = np.random.default_rng(11)
+    for size in (5, 12, 40):
+        r = np.array([np.corrcoef(rng.normal(size=(2, size)))[0, 1] for _ in range(20_000)])
+        for at in (0.2, 0.5):
+            assert abs(M.correlation_p_value(at, size) - (np.abs(r) >= at).mean()) < 0.015
