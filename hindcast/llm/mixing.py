@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, cut, forget, join_small, wide_table
 
-#: Without given targets, a margin's shares are its token shares to this power, scaled to one: rare values gain.
-TEMPER = 0.7
+#: Without given targets, a margin's shares are its token shares to this power, scaled to one: rare values gain, up to
+#: this share of the tokens that they have.
+TEMPER, MOST_USED = 0.7, 0.98
 #: Share of all tokens to sample, or less where the targets allow no more.
 BUDGET = 0.8
 #: The fit stops when no margin is further than TOLERANCE off, or after SWEEPS rounds over all margins.
@@ -38,17 +39,39 @@ def words_in(text: Column) -> Column:
     return F.size(F.array_remove(F.split(text, SPACE), "")).cast("long")
 
 
-def with_targets(cells: DataFrame, margin: str, targets: dict | None) -> DataFrame:
+def filled(sums, amount: float) -> float:
+    """The rate at which values get rate * weight tokens, or MOST_USED of what they have if that is less: amount in all.
+
+    sums(rate) gives the tokens of the values that are full at a rate, and the weights of the others.
+    """
+    rate = 0.0
+    while True:
+        full, open_weight = sums(rate)
+        new = (amount - full) / open_weight if open_weight > 0 else float("inf")
+        if new <= rate * (1 + 1e-12):
+            return rate
+        rate = new
+
+
+def with_targets(cells: DataFrame, margin: str, targets: dict | None, budget: float) -> DataFrame:
     """Adds the margin's target in tokens. Given shares count among the values that occur; others get none."""
     everything = F.col("_all")
     if targets is None:
-        sums = cells.groupBy(margin, "_all").agg(F.sum("tokens").alias("_t")).withColumn("_w", F.pow(F.col("_t") / everything, F.lit(TEMPER)))
+        sums = cut(cells.groupBy(margin, "_all").agg(F.sum("tokens").alias("_t")).withColumn("_w", F.pow(F.col("_t") / everything, F.lit(TEMPER))), "margin")
+        amount = (sums.agg(F.sum("_t")).first()[0] or 0) * budget
+
+        def at(rate: float) -> tuple[float, float]:
+            full = F.lit(rate) * F.col("_w") > MOST_USED * F.col("_t")
+            return tuple(x or 0.0 for x in sums.agg(F.sum(F.when(full, MOST_USED * F.col("_t"))), F.sum(F.when(~full, F.col("_w")))).first())
+
+        rate = filled(at, amount)
+        target = F.least(MOST_USED * F.col("_t"), F.lit(rate) * F.col("_w")) / F.lit(budget)
     else:
         given = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in targets.items()], f"_v {cells.schema[margin].dataType.simpleString()}, _w double")
         sums = cells.select(margin, "_all").distinct()
         sums = sums.join(given, sums[margin].eqNullSafe(given["_v"]), "left").withColumn("_w", F.coalesce("_w", F.lit(0.0)))
-    total = sums.agg(F.sum("_w")).first()[0] or 1.0
-    sums = sums.select(F.col(margin).alias("_v"), (F.col("_w") / total * everything).alias(f"target_{margin}"))
+        target = F.col("_w") / (sums.agg(F.sum("_w")).first()[0] or 1.0) * everything
+    sums = sums.select(F.col(margin).alias("_v"), target.alias(f"target_{margin}"))
     return cells.join(sums, cells[margin].eqNullSafe(sums["_v"])).drop("_v")
 
 
@@ -73,8 +96,13 @@ def rake_in_driver(cells: DataFrame, targets: dict, budget: float) -> DataFrame:
         code = np.array([number.setdefault(r[margin], len(number)) for r in rows], dtype=np.int64)
         has = np.bincount(code, tokens, len(number))
         given = targets.get(margin)
-        share = (has / (total or 1.0)) ** TEMPER if given is None else np.array([float(given.get(v, 0.0)) for v in number])
-        want = share / (share.sum() or 1.0) * total
+        if given is None:
+            weight = (has / (total or 1.0)) ** TEMPER
+            rate = filled(lambda x, w=weight, h=has: ((MOST_USED * h[x * w > MOST_USED * h]).sum(), w[x * w <= MOST_USED * h].sum()), total * budget)
+            want = np.minimum(MOST_USED * has, rate * weight) / budget if total else has
+        else:
+            share = np.array([float(given.get(v, 0.0)) for v in number])
+            want = share / (share.sum() or 1.0) * total
         some = (want > 0) & (has > 0)
         least = (has[some] / want[some]).min() if some.any() else None
         if least is not None and least < budget * 1.01:
@@ -120,7 +148,7 @@ def rake(cells: DataFrame, targets: dict, budget: float) -> DataFrame:
     total = total or 0
     cells = cells.withColumn("_all", F.lit(float(total)))
     for margin in MARGINS:
-        cells = cut(with_targets(cells, margin, targets.get(margin)), "cells")
+        cells = cut(with_targets(cells, margin, targets.get(margin), budget), "cells")
     for margin in MARGINS:
         ratio = F.try_divide(F.col("has"), F.col("target"))
         needs = cells.groupBy(margin).agg(F.sum("tokens").alias("has"), F.max(f"target_{margin}").alias("target"))
@@ -154,7 +182,8 @@ def rake(cells: DataFrame, targets: dict, budget: float) -> DataFrame:
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, targets: dict | None = None, budget: float = BUDGET, seed: int = SEED, draw_col: str | None = None) -> DataFrame:
     """One row per input row: id, source, lang, topic, tokens, weight, probability, kept.
 
-    targets: per margin ("source", "lang", "topic") a share for each value. tokens are words; the topic is the shape of
+    targets: per margin ("source", "lang", "topic") a share for each value; without them shares are tempered, and a rare
+    value gets what it has at the most, so that it does not hold back the others. tokens are words; the topic is the shape of
     the text unless a column is given. Cells (source, language, topic) are summed before they are shuffled, so a source
     with a third of all rows is no hot spot; raking touches cells alone. A document is kept if a number drawn from its id
     (or draw_col) and the seed is below its probability, which is at most 1 and at which every margin's expected tokens meet its
