@@ -16,7 +16,9 @@ TEMPER, MOST_USED = 0.7, 0.98
 #: Share of all tokens to sample, or less where the targets allow no more.
 BUDGET = 0.8
 #: The fit stops when no margin is further than TOLERANCE off, or after SWEEPS rounds over all margins.
-TOLERANCE, SWEEPS = 1e-4, 30
+TOLERANCE, SWEEPS = 1e-4, 40
+#: Parts of the budget that are tried until every target is reached.
+TRIES = (1, 0.9, 0.8, 0.7, 0.6, 0.5, 0.25)
 #: A target counts as reached if the expected tokens are no further off than this share of it.
 REACHED = 0.01
 SEED = 17
@@ -110,7 +112,7 @@ def rake_in_driver(cells: DataFrame, targets: dict, budget: float) -> DataFrame:
         codes.append(code)
         wanted.append(want)
     first = None
-    for share in (budget, budget / 2, budget / 4):
+    for share in (budget * x for x in TRIES):
         x = np.full(len(rows), share)
         for _ in range(SWEEPS):
             worst = 0.0
@@ -140,7 +142,7 @@ def rake(cells: DataFrame, targets: dict, budget: float) -> DataFrame:
     The expected tokens of every value of every margin are its target: probabilities are the products of one factor per
     value, at most 1, and a cell at 1 leaves the rest of its margin to the cells below 1 in the next round. A value
     cannot give more tokens than it has, so the budget is at most the least ratio of tokens to target, less a
-    hundredth; where cells at 1 still keep a target out of reach, half of it is tried, then a quarter.
+    hundredth; where cells at 1 still keep a target out of reach, smaller parts of it are tried.
     """
     total, many = cells.agg(F.sum("tokens"), F.count(F.lit(1))).first()
     if many <= DRIVER_CELLS:
@@ -156,7 +158,7 @@ def rake(cells: DataFrame, targets: dict, budget: float) -> DataFrame:
         if least is not None and least < budget * 1.01:
             budget = min(budget, 0.99 * least)
     p, first = F.least(F.lit(1.0), F.col("_x")), None
-    for share in (budget, budget / 2, budget / 4):
+    for share in (budget * x for x in TRIES):
         fitted = cells.withColumn("_x", F.lit(float(share)))
         for _ in range(SWEEPS):
             off = []
