@@ -15,8 +15,8 @@ from .common import wide_table
 
 #: What the tokenizer takes off the least score for a character that no piece covers; how it writes a space.
 UNKNOWN_PENALTY, SPACE_MARK = 10.0, "▁"
-#: Words whose counts a worker remembers; all are forgotten when it is full.
-REMEMBER = 1_000_000
+#: Chunks whose counts a worker remembers, of at most so many characters each; all are forgotten when it is full.
+REMEMBER, LONG_CHUNK = 500_000, 64
 
 
 class UnigramCounter(dict):
@@ -48,9 +48,11 @@ class UnigramCounter(dict):
             self.find = re.compile(f"[{alone}]|{mark}*[^{mark}{alone}]+|{mark}+" if alone else f"{mark}*[^{mark}]+|{mark}+").findall
 
     def __missing__(self, chunk: str) -> int:
-        if len(self) > REMEMBER:
-            self.clear()
-        n = self[chunk] = self.best(chunk)[1]
+        n = self.best(chunk)[1]
+        if len(chunk) <= LONG_CHUNK:
+            if len(self) >= REMEMBER:
+                self.clear()
+            self[chunk] = n
         return n
 
     def best(self, chunk: str) -> tuple[float, int]:
