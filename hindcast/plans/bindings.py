@@ -60,8 +60,10 @@ cells AS (SELECT entity, context, nation, year, CAST(sum(price) AS DOUBLE) / cou
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, entity, context, nation, year, observed, predicted): means over strictly earlier years."""
     from hindcast.operators.windows import prior_mean
+    from hindcast.sources.scratch import stored
 
-    base = cells(spark, sf_dir)
+    # cells are few beside plots, and each mean reads them twice
+    base = stored(cells(spark, sf_dir), "cells")
     base = prior_mean(base, ["entity"], "year", "observed", "g")
     base = prior_mean(base, ["nation"], "year", "observed", "e")
     base = prior_mean(base, [], "year", "observed", "m")

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_written: list[tuple[SparkSession, str]] = []
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -26,6 +27,18 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write df and read it back: several readers then share one computation. Deleted when the driver's Python ends."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for spark, path in _written:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session is gone: whoever owns the folder clears it  # noqa: BLE001
+            return
