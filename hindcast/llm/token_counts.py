@@ -16,7 +16,7 @@ from .common import wide_table
 #: What the tokenizer takes off the least score for a character that no piece covers; how it writes a space.
 UNKNOWN_PENALTY, SPACE_MARK = 10.0, "▁"
 #: Chunks whose counts a worker remembers, of at most so many characters each; all are forgotten when it is full.
-REMEMBER, LONG_CHUNK = 500_000, 64
+REMEMBER, LONG_CHUNK = 1_000_000, 64
 
 
 class UnigramCounter(dict):
