@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, html_text, mixing, near_dedup, packing, quality_rules, substring_dedup, suffix_dedup, token_counts, url_filter
+from . import alignment, conversations, exact_dedup, html_text, mixing, near_dedup, packing, quality_rules, sharding, substring_dedup, suffix_dedup, token_counts, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_cross_tokenizer": alignment.op11_cross_tokenizer,
+        "op12_conversation_repair": conversations.op12_conversation_repair,
+        "op13_sharding": sharding.op13_sharding,
     }
 
 
