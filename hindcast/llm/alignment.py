@@ -21,9 +21,9 @@ from .packing import byte_letters
 CHUNK = re.compile(r" ?\s*\S+(?:(?:\s\s+|[^\S ])\S+)*(?:\s+$)?|\s+")
 SPACE_MARK = "▁"
 #: Chunks, and characters of chunks, that a worker remembers before it starts anew.
-REMEMBER, REMEMBER_CHARACTERS = 1_000_000, 1 << 26
+REMEMBER, REMEMBER_CHARACTERS = 300_000, 1 << 25
 #: Characters that are encoded at once; characters of documents that are handled at once.
-ENCODE, STEP = 1 << 20, 3 << 20
+ENCODE, STEP = 1 << 20, 1 << 20
 #: A group with more links than this is counted by distinct ids, not link by link.
 LARGE_GROUP = 4096
 #: Pairs whose corpus-wide counts every task gets, in two numbers each; rarer pairs meet their counts in a join.
