@@ -6,6 +6,8 @@ the quality rules; an empty table goes through all stages; further columns of do
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,50 +20,66 @@ from hindcast.llm.packing import best_fit_packing, default_tokenizer
 from hindcast.llm.quality_rules import quality_rules
 
 
-def keyed(docs: DataFrame, nulls_last: bool = False) -> DataFrame:
-    """docs with the place of each row, _file and _row, and a key that sorts by doc_id and then by place.
+class Keyed(NamedTuple):
+    """Rows with three more columns, named apart from all of theirs: the row's file, its number there, and its key."""
+
+    docs: DataFrame
+    file: str
+    row: str
+    key: str
+
+
+def keyed(docs: DataFrame, nulls_last: bool = False) -> Keyed:
+    """docs with the place of each row, and a key that sorts by doc_id and then by place.
 
     A row of a Parquet file is told by file and row number, whatever its id: rows with a null or repeated id are rows of
-    their own. Null ids sort before all others, or after them.
+    their own. Null ids sort before all others, or after them. Columns of docs may have any names.
     """
-    place = F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
+    taken = {c.lower() for c in docs.columns}
+    file, row, key = (next(n for n in ("_" * k + name for k in range(1, len(taken) + 2)) if n not in taken) for name in ("file", "row", "key"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        place = df.metadataColumn("_metadata")
+        return df.select("*", F.xxhash64(place["file_path"]).alias(file), place["row_index"].alias(row))
+
     try:
-        docs = docs.select("*", *place)
+        docs = placed(docs)
     except AnalysisException:  # no table of files, or several: written as one
-        docs = cut(docs, "documents").select("*", *place)
+        docs = placed(cut(docs, "documents"))
     null = F.col("doc_id").isNull() if nulls_last else F.col("doc_id").isNotNull()
-    return docs.withColumn("_key", F.struct(null.alias("null"), "doc_id", F.col("_file").alias("file"), F.col("_row").alias("row")))
+    docs = docs.withColumn(key, F.struct(null.alias("null"), "doc_id", F.col(file).alias("file"), F.col(row).alias("row")))
+    return Keyed(docs, file, row, key)
 
 
-def without_dropped(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+def without_dropped(own: Keyed, decisions: DataFrame) -> DataFrame:
     """The rows of keyed docs that the decisions keep, with the columns of documents."""
-    dropped = decisions.where(~F.col("kept")).select(F.col("_key.file").alias("_f"), F.col("_key.row").alias("_r"))
-    kept = join_small(docs, cut(dropped, "dropped"), {"_file": "_f", "_row": "_r"}, "left_anti")
-    return kept.drop("_file", "_row", "_key")
+    dropped = decisions.where(~F.col("kept")).select(F.col(own.key)["file"].alias(f"{own.key}_file"), F.col(own.key)["row"].alias(f"{own.key}_row"))
+    kept = join_small(own.docs, cut(dropped, "dropped"), {own.file: f"{own.key}_file", own.row: f"{own.key}_row"}, "left_anti")
+    return kept.drop(own.file, own.row, own.key)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules accept."""
-    docs = keyed(docs)
-    return without_dropped(docs, quality_rules(docs, id_col="_key"))
+    own = keyed(docs)
+    return without_dropped(own, quality_rules(own.docs, id_col=own.key))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text: the one with the largest id."""
-    docs = keyed(docs)
-    return without_dropped(docs, exact_dedup(docs, id_col="_key"))
+    own = keyed(docs)
+    return without_dropped(own, exact_dedup(own.docs, id_col=own.key))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id."""
-    docs = keyed(docs, nulls_last=True)
-    return without_dropped(docs, near_dedup(docs, id_col="_key"))
+    own = keyed(docs, nulls_last=True)
+    return without_dropped(own, near_dedup(own.docs, id_col=own.key))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose sources, languages and topics have the target weights; rows with one id share their draw."""
-    docs = keyed(docs)
-    return without_dropped(docs, mix_sources(docs, id_col="_key", draw_col="doc_id"))
+    own = keyed(docs)
+    return without_dropped(own, mix_sources(own.docs, id_col=own.key, draw_col="doc_id"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
