@@ -30,6 +30,8 @@ CHROME_WORDS = frozenset(
 )
 #: Elements whose text counts as a block of the element around them.
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6".split())
+#: What starts a tag, comment or declaration.
+TAG_OPEN = re.compile(r"<[a-zA-Z/!?]")
 #: Width of the smoothing, in lines. Clusters are apart if the low mean is under this share of the high one.
 SIGMA, APART = 1.5, 0.5
 #: A marked article, or a block of the high cluster, is dropped if its mean ratio is under this share of the best one's or the cluster's.
@@ -50,9 +52,30 @@ class Events(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
         self.open: list[tuple] = []  # (tag, silent, hard, soft, container, number)
+        #: Where each tag is open, and where elements are that are not inline: no event walks the open elements.
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
         self.numbers = 0
         self.line: Line | None = None
 
+    def parse_marked_section(self, i, report=1):
+        """``<![`` of whatever kind is a comment up to the next ``>``, as browsers take it; the library raises at some."""
+        return self.parse_bogus_comment(i, report)
+
+    def push(self, entry: tuple) -> None:
+        self.places.setdefault(entry[0], []).append(len(self.open))
+        if entry[0] not in INLINE:
+            self.blocks.append(len(self.open))
+        self.open.append(entry)
+
+    def shut(self, i: int) -> None:
+        """Close the element at place i and all inside it."""
+        for entry in self.open[i:]:
+            self.places[entry[0]].pop()
+        while self.blocks and self.blocks[-1] >= i:
+            self.blocks.pop()
+        del self.open[i:]
+
     def at(self) -> tuple:
         return self.open[-1] if self.open else ("", False, False, False, -1, 0)
 
@@ -74,7 +97,7 @@ class Events(HTMLParser):
             if tag == "br" and self.line:
                 self.line.parts.append(" ")
             elif tag not in VOID:
-                self.open.append((tag, *self.at()[1:]))
+                self.push((tag, *self.at()[1:]))
             return
         if tag not in INLINE:
             self.line = None
@@ -91,33 +114,30 @@ class Events(HTMLParser):
             s = h = f = False
         self.numbers += 1
         if tag in ARTICLE and not (hard or h):
-            soft, container = f, container if container >= 0 else self.numbers
+            # words in its class are its topic: share prices, related work, search results
+            soft = f = False
+            container = container if container >= 0 else self.numbers
         elif tag == "header" and container >= 0 and not any(True for n, v in attrs if n in ("class", "id", "role")):
             f = False  # the heading of an article
-        self.open.append((tag, silent or s, hard or h, soft or f, container, parent if tag in INLINE or tag in BLOCKS else self.numbers))
+        self.push((tag, silent or s, hard or h, soft or f, container, parent if tag in INLINE or tag in BLOCKS else self.numbers))
 
     def close_implied(self, tag: str) -> None:
         """A block ends an open paragraph; an item, cell or row ends the one before it."""
         ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
+        if self.blocks:
+            name = self.open[self.blocks[-1]][0]
             if name == "p" or name in ends:
-                del self.open[i:]
-                return
-            if name not in INLINE:
-                return
+                self.shut(self.blocks[-1])
 
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self.line = None
         elif self.line:
             self.line.tags += 1
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                return
-            if tag in INLINE and self.open[i][0] not in INLINE:
-                return
+        where = self.places.get(tag)
+        # an inline element ends inside the block that it stands in only
+        if where and not (tag in INLINE and self.blocks and self.blocks[-1] > where[-1]):
+            self.shut(where[-1])
 
     def handle_startendtag(self, tag, attrs):
         if tag in INLINE or tag in VOID:
@@ -160,16 +180,24 @@ def threshold(x: np.ndarray) -> float:
     return t
 
 
+def whole_tags(html: str) -> str:
+    """html without a tag that its end cuts off: the parser would try it again at each later ``<``."""
+    end = html.rfind(">") + 1
+    cut_off = TAG_OPEN.search(html, end)
+    return html[: cut_off.start()] if cut_off else html
+
+
 def main_text(html: str) -> str:
     """Blocks of the article in page order, joined by an empty line.
 
     Lines in menus, footers, asides, forms, notices, adverts and comments never count. The others get their smoothed
     text-to-tag ratio, and two clusters of ratios part content from the rest, if they are clearly apart; else every block
     is content. Content brings along the blocks around it: those of the articles that the page marks, if content is in
-    one, and other such articles unless their mean ratio is far under the content's; else all blocks of the same parents.
+    one, and other such articles unless their mean ratio is far under the content's; else all blocks of the same parents, and
+    all between the first and the last content.
     """
     events = Events()
-    events.feed(html)
+    events.feed(whole_tags(html))
     events.close()
     found = [(" ".join("".join(line.parts).split()), line) for line in events.lines]
     found = [(text, line) for text, line in found if text]
@@ -198,8 +226,11 @@ def main_text(html: str) -> str:
         marked |= {c for c, (weight, length) in size.items() if weight >= THIN * level * length}
         content = usable & np.array([line.container in marked for _, line in found])
     else:
-        parents = {found[i][1].parent for i in np.flatnonzero(content)}
-        content = usable & np.array([line.parent in parents for _, line in found])
+        at = np.flatnonzero(content)
+        parents = {found[i][1].parent for i in at}
+        inside = np.arange(len(found))
+        inside = (inside > at[0]) & (inside < at[-1])
+        content = usable & (inside | np.array([line.parent in parents for _, line in found]))
     return "\n\n".join(found[i][0] for i in np.flatnonzero(content))
 
 
@@ -207,7 +238,8 @@ def html_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """One row per page: id, url, text (empty if none), n_chars (code points).
 
     Null or empty html gives empty text. Repeated pages and null ids each give a row; other columns of pages are not
-    read. Nothing is shuffled; each page is parsed by itself, in one pass whose state is the open elements and lines.
+    read. Nothing is shuffled; each page is parsed by itself, in one pass whose state is the open elements and lines. Any
+    text is a page: malformed declarations are comments, stray end tags are left out, and deep nesting costs no more a tag.
     """
     schema = T.StructType([T.StructField("id", pages.schema[id_col].dataType), T.StructField("url", pages.schema[url_col].dataType), T.StructField("text", T.StringType())])
 
