@@ -6,12 +6,16 @@ to be compared only with windows of the same anchor. A run of windows that share
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 #: Symbols handled at once; positions inside a chunk take POS_BITS of an ordering key.
 CHUNK, POS_BITS = 1 << 20, 21
 MASK64 = (1 << 64) - 1
+#: Bytes from which on a word is hashed by BLAKE2: polynomials modulo 2 ** 64 collide on words of 1,024 letters made for it.
+LONG_WORD = 256
 BASE = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.Generator(np.random.PCG64(20240229))
 BYTE_HASH = _rng.integers(0, MASK64, 256, dtype=np.uint64, endpoint=True)
@@ -88,7 +92,12 @@ def words_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word, and each text's offset into the words."""
     starts, ends, word_at = words_of(data, at)
-    return (Spans(BYTE_HASH[data]).of(starts, ends) if len(starts) else np.zeros(0, np.uint64)), word_at
+    if not len(starts):
+        return np.zeros(0, np.uint64), word_at
+    hashes = Spans(BYTE_HASH[data]).of(starts, ends)
+    for i in np.flatnonzero(ends - starts >= LONG_WORD).tolist():
+        hashes[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return hashes, word_at
 
 
 def chunks(sizes_at: np.ndarray, most: int):

@@ -669,6 +669,64 @@ def test_stages_decide_about_rows(spark, tmp_path):
     assert set(map(key, corpus_pipeline.mixed(spark, left, "").collect())) <= set(kept)
 
 
+def test_stages_with_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(43)
+    data = [(i, words(rng, 40 + i), "en", "s", 1, 0, 1, 2, "m") for i in range(4)] + [(9, "bad bad", "en", "s", 1, 0, 1, 2, "m")]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, _file int, _row int, _KEY int, _metadata string"
+    spark.createDataFrame(data, columns).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, "")
+        assert left.columns == docs.columns and set(map(tuple, left.collect())) <= set(data)
+    assert sorted(map(tuple, corpus_pipeline.quality(spark, docs, "").collect())) == data[:4]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count()
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_long_words_that_polynomials_confuse(spark):
+    one = thue_morse(2048)
+    other = one.translate(str.maketrans("ab", "ba"))
+    long = [f"{' '.join(f'w{i}' for i in range(17))} {w} {' '.join(f'v{i}' for i in range(17))}" for w in (one, other)]
+    docs = spark.createDataFrame([(1, long[0]), (2, long[1])], "doc_id long, text string")
+    got = substring_dedup.count_min_dedup(docs)
+    assert rows(got, "doc_id", "n_removed") == [(1, 0), (2, 0)]
+    assert rows(suffix_dedup.suffix_dedup(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.substring([(1, long[0]), (2, long[1])], suffix_dedup.WINDOW, False)
+    words_ = spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string")
+    assert rows(near_dedup.near_dedup(words_), "doc_id", "component_id", "kept") == [(1, 1, True), (2, 2, True), (3, 1, False)]
+
+
+def test_html_of_any_bytes():
+    rng = random.Random(1)
+    parts = ["<", "</", ">", "<![", "]]>", "<!--", "-->", "<!", "<?", "&#x", "&", "div", "p", "article", " class='share'", "script", "style", "title", "text ", "=", "'", '"', "\x00", "é", "]", "[", "/", "svg", "<![CDATA[", "<![1]>", "<![foo["]
+    for _ in range(10_000):
+        html_text.main_text("".join(rng.choice(parts) for _ in range(rng.randrange(1, 60))))
+    assert html_text.main_text("<p>before<![1]> and after</p><![foo[") == "before and after"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "x" + "</section>" * 20_000, "<b>" * 20_000 + "<div>y</div>" * 20_000, "<i><div>" + "<b>" * 20_000 + "</i>z" * 20_000, "<a " * 20_000, "<!--" * 20_000, "<div>" * 20_000 + "x"])
+def test_html_deep_nesting_is_linear(page):
+    import time
+
+    start = time.thread_time()
+    html_text.main_text(page)
+    assert time.thread_time() - start < 5
+
+
+def test_html_topics_in_class_words_and_short_sections():
+    long = "<p>" + "true text here " * 30 + "</p>"
+    for mark in ('class="share-price"', 'class="related-work"', 'id="search-results"'):
+        text = html_text.main_text(f"<body><nav><a href=x>menu</a></nav><article {mark}>{long}<p>End.</p></article><footer>foot</footer></body>")
+        assert text.startswith("true text") and text.endswith("End.")
+    menu = "<div><a href=x>One</a><a href=y>Two</a></div>"
+    text = html_text.main_text(f"<body>{menu}<div>{long}</div><div><p>Short one.</p></div><div>{long}</div>{menu}</body>")
+    assert text.count("\n\n") == 2 and "Short one." in text and "Two" not in text
+
+
 def test_packing_of_repeated_rows_and_clashing_columns(spark):
     text = words(random.Random(41), 30)
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "other")], "doc_id long, text string").withColumn("piece", F.lit("p")).withColumn("length", F.lit(1)).withColumn("id", F.lit(2))
