@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import governance, metrics, models, ranking, relational, studies
+from . import governance, kernels, metrics, models, ranking, relational, studies
 
-PARTS = (metrics, relational, ranking, governance, models, studies)
+PARTS = (metrics, relational, ranking, governance, models, kernels, studies)
 
 
 def queries() -> dict:
