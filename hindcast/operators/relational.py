@@ -147,11 +147,8 @@ def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0)
 
 
-def nearest_points(test: DataFrame, train: DataFrame, id_col: str, vec: str, k: int = 5) -> DataFrame:
-    """Per test point: nearest train point, squared distance to it, mean of the k least.
-
-    Blocks meet as matrix products and keep their k least; a few more are taken, as the products round, and measured anew.
-    """
+def least_distances(k: int):
+    """What two blocks keep: for each left row its k nearest right rows, measured anew as products round."""
 
     def least(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray) -> pd.DataFrame:
         d, many = squared_distances(x, y), min(len(j), k + 8)
@@ -160,13 +157,119 @@ def nearest_points(test: DataFrame, train: DataFrame, id_col: str, vec: str, k:
         order = np.lexsort((j[near], exact), axis=1)[:, :k]
         return pd.DataFrame({"i": np.repeat(i, order.shape[1]), "d": np.take_along_axis(exact, order, 1).ravel(), "j": np.take_along_axis(j[near], order, 1).ravel()})
 
-    kind = test.schema[id_col].dataType.simpleString()
-    met = block_pairs(test, train, id_col, vec, least, f"i {kind}, d double, j {kind}")
+    return least
+
+
+def summed_nearest(met: DataFrame, id_col: str, k: int) -> DataFrame:
     w = Window.partitionBy("i").orderBy("d", "j")
     ranked = met.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k)
     return ranked.groupBy(F.col("i").alias(id_col)).agg(F.min(F.struct("d", "j"))["j"].alias("nearest"), F.min("d").alias("nearest_sq"), F.avg("d").alias("mean_k_sq"))
 
 
+def nearest_points(test: DataFrame, train: DataFrame, id_col: str, vec: str, k: int = 5) -> DataFrame:
+    """Per test point: nearest train point, squared distance to it, mean of the k least.
+
+    Blocks meet as matrix products and keep their k least; a few more are taken, as the products round, and measured anew.
+    """
+    kind = test.schema[id_col].dataType.simpleString()
+    return summed_nearest(block_pairs(test, train, id_col, vec, least_distances(k), f"i {kind}, d double, j {kind}"), id_col, k)
+
+
+def reachable_cells(pivots: np.ndarray, count: np.ndarray, radius: np.ndarray, x: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each row of x the cells that may hold one of its k nearest points.
+
+    A cell's points lie within its radius of its pivot, so their distances to x are bounded from both sides by the triangle
+    inequality. The cells of the least upper bounds that hold k points together bound the k-th distance.
+    """
+    d = np.sqrt(squared_distances(x, pivots))
+    far, near = d + radius, np.maximum(d - radius, 0)
+    order = np.argsort(far, axis=1)
+    enough = np.cumsum(count[order], axis=1) >= k
+    last = np.where(enough.any(1), enough.argmax(1), len(pivots) - 1)
+    bound = np.take_along_axis(far, np.take_along_axis(order, last[:, None], 1), 1)
+    bound = np.where(enough.any(1)[:, None], bound * (1 + 1e-9) + 1e-9, np.inf)
+    return [np.flatnonzero(row & (count > 0)) for row in near <= bound]
+
+
+def pruned_nearest(test: DataFrame, train: DataFrame, id_col: str, vec: str, k: int = 5, pivots: int = 64, block: int = BLOCK) -> DataFrame:
+    """``nearest_points`` without meeting every block: train points stand in cells about pivots, test points visit few cells.
+
+    The pivots are a random draw of train points (at most ``pivots``); a train point belongs to its nearest one. What a cell
+    holds and how far it reaches are known in the driver, two numbers a pivot. Exact: a cell is left out only where the
+    triangle inequality rules it out. Cells, and the test points that visit one, are dealt in blocks of about ``block`` rows, so
+    a cell with a third of all points is many tasks. Equal distances go to the lesser id.
+    """
+    from hindcast.sources.scratch import stored
+
+    from .draws import drawn
+
+    doubles = lambda df: df.select(F.col(id_col).alias("i"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
+    kind = test.schema[id_col].dataType.simpleString()
+    empty = test.sparkSession.createDataFrame([], f"i {kind}, d double, j {kind}")
+    train, test = doubles(train), doubles(test)
+    centres = np.array([r["v"] for r in drawn(train, "i", ["v"], 1, pivots).collect()])  # at most as many rows as pivots
+    if not len(centres):
+        return summed_nearest(empty, id_col, k)
+
+    @F.pandas_udf("cell int, away double")
+    def cell_of(rows: pd.Series) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"cell": pd.Series([], dtype="int32"), "away": pd.Series([], dtype="float64")})
+        x = np.stack(rows.to_numpy())
+        at = squared_distances(x, centres).argmin(1)
+        return pd.DataFrame({"cell": at.astype(np.int32), "away": np.sqrt(((x - centres[at]) ** 2).sum(1))})
+
+    placed = stored(train.select("i", "v", cell_of("v").alias("c")).select("i", "v", "c.*"), "placed")
+    count, radius = np.zeros(len(centres), np.int64), np.zeros(len(centres))
+    for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("r")).collect():  # a row per pivot
+        count[r["cell"]], radius[r["cell"]] = r["n"], r["r"]
+
+    @F.pandas_udf("array<int>")
+    def visited(rows: pd.Series) -> pd.Series:
+        return pd.Series(reachable_cells(centres, count, radius, np.stack(rows.to_numpy()), k)) if len(rows) else rows
+
+    visits = stored(test.select("i", "v", F.explode(visited("v")).alias("cell")), "visits")
+    guests = {r["cell"]: r["n"] for r in visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    blocks = [(c, -(-int(count[c]) // block), -(-n // block)) for c, n in guests.items()]
+    parts = F.broadcast(test.sparkSession.createDataFrame(blocks, "cell int, own int, guests int"))  # a row per pivot
+    deal = lambda df, mine, other, a, b, salt: df.join(parts, "cell").select("cell", "i", "v", F.pmod(F.xxhash64("i", F.lit(salt)), F.col(mine)).cast("int").alias(a), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(b))
+    left, right = deal(visits, "guests", "own", "a", "b", 1), deal(placed, "own", "guests", "b", "a", 2)
+    least = least_distances(k)
+
+    def both(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if not len(x) or not len(y):
+            return pd.DataFrame({"i": [], "d": [], "j": []})
+        return least(x["i"].to_numpy(), np.stack(x["v"].to_numpy()), y["i"].to_numpy(), np.stack(y["v"].to_numpy()))
+
+    met = left.groupBy("cell", "a", "b").cogroup(right.groupBy("cell", "a", "b")).applyInPandas(both, f"i {kind}, d double, j {kind}")
+    return summed_nearest(met, id_col, k)
+
+
+def on_sphere(lat: Column, lon: Column) -> Column:
+    """The point of the unit sphere: the nearest along the ground is the nearest straight through it."""
+    a, b = F.radians(lat), F.radians(lon)
+    return F.array(F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a))
+
+
+def nearest_places(test: DataFrame, train: DataFrame, id_col: str, lat: str, lon: str, radius: float = 6371.0088) -> DataFrame:
+    """(id, nearest, km): the nearest train place of each test place by great circle, through ``pruned_nearest``."""
+    point = lambda df: df.select(id_col, on_sphere(F.col(lat), F.col(lon)).alias("p"))
+    out = pruned_nearest(point(test), point(train), id_col, "p", 1)
+    return out.select(id_col, "nearest", (2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt("nearest_sq") / 2))).alias("km"))
+
+
+def kernel_sums(test: DataFrame, train: DataFrame, id_col: str, vec: str, weight: str, kernel) -> DataFrame:
+    """(id, value): sum over train rows of kernel(squared distance) times their weight, block by block, no pair a row."""
+    left = test.select(id_col, F.concat(vec, F.array(F.lit(0.0))).alias("_v"))
+    right = train.select(id_col, F.concat(vec, F.array(F.col(weight).cast("double"))).alias("_v"))
+
+    def sums(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"i": i, "s": kernel(squared_distances(x[:, :-1], y[:, :-1])) @ y[:, -1]})
+
+    met = block_pairs(left, right, id_col, "_v", sums, f"i {test.schema[id_col].dataType.simpleString()}, s double")
+    return met.groupBy(F.col("i").alias(id_col)).agg(F.sum("s").alias("value"))
+
+
 def support_geometry(test: DataFrame, train: DataFrame, id_col: str, vec: str, bandwidth: float) -> DataFrame:
     """Per test point, over all train points: largest and mean Gaussian similarity, and the share within the bandwidth."""
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import governance, kernels, metrics, models, ranking, relational, studies
+from . import governance, kernels, metrics, models, ranking, relational, rounds, studies
 
-PARTS = (metrics, relational, ranking, governance, models, kernels, studies)
+PARTS = (metrics, relational, ranking, governance, models, kernels, rounds, studies)
 
 
 def queries() -> dict:

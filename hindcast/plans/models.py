@@ -142,13 +142,19 @@ def support_geometry(spark, d):
 
 def effective_rank(spark, d):
     """Effective rank of the embeddings of each label: squared trace of their covariance over the trace of its square."""
-    e = load(spark, d, "embeddings")
-    rows = []
-    for label in sorted(x["label"] for x in e.select("label").distinct().collect()):  # as many fits as labels
-        g = M.gram_matrix(M.gram(e.where(F.col("label") == label), "embedding"))
-        c = g[1:, 1:] / g[0, 0] - np.outer(g[0, 1:], g[0, 1:]) / g[0, 0] ** 2
-        rows.append((int(label), int(g[0, 0]), float(np.trace(c) ** 2 / max((c * c).sum(), 1e-300))))
-    return spark.createDataFrame(rows, "label long, rows long, rank double").select("label", "rows", r("rank", "rank", 4))
+    import pandas as pd
+
+    from hindcast.operators.structured import grouped_gram
+
+    def rank(part: pd.DataFrame) -> pd.DataFrame:
+        g = np.zeros((part["j"].max() + 1,) * 2)
+        g[part["i"], part["j"]] = g[part["j"], part["i"]] = part["v"]
+        c = g[1:-1, 1:-1] / g[0, 0] - np.outer(g[0, 1:-1], g[0, 1:-1]) / g[0, 0] ** 2
+        return pd.DataFrame({"label": part["label"].iloc[:1], "rows": [int(g[0, 0])], "rank": [np.trace(c) ** 2 / max((c * c).sum(), 1e-300)]})
+
+    e = load(spark, d, "embeddings").select(F.col("label").cast("long").alias("label"), "embedding", F.lit(0.0).alias("y"))
+    out = grouped_gram(e, ["label"], "embedding", "y").groupBy("label").applyInPandas(rank, "label long, rows long, rank double")
+    return out.select("label", "rows", r("rank", "rank", 4))
 
 
 def designs(spark, d):

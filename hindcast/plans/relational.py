@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from hindcast.functions import scalar as S
@@ -192,9 +193,9 @@ def assembled_cells(spark, d):
 
 def kernel_vector_product(spark, d):
     """Sum over train entities of K(test, train) * coefficient, K a function of the brand numbers, without a cell matrix."""
-    c = cells(spark, d).groupBy("entity").agg(F.sum("replicates").cast("double").alias("coef")).withColumn("b", F.regexp_extract("entity", r"(\d+)", 1).cast("double"))
-    k = c.select(F.col("entity").alias("test"), F.col("b").alias("tb")).join(F.broadcast(c)).withColumn("k", F.exp(-F.pow(F.col("tb") - F.col("b"), 2) / 50))
-    return k.groupBy("test").agg(r(F.sum(F.col("k") * F.col("coef")), "value", 3))
+    c = cells(spark, d).groupBy("entity").agg(F.sum("replicates").cast("double").alias("coef")).withColumn("b", F.array(F.regexp_extract("entity", r"(\d+)", 1).cast("double")))
+    out = R.kernel_sums(c, c, "entity", "b", "coef", lambda sq: np.exp(-sq / 50))
+    return out.select(F.col("entity").alias("test"), r("value", "value", 3))
 
 
 def union_of_sources(spark, d):
