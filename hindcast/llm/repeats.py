@@ -240,6 +240,12 @@ def apply_spans(work: DataFrame, unit: Unit) -> DataFrame:
     return work.select("id", "th", "text", "spans").mapInArrow(run, schema)
 
 
+def with_path(df: DataFrame, written: DataFrame) -> DataFrame:
+    """df, which reads a cut table, to be forgotten as that table is."""
+    df.cut_path = written.cut_path
+    return df
+
+
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -254,12 +260,20 @@ def repeated_windows(docs: DataFrame, unit: Unit, prefilter: Callable, payload:
     """docs (id, th, text) to (scanned, fetched texts, spans), all cut.
 
     scanned: id, th, n, sha of every row, besides rows without n. spans: id, th and the ranges of window starts to
-    remove. th is a hash of the text, so that rows which share an id by mistake are kept apart.
+    remove. th is a hash of the text, so that rows which share an id by mistake are kept apart. Rows that share both are
+    copies: their text is fetched and compared once, and each copy counts as an occurrence.
     """
     scanned = cut(scan(docs, unit, sieve), "scan")
     shared = prefilter(scanned.where(F.col("anchor").isNotNull()).select("id", "th", "anchor", "segment", "start", "windows"))
+    # rows that share id and text are one row from here on, and how often: all that follows is linear in different rows
+    again = not scanned.where(F.col("n").isNotNull()).groupBy("id", "th").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty()
+    if again:
+        whole, shared = shared, cut(shared.groupBy(*shared.columns).agg(F.count(F.lit(1)).alias("times")), "distinct")
+        forget(whole)
+    else:
+        shared = with_path(shared.withColumn("times", F.lit(1)), shared)
     place = F.struct("id", "th", "start", "windows")
-    kinds = cut(shared.groupBy("anchor", "segment").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("first")), "kinds")
+    kinds = cut(shared.groupBy("anchor", "segment").agg(F.sum("times").alias("c"), F.min(place).alias("first")), "kinds")
     anchors = cut(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where("k >= 2"), "anchors")
     most = min(HOT_ANCHOR, BLOCK_BYTES // (2 * unit.window))
     mixed = kinds.join(anchors, "anchor").select("anchor", "first.*", (F.col("k") > most).alias("hot"))
@@ -273,7 +287,8 @@ def repeated_windows(docs: DataFrame, unit: Unit, prefilter: Callable, payload:
     full = cut(full, "full")
     forget(kinds, anchors, copies, shared)
     keys = cut(wanted.select("id", "th").union(full.select("id", "th")).distinct().withColumnsRenamed({"id": "_i", "th": "_t"}), "keys")
-    fetched = cut(join_small(docs, keys, {"id": "_i", "th": "_t"}, "left_semi"), "texts")
+    fetched = join_small(docs, keys, {"id": "_i", "th": "_t"}, "left_semi")
+    fetched = cut(fetched.dropDuplicates(["id", "th"]) if again else fetched, "texts")
 
     asked = wanted.withColumnsRenamed({"id": "_i", "th": "_t"})
     work = fetched.join(asked, fetched["id"].eqNullSafe(asked["_i"]) & (fetched["th"] == asked["_t"])).drop("_i", "_t")

@@ -131,6 +131,17 @@ def test_repeated_rows_lose_what_they_share(spark):
     assert {r.n_removed for r in substring_dedup.count_min_dedup(df, window=10).where("doc_id = 1").collect()} == {30}
 
 
+def test_many_copies_of_a_row_count_and_are_compared_once(spark):
+    rng = random.Random(44)
+    base, passage = words(rng, 60), words(rng, 20)
+    table = [(None, base)] * 40 + [(None, words(rng, 15) + " " + passage)] * 3 + [(1, passage + " " + words(rng, 10)), (1, words(rng, 30)), (2, base + " more"), (2, base + " more"), (3, None), (3, None)]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    for own, window, by_words in ((suffix_dedup.suffix_dedup, 60, False), (substring_dedup.count_min_dedup, 12, True)):
+        want = brute.substring(list(enumerate(t for _, t in table)), window, by_words)
+        got = own(docs, window=window).collect()
+        assert sorted(((r["doc_id"] or 0, *r[1:5]) for r in got), key=str) == sorted(((table[i][0] or 0, *rest) for i, *rest in want), key=str)
+
+
 def test_long_text_in_parts(spark, monkeypatch):
     from hindcast.llm import windows
 
