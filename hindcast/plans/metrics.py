@@ -125,8 +125,10 @@ def scoped_coverage(spark, d):
 
 
 def conditional_coverage(spark, d):
-    rows = intervals(spark, d).withColumn("hit", (F.col("err") <= F.col("q")).cast("double"))
-    rows = rows.withColumn("support", F.when(F.col("observed") > F.col("predicted"), "ABOVE").otherwise("BELOW"))
+    """Coverage by support: whether the entity was seen in the nation in an earlier year. The outcome has no part in it."""
+    first = cells(spark, d).groupBy("entity", "nation").agg(F.min("year").alias("first"))
+    rows = intervals(spark, d).join(first, ["entity", "nation"]).withColumn("hit", (F.col("err") <= F.col("q")).cast("double"))
+    rows = rows.withColumn("support", F.when(F.col("first") < F.col("year"), "SUPPORTED").otherwise("NEW"))
     out = rows.rollup("level", "support").agg(F.count(F.lit(1)).alias("n"), F.avg("hit").alias("coverage"), F.grouping("support").alias("g"), F.grouping("level").alias("h")).where("h = 0")
     return out.select("level", F.when(F.col("g") == 1, "ALL").otherwise(F.col("support")).alias("support"), n("n", "n"), r("coverage", "coverage", 6))
 
@@ -258,7 +260,7 @@ QUERIES = {
     "multi_level_summaries": (multi_level_summaries, f"""WITH {PREDICTIONS_SQL} SELECT model, CASE WHEN grouping(nation) = 1 THEN 'ALL' ELSE nation END AS nation, CASE WHEN grouping(year) = 1 THEN 'ALL' ELSE year::VARCHAR END AS year,
         count(*) AS n, round(sqrt(avg((predicted-observed)*(predicted-observed))),4) AS rmse FROM predictions GROUP BY GROUPING SETS ((model), (model, nation), (model, year))"""),
     "scoped_coverage": (scoped_coverage, f"WITH {INTERVALS_SQL} SELECT level, CASE WHEN grouping(nation) = 1 THEN 'POOLED' ELSE nation END AS scope, count(*) AS n, round(avg((err <= q)::INT), 6) AS coverage FROM ints GROUP BY GROUPING SETS ((level), (level, nation))"),
-    "conditional_coverage": (conditional_coverage, f"""WITH {INTERVALS_SQL}, s AS (SELECT *, CASE WHEN observed > predicted THEN 'ABOVE' ELSE 'BELOW' END AS support FROM ints)
+    "conditional_coverage": (conditional_coverage, f"""WITH {INTERVALS_SQL}, y AS (SELECT entity, nation, min(year) AS first FROM cells GROUP BY ALL), s AS (SELECT ints.*, CASE WHEN first < year THEN 'SUPPORTED' ELSE 'NEW' END AS support FROM ints JOIN y USING (entity, nation))
         SELECT level, CASE WHEN grouping(support) = 1 THEN 'ALL' ELSE support END AS support, count(*) AS n, round(avg((err <= q)::INT), 6) AS coverage FROM s GROUP BY GROUPING SETS ((level), (level, support))"""),
     "balanced_error": (balanced_error, f"WITH {PREDICTIONS_SQL}, p AS (SELECT model, context, avg(abs(predicted-observed)) AS m, sum(abs(predicted-observed)) AS s, count(*) AS c FROM predictions GROUP BY ALL) SELECT model, round(avg(m),4) AS balanced, round(sum(s)/sum(c),4) AS weighted, count(*) AS groups, CAST(sum(c) AS BIGINT) AS n FROM p GROUP BY model"),
     "conformal_quantiles": (conformal_quantiles, f"""WITH {PREDICTIONS_SQL}, k AS (SELECT model, nation, abs(observed-predicted) AS err, row_number() OVER (PARTITION BY model, nation ORDER BY abs(observed-predicted)) AS k, count(*) OVER (PARTITION BY model, nation) AS n FROM predictions)

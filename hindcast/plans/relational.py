@@ -45,9 +45,15 @@ def support_states(spark, d):
 
 
 def forbidden_column_audit(spark, d):
-    names = [(c, S_plain(c)) for c in load(spark, d, "orders").columns + load(spark, d, "lineitem").columns]
-    df = spark.createDataFrame(names, "name string, plain string")
-    return df.select("name", F.exists(F.array(F.lit("price"), F.lit("tax")), lambda t: F.contains(F.col("plain"), t)).alias("forbidden"))
+    """Columns of two tables whose plain names hold a forbidden word, and how many values each brings along."""
+    out = None
+    for t in ("orders", "lineitem"):
+        df = load(spark, d, t)
+        bad = set(R.forbidden_columns(df.columns, ["price", "tax"]))
+        counts = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.lit(c in bad).alias("forbidden"), F.col(c).alias("values")) for c in df.columns])).alias("x")
+        one = df.agg(*[F.count(c).alias(c) for c in df.columns]).select(counts).select("x.*")
+        out = one if out is None else out.union(one)
+    return out.select("name", "forbidden", n("values", "values"))
 
 
 def S_plain(name: str) -> str:
@@ -126,10 +132,19 @@ def candidate_universe(spark, d):
 
 
 def scenario_grid(spark, d):
-    a = spark.createDataFrame([(x,) for x in (0.1, 1.0, 10.0)], "alpha double")
-    g = spark.createDataFrame([(x,) for x in (0.5, 1.0, 2.0)], "gamma double")
-    f = spark.range(5).select(F.col("id").alias("fold"))
-    return a.crossJoin(g).crossJoin(f).withColumn("scenario", F.row_number().over(W.Window.orderBy("alpha", "gamma", "fold")).cast("long"))
+    """Every penalty and width on every pair of an entity fold and a context fold, with the cells that test and train it.
+
+    A pair tests the cells of both folds and trains on those of neither; all of it comes from the counts of the nine pairs.
+    """
+    c = W.coded(W.coded(cells(spark, d), "entity", "g"), "context", "e")
+    own = c.groupBy(F.pmod("g", F.lit(3)).cast("long").alias("entity_fold"), F.pmod("e", F.lit(3)).cast("long").alias("context_fold")).agg(F.count(F.lit(1)).alias("test"))
+    everywhere, row, column = W.Window.partitionBy(), W.Window.partitionBy("entity_fold"), W.Window.partitionBy("context_fold")
+    # nine rows: windows over all of them are small
+    total = F.sum("test").over(everywhere) - F.sum("test").over(row) - F.sum("test").over(column) + F.col("test")
+    pairs = own.withColumn("train", total)
+    grid = F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(g).alias("gamma")) for a in (0.1, 1.0, 10.0) for g in (0.5, 1.0, 2.0)])).alias("x")
+    out = pairs.select("entity_fold", "context_fold", "test", "train", grid).select("x.*", "entity_fold", "context_fold", n("test", "test"), n("train", "train"))
+    return out.withColumn("scenario", F.row_number().over(W.Window.orderBy("alpha", "gamma", "entity_fold", "context_fold")).cast("long"))
 
 
 def interval_aggregate(spark, d):
@@ -318,7 +333,7 @@ QUERIES = {
     "filters_and_membership": (filters_and_membership, sql("SELECT entity, context, replicates FROM cells WHERE year BETWEEN 1996 AND 1999 AND nation IN (SELECT n_name FROM nation WHERE n_regionkey < 2)", CELLS_SQL)),
     "truth_values": (truth_values, "SELECT o_orderkey, o_orderkey % 5 = 0 AS true_only, o_orderkey % 5 IN (0, 2, 4) AS strict, o_orderkey % 5 <> 3 AS false_only FROM orders"),
     "support_states": (support_states, sql("SELECT entity, year, nation AS context, CASE WHEN nation IN (SELECT nation FROM cells WHERE year < 1999) AND entity < 'Brand#3' THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END AS state FROM cells WHERE year >= 1999", CELLS_SQL)),
-    "forbidden_column_audit": (forbidden_column_audit, "SELECT column_name AS name, contains(regexp_replace(lower(column_name), '[^a-z0-9]', '', 'g'), 'price') OR contains(lower(column_name), 'tax') AS forbidden FROM (DESCRIBE orders) UNION ALL SELECT column_name, contains(regexp_replace(lower(column_name), '[^a-z0-9]', '', 'g'), 'price') OR contains(lower(column_name), 'tax') FROM (DESCRIBE lineitem)"),
+    "forbidden_column_audit": (forbidden_column_audit, "SELECT name, contains(regexp_replace(lower(name), '[^a-z0-9]', '', 'g'), 'price') OR contains(lower(name), 'tax') AS forbidden, \"values\" FROM (" + " UNION ALL ".join(f"SELECT * FROM (UNPIVOT (SELECT count(COLUMNS(*)) AS '\\0' FROM {t}) ON COLUMNS(*) INTO NAME name VALUE \"values\")" for t in ("orders", "lineitem")) + ")"),
     "melted_grid": (melted_grid, sql("""g AS (SELECT entity, nation AS context, CAST(sum(replicates) AS BIGINT) AS replicates FROM cells WHERE nation IN ('NATION_1','NATION_2','NATION_3') GROUP BY ALL),
         f AS (SELECT e.entity, c.context, replicates FROM (SELECT DISTINCT entity FROM g) e CROSS JOIN (VALUES ('NATION_1'), ('NATION_2'), ('NATION_3')) c(context) LEFT JOIN g USING (entity, context))
         SELECT *, dense_rank() OVER (ORDER BY entity) - 1 AS entity_code, dense_rank() OVER (ORDER BY context) - 1 AS context_code FROM f""", CELLS_SQL + ",")),
@@ -335,7 +350,9 @@ QUERIES = {
     "paired_segments": (paired_segments, sql("""m AS (SELECT entity, nation, segment, CAST(sum(price) AS DOUBLE) / count(*) AS o FROM plots GROUP BY ALL)
         SELECT entity, nation, round(x.o, 7) AS a, round(y.o, 7) AS b, round(y.o - x.o, 6) + 0 AS difference FROM m x JOIN m y USING (entity, nation) WHERE x.segment = 'AUTOMOBILE' AND y.segment = 'BUILDING'""", PLOTS_SQL + ",")),
     "candidate_universe": (candidate_universe, sql(f"SELECT digest, rows AS pairs FROM ({S.seal_sql('SELECT e || chr(124) || x AS l FROM (SELECT DISTINCT entity AS e FROM cells WHERE year < 1997), (SELECT DISTINCT context AS x FROM cells WHERE year = 2001)')})", CELLS_SQL)),
-    "scenario_grid": (scenario_grid, "SELECT alpha, gamma, fold, row_number() OVER (ORDER BY alpha, gamma, fold) AS scenario FROM (VALUES (0.1::DOUBLE), (1.0), (10.0)) a(alpha), (VALUES (0.5::DOUBLE), (1.0), (2.0)) g(gamma), range(5) f(fold)"),
+    "scenario_grid": (scenario_grid, sql("""k AS (SELECT (dense_rank() OVER (ORDER BY entity) - 1) % 3 AS entity_fold, (dense_rank() OVER (ORDER BY context) - 1) % 3 AS context_fold FROM cells), c AS (SELECT entity_fold, context_fold, count(*) AS test FROM k GROUP BY ALL),
+        p AS (SELECT a.entity_fold, a.context_fold, a.test, coalesce(sum(b.test), 0)::BIGINT AS train FROM c a LEFT JOIN c b ON a.entity_fold <> b.entity_fold AND a.context_fold <> b.context_fold GROUP BY ALL)
+        SELECT alpha, gamma, entity_fold, context_fold, test, train, row_number() OVER (ORDER BY alpha, gamma, entity_fold, context_fold) AS scenario FROM p, (VALUES (0.1::DOUBLE), (1.0), (10.0)) a(alpha), (VALUES (0.5::DOUBLE), (1.0), (2.0)) g(gamma)""", CELLS_SQL + ",")),
     "interval_aggregate": (interval_aggregate, sql("""SELECT user_id, horizon, round(avg(v_mean),9) + 0 AS mean, round(min(v_min),9) + 0 AS low, round(max(v_max),9) + 0 AS high, round(sum(v_sum),9) + 0 AS total, count(*) AS days
         FROM daily JOIN firsts USING (user_id) CROSS JOIN (VALUES ('T1', 7), ('T2', 14)) h(horizon, k) WHERE date BETWEEN anchor AND anchor + k::INTEGER GROUP BY ALL""", FIRST_SQL)),
     "anchored_history": (anchored_history, """WITH o AS (SELECT o_custkey, o_orderdate::DATE AS date, o_totalprice::DECIMAL(12,2) AS p FROM orders), l AS (SELECT o_custkey, max(date) AS anchor FROM o GROUP BY 1),

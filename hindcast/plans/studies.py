@@ -30,13 +30,26 @@ def required_tables(spark, d):
 
 
 def safe_manifest(spark, d):
-    """Tables of a folder by the names of their files, contents unread; a file of another name raises."""
+    """Tables of a folder by the names of their files, and their rows; a file of another name raises before any is opened."""
     names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(d).select(F.regexp_extract("path", r"([a-z]+)\.parquet", 1).alias("name")).distinct()
     known = spark.createDataFrame([(f,) for f in FILES], "name string")
     extra = names.join(known, "name", "left_anti").limit(5).collect()
     if extra:
         raise ValueError(f"unexpected files {[x['name'] for x in extra]}")
-    return names
+    out = None
+    for name in FILES:
+        one = load(spark, d, name).agg(F.lit(name).alias("name"), n(F.count(F.lit(1)), "rows"))
+        out = one if out is None else out.union(one)
+    return out.join(names, "name", "left_semi")
+
+
+def json_sidecars(spark, d):
+    """A canonical JSON record per year of orders, written, read again with its contract, and sealed."""
+    own = load(spark, d, "orders").groupBy(F.year("o_orderdate").cast("long").alias("year")).agg(n(F.count(F.lit(1)), "orders"), n(F.countDistinct("o_custkey"), "customers"))
+    path = shared_path(spark, "sidecars")
+    readers.write_json_records(own, path)
+    back = readers.read_json_records(spark, path, "customers long, orders long, year long")
+    return back.select("year", "orders", "customers", "sha256")
 
 
 def resolved_columns(spark, d):
@@ -150,7 +163,9 @@ def topic_case() -> str:
 
 QUERIES = {
     "required_tables": (required_tables, " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS rows FROM {t}" for t in TABLES)),
-    "safe_manifest": (safe_manifest, "SELECT * FROM (VALUES " + ", ".join(f"('{f}')" for f in FILES) + ") t(name)"),
+    "safe_manifest": (safe_manifest, " UNION ALL ".join(f"SELECT '{f}' AS name, count(*) AS rows FROM {f}" for f in FILES)),
+    "json_sidecars": (json_sidecars, """WITH x AS (SELECT year(o_orderdate)::BIGINT AS year, count(*) AS orders, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1)
+        SELECT *, sha256('{"customers":' || customers || ',"orders":' || orders || ',"year":' || year || '}') AS sha256 FROM x"""),
     "resolved_columns": (resolved_columns, "SELECT c_mktsegment AS segment, round(avg(c_acctbal), 4) + 0 AS balance FROM customer GROUP BY 1"),
     "column_block_means": (column_block_means, f"WITH {DAILY_SQL} " + " UNION ALL ".join(f"SELECT 'value' AS block, '{s}' AS stage, round(avg(v_{s}), 6) + 0 AS mean, count(v_{s}) AS rows FROM daily" for s in ("mean", "min", "max", "sum"))),
     "spectral_weights": (spectral_weights, "WITH s AS (SELECT vec_id, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x*x))) AS s FROM embeddings) SELECT vec_id, round(s/(s*s+10), 6) AS inverse, round(s*s/(s*s+10), 6) AS shrink FROM s"),

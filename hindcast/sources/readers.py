@@ -73,3 +73,17 @@ def write_sorted_csv(df: DataFrame, path: str, *order: str) -> None:
 
 def canonical_json(record: dict) -> str:
     return json.dumps(record, sort_keys=True, indent=2, default=str)
+
+
+def write_json_records(df: DataFrame, path: str) -> None:
+    """One canonical JSON text per row: keys in order, nulls written, nothing between marks."""
+    df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+
+
+def read_json_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The records with the SHA-256 of each text. A text that is not of the schema, or not canonical, raises."""
+    own = spark.read.text(path).select(F.col("value"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"))
+    fields = sorted(own.schema["r"].dataType.names)
+    again = F.to_json(F.struct(*[F.col("r")[f].alias(f) for f in fields]), {"ignoreNullFields": "false"})
+    checked = F.when(again == F.col("value"), F.sha2("value", 256)).otherwise(F.raise_error(F.concat(F.lit("not canonical: "), "value")).cast("string"))
+    return own.select("r.*", checked.alias("sha256"))

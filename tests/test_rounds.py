@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hindcast.operators import feedback as B
 from hindcast.operators import relational as R
-from hindcast.sources import cache
+from hindcast.sources import cache, readers
 
 
 def plain_rounds(worlds, nominal):
@@ -118,3 +118,14 @@ def test_kernel_sums(spark):
     got = {r["i"]: r["value"] for r in R.kernel_sums(df, df, "i", "v", "w", lambda sq: np.exp(-sq)).collect()}
     want = np.exp(-((x[:, None] - x[None]) ** 2).sum(2)) @ w
     assert all(abs(got[i] - want[i]) < 1e-9 for i in range(30))
+
+
+def test_json_records(spark, tmp_path):
+    df = spark.createDataFrame([("x\"y", 1, None), (None, 2, 0.5)], "b string, a long, c double")
+    readers.write_json_records(df, str(tmp_path / "j"))
+    back = readers.read_json_records(spark, str(tmp_path / "j"), "a long, b string, c double")
+    assert sorted((r["a"], r["b"], r["c"]) for r in back.collect()) == [(1, 'x"y', None), (2, None, 0.5)]
+    (tmp_path / "k").mkdir()
+    (tmp_path / "k" / "one.txt").write_text('{"b":"x","a":1,"c":null}\n')
+    with pytest.raises(Exception, match="not canonical"):
+        readers.read_json_records(spark, str(tmp_path / "k"), "a long, b string, c double").collect()
