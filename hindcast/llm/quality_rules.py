@@ -1,7 +1,8 @@
 """Quality rules with adaptive thresholds. DataFrame operations only.
 
 Per document some counts are taken; per language and source a quantile sketch of each measure is kept, and the cut-off
-of a measure is a fence beyond the quantiles that the sketch gives, instead of one number for all.
+of a measure is a fence beyond the quantiles that the sketch gives, or the split between clean and junk documents that
+it shows, instead of one number for all.
 """
 
 from __future__ import annotations
@@ -16,12 +17,18 @@ SYMBOLS = "#*$%&|<>"
 #: A document is cut off if its measure is over high + spread, where high leaves `tail` per cent of its group above it
 #: and spread is max(least spread, fence * (high - median)); below too, if it is under the same on the other side. The
 #: tail is what a group may hold of such junk. Floor and ceiling only guard groups in which all values are alike.
+#: Where nearly all values of a group are zero, as with symbols, quantiles say nothing about the rest; such measures
+#: (SPLIT) first look for two classes in the sketch.
 MEASURES = (
     ("symbols", "n_symbols", "word_chars", 10_000, 25, 4, 0, 100, 2_000, False),
     ("dup_lines", "n_dup_lines", "n_lines", 10_000, 1, 1, 0, 500, 5_000, False),
-    ("repeats", "n_repeat_words", "n_words", 10_000, 1, 1, 0, 200, 2_000, False),
+    ("repeats", "n_repeat_words", "n_words", 10_000, 1, 1, 0, 200, 10_000, False),
     ("word_len", "word_chars", "n_words", 100, 25, 10, 100, 0, 10_000, True),
 )
+#: Measures cut off between two classes of a sketch: the upper one holds at most the tail, and the split explains this
+#: share of the variance of bucket numbers (a uniform or normal group stays below it). Half way between the classes'
+#: means is the cut-off. Without such a split the fence decides.
+SPLIT, APART = ("symbols",), 0.8
 #: A language and source with fewer documents takes the sketch of its language, one with fewer still that of all.
 LEAST_DOCS = 100
 
@@ -95,13 +102,34 @@ def sketches(features: DataFrame) -> DataFrame:
     return rows.groupBy("_lang", "_source", "measure", "bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Two classes, in SQL that Spark and DuckDB share, over the buckets of a sketch in order (upto, sum_upto: documents and
+#: bucket numbers up to a bucket; total, sum_all, squares: of all): the share of variance that a split above the bucket
+#: explains, and the bucket half way between the means of the classes. Numbers from 64 on whose last six bits are below 32
+#: name no bucket; the cut-off is then the top of the one before.
+LOW, HIGH = "CAST(upto AS DOUBLE)", "nullif(CAST(total - upto AS DOUBLE), 0)"
+APART_BY = "(CAST(total AS DOUBLE) * CAST(sum_upto AS DOUBLE) - CAST(upto AS DOUBLE) * CAST(sum_all AS DOUBLE))"
+VARIANCE = "nullif(CAST(total AS DOUBLE) * CAST(squares AS DOUBLE) - CAST(sum_all AS DOUBLE) * CAST(sum_all AS DOUBLE), 0)"
+EXPLAINED = f"{APART_BY} * {APART_BY} / ({LOW} * {HIGH}) / {VARIANCE}"
+HALF_WAY = f"CAST(floor((CAST(sum_upto AS DOUBLE) / {LOW} + CAST(sum_all - sum_upto AS DOUBLE) / {HIGH}) / 2) AS BIGINT)"
+
+
+def may_split(name: str, tail: int) -> str:
+    """SQL: whether the buckets above this one hold something, and at most the tail."""
+    return f"measure = '{name}' AND upto < total AND 100 * upto >= {100 - tail} * total"
+
+
 def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key: documents, and the percentiles that each measure needs."""
+    """Per key: documents, the percentiles that each measure needs, and the cut-off between two classes or null."""
     merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     part = Window.partitionBy(*keys, "measure")
-    ranked = merged.withColumn("upto", F.sum("n").over(part.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(part))
-    at = lambda m, q: F.min(F.when((F.col("measure") == m) & (100 * F.col("upto") >= q * F.col("all")), F.col("bucket")))
-    aggs = [F.max("all").alias("docs")] + [bucket_top(at(m[0], q)).alias(f"{m[0]}_q{q}") for m in MEASURES for q in percents(m[4], m[9])]
+    ranked = merged.withColumn("upto", F.sum("n").over(part.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(part))
+    number = F.col("n") * F.col("bucket")
+    ranked = ranked.withColumn("sum_upto", F.sum(number).over(part.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
+    ranked = ranked.withColumn("sum_all", F.sum(number).over(part)).withColumn("squares", F.sum(number * F.col("bucket")).over(part))
+    at = lambda m, q: F.min(F.when((F.col("measure") == m) & (100 * F.col("upto") >= q * F.col("total")), F.col("bucket")))
+    aggs = [F.max("total").alias("docs")] + [bucket_top(at(m[0], q)).alias(f"{m[0]}_q{q}") for m in MEASURES for q in percents(m[4], m[9])]
+    best = lambda m: F.max(F.when(F.expr(may_split(m[0], m[4])), F.struct(F.expr(EXPLAINED).alias("share"), (-F.col("bucket")).alias("low"), F.expr(HALF_WAY).alias("mid"))))
+    aggs += [let(best(m), lambda x: F.when(x["share"] >= APART, bucket_top(F.when(x["mid"] < 64, x["mid"]).otherwise(F.greatest(x["mid"], x["mid"] - x["mid"] % 64 + 31))))).alias(f"{m[0]}_split") for m in MEASURES if m[0] in SPLIT]
     return ranked.groupBy(*keys).agg(*aggs)
 
 
@@ -117,7 +145,9 @@ def thresholds(sketch: DataFrame, least_docs: int) -> DataFrame:
     out = []
     for name, _, _, _, tail, fence, least, floor, ceiling, below in MEASURES:
         low, mid, high = pick(f"{name}_q{tail}") if below else None, pick(f"{name}_q50"), pick(f"{name}_q{100 - tail}")
-        out.append(F.greatest(F.lit(floor), F.least(F.lit(ceiling), high + F.greatest(F.lit(least), fence * (high - mid)))).cast("long").alias(f"{name}_max"))
+        fenced = F.least(F.lit(ceiling), high + F.greatest(F.lit(least), fence * (high - mid)))
+        fenced = F.coalesce(pick(f"{name}_split"), fenced) if name in SPLIT else fenced
+        out.append(F.greatest(F.lit(floor), fenced).cast("long").alias(f"{name}_max"))
         out.append((low - F.greatest(F.lit(least), fence * (mid - low)) if below else F.lit(0)).cast("long").alias(f"{name}_min"))
     return both.select("_lang", "_source", *out)
 
@@ -153,14 +183,19 @@ def quality_sql(docs: str = "documents") -> str:
     sym = "".join(SYMBOLS)
     bucket = lambda x: f"(({x}) >> greatest(length(bin({x})) - 6, 0)) + 64 * greatest(length(bin({x})) - 6, 0)"
     top = lambda b: f"(((({b}) - 64 * (({b}) // 64) + 1) << (({b}) // 64)) - 1)"
+    real = lambda b: f"CASE WHEN {b} < 64 THEN {b} ELSE greatest({b}, {b} - {b} % 64 + 31) END"
     val = {m[0]: f"(({m[1]} * {m[3]}) // greatest({m[2]}, 1))" for m in MEASURES}
     rows = " UNION ALL ".join(f"SELECT lang, source, '{m[0]}' AS measure, {bucket(val[m[0]])} AS bucket FROM features WHERE NOT base_failed" for m in MEASURES)
 
     def quart(name: str, keys: str) -> str:
         k = keys + ", " if keys else ""
         cols = ", ".join(f"{top(f'min(bucket) FILTER (WHERE measure = {chr(39)}{m[0]}{chr(39)} AND 100 * upto >= {q} * total)')} AS {m[0]}_q{q}" for m in MEASURES for q in percents(m[4], m[9]))
+        best = lambda m: f"max(CASE WHEN {may_split(m[0], m[4])} THEN {{'share': {EXPLAINED}, 'low': -bucket, 'mid': {HALF_WAY}}} END)"
+        cols += "".join(f", CASE WHEN ({best(m)}).share >= {APART} THEN {top(real('(' + best(m) + ').mid'))} END AS {m[0]}_split" for m in MEASURES if m[0] in SPLIT)
+        over = f"OVER (PARTITION BY {k}measure)"
         return f"""{name} AS (SELECT {k}max(total) AS docs, {cols} FROM (
-            SELECT {k}measure, bucket, sum(n) OVER (PARTITION BY {k}measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {k}measure) AS total
+            SELECT {k}measure, bucket, sum(n) OVER (PARTITION BY {k}measure ORDER BY bucket) AS upto, sum(n * bucket) OVER (PARTITION BY {k}measure ORDER BY bucket) AS sum_upto,
+                sum(n) {over} AS total, sum(n * bucket) {over} AS sum_all, sum(n * bucket * bucket) {over} AS squares
             FROM (SELECT {k}measure, bucket, count(*) AS n FROM rows GROUP BY {k}measure, bucket)) {'GROUP BY ' + keys if keys else ''})"""
 
     pick = lambda c: f"CASE WHEN o.docs >= {LEAST_DOCS} THEN o.{c} WHEN l.docs >= {LEAST_DOCS} THEN l.{c} ELSE a.{c} END"
@@ -168,7 +203,9 @@ def quality_sql(docs: str = "documents") -> str:
     for name, _, _, _, tail, fence, least, floor, ceiling, below in MEASURES:
         mid, high = pick(f"{name}_q50"), pick(f"{name}_q{100 - tail}")
         under = f"({pick(f'{name}_q{tail}')}) - greatest({least}, {fence} * (({mid}) - ({pick(f'{name}_q{tail}')})))" if below else 0
-        cuts.append(f"greatest({floor}, least({ceiling}, ({high}) + greatest({least}, {fence} * (({high}) - ({mid}))))) AS {name}_max, {under} AS {name}_min")
+        fenced = f"least({ceiling}, ({high}) + greatest({least}, {fence} * (({high}) - ({mid}))))"
+        fenced = f"coalesce({pick(f'{name}_split')}, {fenced})" if name in SPLIT else fenced
+        cuts.append(f"greatest({floor}, {fenced}) AS {name}_max, {under} AS {name}_min")
     fine = " AND ".join(f"coalesce({val[m[0]]} BETWEEN {m[0]}_min AND {m[0]}_max, true)" for m in MEASURES)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM {docs}),

@@ -455,10 +455,40 @@ def test_quality_cut_offs_are_no_fixed_numbers(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     features = common.cut(quality_rules.quality_features(docs, "doc_id", "text", "lang", "source"))
     limits = quality_rules.thresholds(quality_rules.sketches(features), 10).toPandas()
-    for name, floor in (("dup_lines", 500), ("repeats", 200), ("word_len", 0)):
+    for name, floor in (("symbols", 100), ("dup_lines", 500), ("repeats", 200), ("word_len", 0)):
         assert (limits[f"{name}_max"] > floor).mean() > 0.9 and limits[f"{name}_max"].nunique() > 1, name
 
 
+def symbol_docs(spark, groups):
+    """Documents of 20 words of nine characters; groups: per source, the number of symbols of each document."""
+    word = lambda i, j, k: f"{chr(97 + j)}{chr(97 + i % 26)}{chr(97 + i // 26)}{'#' * k}{'wxyzuv'[k:]}"
+    rows_ = [(1000 * g + i, " ".join(word(i, j, n // 20 + (j < n % 20)) for j in range(20)), "en", s) for g, (s, each) in enumerate(groups.items()) for i, n in enumerate(each)]
+    return spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string")
+
+
+def test_symbols_are_split_by_the_sketch(spark):
+    import duckdb
+
+    groups = {
+        "few": [0] * 180 + [60] * 20,  # zero but for junk: the split lies between
+        "code": [5 + i % 20 for i in range(200)],  # symbols throughout, one class: nothing goes
+        "half": [0] * 100 + [30] * 100,  # two classes, but the upper one is no tail
+        "some": [i % 3 for i in range(180)] + [80] * 20,  # clean documents with a few symbols stay
+        "clean": [0] * 200,
+        "thin": [0] * 20 + [60] * 2,  # too few: the language's sketch, where half of the upper class is code
+    }
+    docs = symbol_docs(spark, groups)
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs).collect()}
+    kept = {s: [got[1000 * k + i] for i in range(len(each))] for k, (s, each) in enumerate(groups.items())}
+    assert kept["few"] == [True] * 180 + [False] * 20 and kept["some"] == [True] * 180 + [False] * 20
+    assert all(kept["code"]) and all(kept["half"]) and all(kept["clean"])
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert got == {r[0]: r[7] for r in con.sql(f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM ({quality_rules.quality_sql()})").fetchall()}
+    limits = quality_rules.thresholds(quality_rules.sketches(quality_rules.quality_features(docs, "doc_id", "text", "lang", "source")), 100).toPandas().set_index("_source")
+    assert 100 < limits.symbols_max["few"] < 3000 and limits.symbols_max["clean"] == 100
+
+
 def test_unigram_ties_and_unknowns():
     pieces = [("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁", -1.0)]
     from tokenizers import Tokenizer, models
