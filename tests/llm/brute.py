@@ -62,3 +62,48 @@ def near(docs: list[tuple]) -> list[tuple]:
                 a, b = sorted((top(i), top(j)))
                 comp[b] = a
     return sorted((i, len(s), top(i), top(i) == i) for i, s in sets.items())
+
+
+def draw(doc_id: int, seed: int) -> float:
+    """The number in [0, 1) that mixing draws for an id: 64-bit xxHash of the id, then of the seed."""
+    import xxhash
+
+    first = xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), seed=42)
+    return xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), seed=first) % 2**53 / 2**53
+
+
+def tempered(has: dict, amount: float, power: float, most: float) -> dict:
+    """Tokens per value, in proportion to shares to a power but at most a part of what there is: amount in all."""
+    total = sum(has.values())
+    give = lambda rate: {v: min(most * n, rate * (n / total) ** power) for v, n in has.items()}
+    low, high = 0.0, 1e3 * total
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(give(mid).values()) < amount else (low, mid)
+    return give(high)
+
+
+def mixed(cells: dict, power: float, most: float, budget: float, tries, sweeps: int, tolerance: float, reached: float) -> dict:
+    """Probability per cell (a tuple with one value per margin, to tokens), raked under 1 towards tempered margins."""
+    total, first = sum(cells.values()), None
+    margins = range(len(next(iter(cells))))
+    has = [{v: sum(n for c, n in cells.items() if c[m] == v) for v in {c[m] for c in cells}} for m in margins]
+    wants = [{v: t / budget for v, t in tempered(h, total * budget, power, most).items()} for h in has]
+    for share in (budget * x for x in tries):
+        x = dict.fromkeys(cells, share)
+        given = lambda m, v: sum(n * min(x[c], 1) for c, n in cells.items() if c[m] == v)  # noqa: B023, E731
+        for _ in range(sweeps):
+            worst = 0.0
+            for m in margins:
+                factors = {v: want * share / given(m, v) for v, want in wants[m].items() if want}
+                worst = max([worst, *(abs(f - 1) for f in factors.values())])
+                x = {c: p * factors.get(c[m], 1) for c, p in x.items()}
+            if worst < tolerance:
+                break
+        p = {c: min(v, 1) for c, v in x.items()}
+        first = first or p
+        if all(abs(given(m, v) - want * share) <= reached * want * share for m in margins for v, want in wants[m].items()):
+            return p
+        if max(x.values()) < 1:
+            break
+    return first

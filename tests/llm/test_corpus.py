@@ -688,6 +688,67 @@ def test_pipeline(spark, docs, nothing, tmp_path):
         assert stage(spark, nothing.select("doc_id", "text", "lang", "source", "n_chars"), str(tmp_path)).columns == plain.columns, name
 
 
+def test_pipeline_against_plain_stages(spark, tmp_path):
+    """Each stage's rows equal a plain version's, which works on what the plain stages before it left."""
+    import zlib
+
+    import corpus_pipeline
+    import duckdb
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    columns = ["doc_id", "text", "lang", "source"]
+    given = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(*columns).collect()]
+    given += [(10**6 + r[0], *r[1:4]) for r in corpus()] + [(2 * 10**6 + r[0], *r[1:]) for r in given[:5]]
+    spark.createDataFrame(given, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs, left = spark.read.parquet(f"{tmp_path}/documents.parquet"), {r[0]: r for r in given}
+    stages = dict(corpus_pipeline.STAGES)
+
+    def after(name):
+        out = common.cut(stages[name](spark, docs, str(tmp_path)), "stage")
+        assert sorted(map(tuple, out.collect())) == [left[i] for i in sorted(left)], name
+        return out
+
+    kept = duckdb.sql(f"SELECT doc_id FROM ({quality_rules.quality_sql(f"'{tmp_path}/documents.parquet/*.parquet'")}) WHERE kept").fetchall()
+    left = {i: left[i] for (i,) in kept}
+    docs = after("quality_rules")
+    largest = {r[1]: i for i, r in sorted(left.items())}
+    left = {i: left[i] for i in largest.values()}
+    docs = after("exact_dedup")
+    left = {r[0]: left[r[0]] for r in brute.near([(i, r[1]) for i, r in left.items()]) if r[3]}
+    docs = after("minhash_near_dedup")
+
+    def topic(t):
+        if mixing.BAR_EACH * t.count("|") > len(t):
+            return "table"
+        return "list" if len(t) < mixing.LIST_LINE * (t.count("\n") + 1) else "long" if len(t) > mixing.LONG_TEXT else "prose"
+
+    cell = {i: (r[3], r[2], topic(r[1])) for i, r in left.items()}
+    tokens = Counter()
+    for i, r in left.items():
+        tokens[cell[i]] += len(r[1].encode().split())
+    p = brute.mixed(tokens, mixing.TEMPER, mixing.MOST_USED, mixing.BUDGET, mixing.TRIES, mixing.SWEEPS, mixing.TOLERANCE, mixing.REACHED)
+    assert all(abs(brute.draw(i, mixing.SEED) - p[c]) > 1e-6 for i, c in cell.items())
+    many = len(left)
+    left = {i: r for i, r in left.items() if brute.draw(i, mixing.SEED) < p[cell[i]]}
+    assert 0 < len(left) < many
+    docs = after("mix_sources")
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    tokenizer.encode_special_tokens = True
+    ids = {i: np.array([*tokenizer.encode(r[1], add_special_tokens=False).ids, 0], dtype="<u4") for i, r in left.items()}
+    want = []
+    for i, x in ids.items():
+        cuts = [0, *range(len(x) % packing.CAPACITY or packing.CAPACITY, len(x) + 1, packing.CAPACITY)]
+        cuts = cuts if len(x) > packing.CAPACITY else [0, len(x)]
+        want += [(i, k, a, b - a, zlib.crc32(x[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    got = common.cut(corpus_pipeline.run(spark, str(tmp_path)), "packed")
+    assert rows(got, "doc_id", "piece", "start", "length", "ids_crc32") == sorted(want)
+    placed = got.toPandas().sort_values(["sequence_id", "offset"])
+    assert (placed.groupby("sequence_id").length.cumsum() - placed.length == placed.offset).all()
+    assert placed.groupby("sequence_id").length.sum().max() <= packing.CAPACITY
+    assert placed.sequence_id.nunique() <= -(-sum(map(len, ids.values())) // packing.CAPACITY) + 1
+
+
 def test_stages_decide_about_rows(spark, tmp_path):
     import corpus_pipeline
 
