@@ -15,8 +15,8 @@ from .common import cut, join_small, table
 #: (host, path prefix, verdict); a host stands for its subdomains too, and the longest rule wins.
 FIXED_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 BAD = "@bad"
-#: Share of the labelled urls, and number of bad ones among them, that a combination must occur in; most tokens of one.
-MIN_SUPPORT, LEAST_PAGES, MOST_TOKENS = 0.002, 20, 3
+#: Share of the labelled urls, and number of bad ones among them, that a combination must occur in.
+MIN_SUPPORT, LEAST_PAGES = 0.002, 20
 #: Least lift of a rule, and least confidence, which the lower end of its Wilson interval of Z deviations must reach.
 MIN_LIFT, MIN_CONFIDENCE, Z = 1.5, 0.6, 3
 A_TO_Z, a_to_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,7 +62,7 @@ def wilson(bad: Column, n: Column) -> Column:
     return (p + zz / (2 * n) - Z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
 
 
-def mine_rules(baskets: DataFrame, min_support: float, min_confidence: float, min_lift: float, least_pages: int) -> DataFrame:
+def mine_rules(baskets: DataFrame, min_support: float, min_confidence: float, min_lift: float, least_pages: int, most_tokens: int | None = None) -> DataFrame:
     """(rule_id, tokens, rarest, support, confidence) from baskets (tokens, bad).
 
     A combination that few labelled urls hold, or whose confidence may be chance, is no rule. A rule is left out if a
@@ -72,7 +72,8 @@ def mine_rules(baskets: DataFrame, min_support: float, min_confidence: float, mi
     n = items.count()
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, (least_pages - 0.5) / max(n, 1))), minConfidence=min_confidence).fit(items)
     both = F.round(F.col("support") * n)
-    rules = model.associationRules.where((F.col("consequent")[0] == BAD) & (F.size("antecedent") <= MOST_TOKENS) & (F.col("lift") >= min_lift))
+    rules = model.associationRules.where((F.col("consequent")[0] == BAD) & (F.col("lift") >= min_lift))
+    rules = rules if most_tokens is None else rules.where(F.size("antecedent") <= most_tokens)
     rules = rules.where((both >= least_pages) & (wilson(both, F.round(both / F.col("confidence"))) >= min_confidence))
     rules = cut(rules.select(F.array_sort("antecedent").alias("tokens"), "support", "confidence"), "url-rules")
     rules = rules.withColumn("rule_id", F.array_join("tokens", " "))
@@ -89,11 +90,13 @@ def mine_rules(baskets: DataFrame, min_support: float, min_confidence: float, mi
 def url_filter(
     pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", fixed=FIXED_RULES,
     min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, least_pages: int = LEAST_PAGES,
+    most_tokens: int | None = None,
 ) -> DataFrame:
     """One row per page: id, host, path, rule (the fixed rule that fits, else null), verdict (allow or block), mined_rule.
 
     A labelled url is bad if its quality is 0 or it is toxic; the label of a page is the one with the page's id. Mined
-    rules are kept by support, count, confidence (with the chance of few pages taken off) and lift. They match by an
+    rules are kept by support, count, confidence (with the chance of few pages taken off) and lift, and have any number of tokens
+    unless most_tokens sets a limit. They match by an
     inverted index: a rule stands under its rarest token alone, the tokens of the distinct urls look it up, and the whole
     rule is then compared.
 
@@ -106,7 +109,7 @@ def url_filter(
     own = own.withColumn("_tokens", url_tokens(F.col("host"), F.col("path"), F.col("_query")))
     bad = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
     baskets = own.select("_id", F.col("_tokens").alias("tokens")).join(labels.select(F.col(label_id).alias("_id"), bad.alias("bad")), "_id").where(F.size("tokens") > 0).select("tokens", "bad")
-    rules = mine_rules(baskets, min_support, min_confidence, min_lift, least_pages)
+    rules = mine_rules(baskets, min_support, min_confidence, min_lift, least_pages, most_tokens)
     index = rules.select(F.col("rarest").alias("_rarest"), F.col("tokens").alias("_rule_tokens"), "confidence", "support", "rule_id")
     tokens = own.where(fixed_rule(F.col("host"), F.col("path"), fixed).isNull()).select("_url", "_tokens").groupBy("_url").agg(F.first("_tokens").alias("_tokens"))
     hits = join_small(tokens.select("_url", "_tokens", F.explode("_tokens").alias("_token")), index, {"_token": "_rarest"}, "inner")
@@ -126,18 +129,13 @@ def op2_url_filter(spark, sf_dir: str) -> DataFrame:
 
 
 def url_sql(pages: str = "pages", labels: str = "labels", fixed=FIXED_RULES) -> str:
-    """The same in DuckDB; combinations are enumerated, up to MOST_TOKENS tokens."""
+    """The same in DuckDB; all combinations of the frequent tokens of a url are enumerated."""
     where = "WHEN (host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}') THEN "
     first = sorted(fixed, key=lambda r: (-len(r[0]) - len(r[1]), -len(r[0])))
     case = lambda f: "CASE " + " ".join(where.format(h, p) + f"'{f(h, p, v)}'" for h, p, v in first) + " END" if first else "NULL::VARCHAR"
-    combos = []
-    for k in range(1, MOST_TOKENS + 1):
-        tables = ", ".join(f"items i{j}" for j in range(k))
-        order = "".join(f" AND i{j}.b = i0.b AND i{j - 1}.tok < i{j}.tok" for j in range(1, k))
-        combos.append(f"SELECT i0.bad, [{', '.join(f'i{j}.tok' for j in range(k))}] AS a FROM {tables} WHERE true{order}")
     zz = f"{Z * Z}.0"
     return f"""
-WITH split AS (SELECT row_number() OVER () AS rid, page_id, url,
+WITH RECURSIVE split AS (SELECT row_number() OVER () AS rid, page_id, url,
       coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '{A_TO_Z}', '{a_to_z}'), '') AS host,
       coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path,
       coalesce(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '') AS query FROM {pages}),
@@ -150,7 +148,8 @@ own AS (SELECT *, CASE WHEN host = '' THEN []::VARCHAR[] ELSE list_distinct(list
 baskets AS (SELECT row_number() OVER () AS b, tokens, coalesce(quality = 0, false) OR coalesce(toxic = 1, false) AS bad FROM own JOIN {labels} ON doc_id = page_id WHERE len(tokens) > 0),
 every AS (SELECT b, bad, unnest(tokens) AS tok FROM baskets),
 items AS (SELECT * FROM every WHERE tok IN (SELECT tok FROM every WHERE bad GROUP BY tok HAVING count(*) >= {LEAST_PAGES})),
-stat AS (SELECT a, count(*)::DOUBLE AS n, (count(*) FILTER (WHERE bad))::DOUBLE AS k FROM ({' UNION ALL '.join(combos)}) GROUP BY a),
+combos AS (SELECT b, bad, [tok] AS a FROM items UNION ALL SELECT c.b, c.bad, list_append(c.a, i.tok) FROM combos c JOIN items i ON c.b = i.b AND i.tok > c.a[-1]),
+stat AS (SELECT a, count(*)::DOUBLE AS n, (count(*) FILTER (WHERE bad))::DOUBLE AS k FROM combos GROUP BY a),
 whole AS (SELECT count(*) AS n, count(*) FILTER (WHERE bad) AS k FROM baskets),
 rules AS (SELECT a, k / n AS confidence, k / (SELECT n FROM whole) AS support FROM stat
       WHERE k >= greatest({LEAST_PAGES}, ceil({MIN_SUPPORT} * (SELECT n FROM whole))) AND k / n >= {MIN_CONFIDENCE} AND (k / n) / ((SELECT k FROM whole) / (SELECT n FROM whole)) >= {MIN_LIFT}

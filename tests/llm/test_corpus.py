@@ -302,8 +302,20 @@ def test_mined_url_rules(spark):
     assert url_filter.url_filter(df, labels.where("doc_id < 80"), fixed=()).where("verdict = 'block'").count() == 100
 
 
+def test_url_rules_of_four_tokens(spark):
+    """Only all four words together go with bad pages; any three occur as often on good ones."""
+    paths = ["a/b/c/d"] * 40 + [p for p in ("a/b/c", "a/b/d", "a/c/d", "b/c/d") for _ in range(40)]
+    pages = [(i, f"http://h{i}.net/{p}") for i, p in enumerate(paths)]
+    labels = [(i, 0 if i < 40 else 1, 0) for i in range(len(paths))]
+    df, lab = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = url_filter.url_filter(df, lab)
+    assert rows(got, "page_id", "host", "path", "rule", "verdict") == sorted(brute_url_rules(pages, labels))
+    assert {r.mined_rule for r in got.where("verdict = 'block'").collect()} == {"p:a p:b p:c p:d"} and got.where("verdict = 'block'").count() == 40
+    assert not url_filter.url_filter(df, lab, most_tokens=3).where("verdict = 'block'").count()
+
+
 def brute_url_rules(pages, labels):
-    """Verdict per (page_id, url): every combination of up to three tokens is counted."""
+    """Verdict per (page_id, url): every combination of tokens is counted."""
     import re
     from itertools import combinations
 
@@ -326,7 +338,7 @@ def brute_url_rules(pages, labels):
     n, k = {}, {}
     often = {x for x in set().union(*(own for own, _ in baskets)) if sum(x in own and bad for own, bad in baskets) >= 20}
     for own, bad in baskets:
-        for size in (1, 2, 3):
+        for size in range(1, len(own & often) + 1):
             for c in combinations(sorted(own & often), size):
                 n[c], k[c] = n.get(c, 0) + 1, k.get(c, 0) + bad
     base = sum(bad for _, bad in baskets) / max(len(baskets), 1)
