@@ -124,10 +124,12 @@ def mode_of(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("_c"), F.col(value))).alias("mode"), F.max("_c").alias("mode_count"))
 
 
-def upper_median(value: str) -> Column:
-    """The element at n // 2 of the sorted values, also for dates."""
-    arr = F.sort_array(F.collect_list(value))
-    return F.element_at(arr, (F.floor(F.size(arr) / 2) + 1).cast("int"))
+def upper_median(date: str) -> Column:
+    """The date at n // 2 of the sorted dates: of two in the middle, the later.
+
+    Spark counts the distinct days of a group, partly before the shuffle, so a group holds days and no rows.
+    """
+    return F.expr(f"date_from_unix_date(CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_date(`{date}`) DESC) AS INT))")
 
 
 def profile(df: DataFrame, value: str, entity: str) -> list[Column]:

@@ -357,3 +357,16 @@ def test_correlation_p_values_against_sampling():
         r = np.array([np.corrcoef(rng.normal(size=(2, size)))[0, 1] for _ in range(20_000)])
         for at in (0.2, 0.5):
             assert abs(M.correlation_p_value(at, size) - (np.abs(r) >= at).mean()) < 0.015
+
+
+def test_upper_median_of_dates(spark):
+    import datetime
+
+    from hindcast.operators.aggregates import upper_median
+
+    day = lambda n: datetime.date(1969, 12, 20) + datetime.timedelta(n)
+    groups = {"one": [3], "even": [9, 1, 4, 20], "odd": [30, 2, 2], "ties": [5, 5, 7, 7], "none": [None], "some": [None, 8, 6]}
+    df = spark.createDataFrame([(k, None if n is None else day(n)) for k, each in groups.items() for n in each], "k string, d date")
+    got = {r.k: r.m for r in df.groupBy("k").agg(upper_median("d").alias("m")).collect()}
+    want = {k: sorted(n for n in each if n is not None) for k, each in groups.items()}
+    assert got == {k: day(v[len(v) // 2]) if v else None for k, v in want.items()}
