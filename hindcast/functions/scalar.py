@@ -172,6 +172,12 @@ def numbers_in(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(f"({NUMBER})"), F.lit(1)), lambda x: x.cast("double"))
 
 
+def claimed_numbers(text: Column) -> Column:
+    """Numbers that do not follow a letter, digit or underscore; none of a null text."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?:^|[^A-Za-z0-9_])({NUMBER})"), F.lit(1))
+    return F.transform(found, lambda x: x.cast("double"))
+
+
 def untraceable(claimed: Column, evidence: Column, tolerance: float = 1e-6) -> Column:
     """Claimed numbers that no evidence number is within tolerance of."""
     return F.filter(claimed, lambda c: ~F.exists(evidence, lambda e: F.abs(c - e) <= tolerance))
