@@ -67,15 +67,15 @@ def finite_sample_rank(n: Column, level: Column) -> Column:
     return F.least(n, F.greatest(F.lit(1), F.ceil(F.round((n + 1) * level, 9))))
 
 
-def order_statistics(counts: DataFrame, values, keys: Sequence[str], levels: Sequence[float]) -> DataFrame:
+def order_statistics(counts: DataFrame, values, keys: Sequence[str], levels: Sequence[float], rank=finite_sample_rank) -> DataFrame:
     """(keys, level, n, q) from counts (keys, bucket, c): the bucket that holds the rank, then the value within it.
 
     values(targets) gives the rows (keys, level, n, need, value) of the buckets asked for. Only those are put in order,
-    and equal ones count as one row.
+    and equal ones count as one row. rank(n, level) says which place is asked for.
     """
     w = Window.partitionBy(*keys)
     upto = counts.withColumn("_upto", F.sum("c").over(w.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
-    at = upto.withColumn("level", F.explode(F.array(*[F.lit(float(x)) for x in levels]))).withColumn("_rank", finite_sample_rank(F.col("n"), F.col("level")))
+    at = upto.withColumn("level", F.explode(F.array(*[F.lit(float(x)) for x in levels]))).withColumn("_rank", rank(F.col("n"), F.col("level")))
     targets = at.where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("c") < F.col("_rank")))
     targets = targets.select(*keys, "level", "n", F.col("bucket").alias("_bucket"), (F.col("_rank") - F.col("_upto") + F.col("c")).alias("need"))
     found = values(targets).groupBy(*keys, "level", "n", "need", "value").agg(F.count(F.lit(1)).alias("_c"))
@@ -83,11 +83,8 @@ def order_statistics(counts: DataFrame, values, keys: Sequence[str], levels: Seq
     return found.withColumn("_upto", F.sum("_c").over(inner)).where("_upto >= need").groupBy(*keys, "level", "n").agg(F.min_by("value", "_upto").alias("q"))
 
 
-def finite_sample_quantile(df: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float]) -> DataFrame:
-    """(keys, level, n, q): the order statistic at ceil((n + 1) * level), at most n.
-
-    Values are counted in buckets by size first; no group is sorted as a whole, however large.
-    """
+def bucketed(df: DataFrame, keys: Sequence[str], value: str):
+    """Counts (keys, bucket, c) of values by size, and the values of the buckets that are asked for."""
     own = df.select(*keys, F.col(value).alias("value"), order_bucket(value).alias("bucket"))
     counts = own.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("c"))
 
@@ -98,7 +95,33 @@ def finite_sample_quantile(df: DataFrame, keys: Sequence[str], value: str, level
             cond = cond & own[k].eqNullSafe(targets[f"_{k}"])
         return own.join(targets, cond).select(*keys, "level", "n", "need", "value")
 
-    return order_statistics(counts, values, keys, levels)
+    return counts, values
+
+
+def finite_sample_quantile(df: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float]) -> DataFrame:
+    """(keys, level, n, q): the order statistic at ceil((n + 1) * level), at most n.
+
+    Values are counted in buckets by size first; no group is sorted as a whole, however large.
+    """
+    return order_statistics(*bucketed(df, keys, value), keys, levels)
+
+
+def interpolated_quantile(df: DataFrame, keys: Sequence[str], value: str, levels: Sequence[float]) -> DataFrame:
+    """(keys, level, n, low, high, q): q lies between the order statistics around (n - 1) * level, linearly.
+
+    Counted in buckets like finite_sample_quantile. Rows with a null value are left out.
+    """
+    counts, values = bucketed(df.where(F.col(value).isNotNull()), keys, value)
+    place = lambda n, level: F.round((n - 1) * level, 9)
+    low = order_statistics(counts, values, keys, levels, lambda n, level: F.floor(place(n, level)) + 1)
+    high = order_statistics(counts, values, keys, levels, lambda n, level: F.least(n, F.floor(place(n, level)) + 2))
+    high = high.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("level").alias("_level"), F.col("q").alias("high"))
+    same = F.col("level") == F.col("_level")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    share = place(F.col("n"), F.col("level"))
+    met = low.withColumnRenamed("q", "low").join(high, same)
+    return met.select(*keys, "level", "n", "low", "high", (F.col("low") + (F.col("high") - F.col("low")) * (share - F.floor(share))).alias("q"))
 
 
 def prior_quantile(df: DataFrame, period: str, value: str, levels: Sequence[float], name: str = "test_period") -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import governance, kernels, metrics, models, ranking, relational, rounds, studies, transport, verification
+from . import audits, governance, kernels, metrics, models, ranking, relational, rounds, studies, transport, verification
 
-PARTS = (metrics, relational, ranking, governance, models, kernels, rounds, studies, transport, verification)
+PARTS = (metrics, relational, ranking, governance, models, kernels, rounds, studies, transport, verification, audits)
 
 
 def queries() -> dict:

@@ -15,7 +15,7 @@ _written: list[tuple[SparkSession, str]] = []
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir; a local session without one gets a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
