@@ -24,8 +24,8 @@ from .common import cut, wide_table
 CAPACITY, END_ID = 2048, 0
 #: Lengths over this share of the capacity are large: they are grouped and rounded up. GROUPS: sizes that are left.
 LARGE, GROUPS = 1 / 3, 1000
-#: Parts into which a length's pieces are dealt to be ranked.
-RANK_PARTS = 256
+#: Parts into which a length's pieces are dealt to be ranked: at least so many, and one for so many pieces of the corpus.
+RANK_PARTS, RANK_ROWS = 256, 200_000
 
 
 class Encoder:
@@ -232,9 +232,18 @@ def plan_packing(histogram: dict[int, int], capacity: int = CAPACITY, large: flo
     return [(k, r, r + count, start, o) for room in blocks.by_room.values() for start, count, places, _ in room for k, r, o in places]
 
 
+def rank_parts(pieces: int) -> int:
+    """Parts for that many pieces. One length may hold them all, so a part's share of a length stays near RANK_ROWS at most."""
+    return max(RANK_PARTS, -(-pieces // RANK_ROWS))
+
+
 def ranked(pieces: DataFrame, parts: int) -> DataFrame:
-    """A rank from 0 among the pieces of a length. Each length is dealt over parts; a length that all pieces share is no hot spot."""
-    dealt = pieces.withColumn("_part", F.pmod(F.xxhash64("id", "piece"), F.lit(parts)).cast("int"))
+    """A rank from 0 among the pieces of a length; pieces is a table of files.
+
+    Each length is dealt over parts by content and place in the file, so neither a length that all pieces share nor an id
+    or text that many rows share is a hot spot.
+    """
+    dealt = pieces.withColumn("_part", F.pmod(F.xxhash64("id", "piece", "start", "ids_crc32", F.col("_metadata.row_index")), F.lit(parts)).cast("int"))
     sizes = dealt.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -257,7 +266,7 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
     plan_schema = "_length long, _from long, _to long, _first long, _offset long"
     places = pieces.sparkSession.createDataFrame(pd.DataFrame(plan, columns=[c.split()[0] for c in plan_schema.split(", ")]) if plan else [], plan_schema)
     # broadcast: the plan has at most some rows per length and configuration
-    rows = ranked(pieces, RANK_PARTS).join(F.broadcast(places), (F.col("length") == F.col("_length")) & (F.col("rank") >= F.col("_from")) & (F.col("rank") < F.col("_to")))
+    rows = ranked(pieces, rank_parts(sum(histogram.values()))).join(F.broadcast(places), (F.col("length") == F.col("_length")) & (F.col("rank") >= F.col("_from")) & (F.col("rank") < F.col("_to")))
     return rows.select(F.col("id").alias(id_col), "piece", "start", "length", "ids_crc32", (F.col("_first") + F.col("rank") - F.col("_from")).alias("sequence_id"), F.col("_offset").alias("offset"))
 
 

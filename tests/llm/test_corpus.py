@@ -847,5 +847,18 @@ def test_packing_of_repeated_rows_and_clashing_columns(spark):
     got = packing.best_fit_packing(df, packing.default_tokenizer(), capacity=64).toPandas()
     assert len(got[got.doc_id.isna()]) >= 1 and len(got[got.doc_id == 1]) == 2 * len(got[got.doc_id.isna()])
     assert got.groupby("sequence_id").length.sum().max() <= 64
+
+
+def test_packing_ranks_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_PARTS", 1)
+    monkeypatch.setattr(packing, "RANK_ROWS", 8)
+    assert (packing.rank_parts(0), packing.rank_parts(8), packing.rank_parts(9), packing.rank_parts(300)) == (1, 1, 2, 38)
+    df = spark.createDataFrame([(None, "one text in many rows")] * 200 + [(i, "short") for i in range(100)], "doc_id long, text string")
+    pieces = common.cut(packing.token_pieces(df, "doc_id", "text", packing.default_tokenizer(), 16), "pieces")
+    got = packing.ranked(pieces, packing.rank_parts(300)).toPandas()
+    for _, own in got.groupby("length"):
+        assert sorted(own["rank"]) == list(range(len(own))) and own.groupby("_part").size().max() <= len(own) / 4
+    packed = packing.best_fit_packing(df, packing.default_tokenizer(), capacity=16).sort("sequence_id", "offset").toPandas()
+    assert len(packed) == 300 and (packed.groupby("sequence_id").length.cumsum() - packed.length == packed.offset).all() and packed.groupby("sequence_id").length.sum().max() <= 16
     ordered = got.sort_values(["sequence_id", "offset"])
     assert (ordered.groupby("sequence_id").length.cumsum() - ordered.length == ordered.offset).all()
