@@ -132,7 +132,8 @@ def block_pairs(left: DataFrame, right: DataFrame, id_col: str, vec: str, meet,
     of the id, and returns what meet makes of them (a frame with the columns of schema).
     """
     a, b = (max(1, -(-df.count() // block)) for df in (left, right))
-    deal = lambda df, own, salt, n, other, m: df.select(F.col(id_col).alias("i"), F.transform(vec, lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(id_col, F.lit(salt)), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+    # both numbers are int on both sides: a cogroup hashes keys as they are, and a long and an int of one value fall apart
+    deal = lambda df, own, salt, n, other, m: df.select(F.col(id_col).alias("i"), F.transform(vec, lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(id_col, F.lit(salt)), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
     mine, theirs = deal(left, "a", 1, a, "b", b), deal(right, "b", 2, b, "a", a)
 
     def both(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
@@ -147,15 +148,26 @@ def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0)
 
 
-def least_distances(k: int):
-    """What two blocks keep: for each left row its k nearest right rows, measured anew as products round."""
+def least_distances(k: int, step: int = 128):
+    """What two blocks keep: for each left row its k nearest right rows, equal distances to the lesser id.
+
+    Products round, so every right row within their error of the k-th is measured anew: however many copies of a vector tie
+    there, all of them are. ``step`` left rows at a time.
+    """
+
+    def part(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        d, many = squared_distances(x, y), min(len(j), k)
+        slack = 1e-10 * ((x**2).sum(1) + (y**2).sum(1).max())
+        at, near = np.nonzero(d <= (np.partition(d, many - 1, axis=1)[:, many - 1] + slack)[:, None])
+        exact = np.zeros(len(at))
+        for c in range(x.shape[1]):
+            exact += (x[at, c] - y[near, c]) ** 2
+        order = np.lexsort((j[near], exact, at))
+        order = order[np.arange(len(at)) - np.searchsorted(at, at) < k]  # at ascends in both orders
+        return pd.DataFrame({"i": i[at[order]], "d": exact[order], "j": j[near[order]]})
 
     def least(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray) -> pd.DataFrame:
-        d, many = squared_distances(x, y), min(len(j), k + 8)
-        near = np.argpartition(d, many - 1, axis=1)[:, :many]
-        exact = ((x[:, None, :] - y[near]) ** 2).sum(2)
-        order = np.lexsort((j[near], exact), axis=1)[:, :k]
-        return pd.DataFrame({"i": np.repeat(i, order.shape[1]), "d": np.take_along_axis(exact, order, 1).ravel(), "j": np.take_along_axis(j[near], order, 1).ravel()})
+        return pd.concat([part(i[s : s + step], x[s : s + step], j, y) for s in range(0, len(i), step)], ignore_index=True)
 
     return least
 
@@ -169,7 +181,7 @@ def summed_nearest(met: DataFrame, id_col: str, k: int) -> DataFrame:
 def nearest_points(test: DataFrame, train: DataFrame, id_col: str, vec: str, k: int = 5) -> DataFrame:
     """Per test point: nearest train point, squared distance to it, mean of the k least.
 
-    Blocks meet as matrix products and keep their k least; a few more are taken, as the products round, and measured anew.
+    Blocks meet as matrix products and keep their k least, measured anew as the products round.
     """
     kind = test.schema[id_col].dataType.simpleString()
     return summed_nearest(block_pairs(test, train, id_col, vec, least_distances(k), f"i {kind}, d double, j {kind}"), id_col, k)

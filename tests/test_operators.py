@@ -269,6 +269,32 @@ def test_nearest_points_and_support_over_blocks(spark):
     assert R.nearest_points(df.limit(0), df, "i", "v").count() == 0 and R.nearest_points(df, df.limit(0), "i", "v").count() == 0
 
 
+def unmerged(spark, build):
+    """The rows of a frame whose shuffle partitions stay apart, as on larger tables: merged small ones hide keys of two types."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return build().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_nearest_points_over_blocks_and_partitions(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(90, 4))
+    x[40:80] = x[40]  # more copies than any block keeps: the lesser ids are the nearest
+    df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "i long, v array<double>")
+    d = ((x[:30, None, :] - x[None, 30:, :]) ** 2).sum(2)
+    for block in (7, 2_000):
+        monkeypatch.setattr(R.block_pairs, "__defaults__", (block,))
+        got = {r["i"]: r for r in unmerged(spark, lambda: R.nearest_points(df.where("i < 30"), df.where("i >= 30"), "i", "v", 3))}
+        assert len(got) == 30
+        for i in range(30):
+            order = np.lexsort((np.arange(60), d[i].round(12)))
+            assert got[i]["nearest"] == order[0] + 30 and abs(got[i]["mean_k_sq"] - d[i][order[:3]].mean()) < 1e-9
+    best = R.least_distances(3)(np.array([7]), x[40:41], np.arange(89, 29, -1), x[:29:-1])
+    assert best["j"].tolist() == [40, 41, 42] and not best["d"].any()
+
+
 def test_quantiles_without_a_sorted_pool(spark):
     rng = np.random.default_rng(8)
     rows = [(int(rng.integers(0, 3)), int(rng.integers(1990, 1996)), float(round(v, 1))) for v in rng.normal(size=400) * 10] + [(0, 1990, 0.0), (1, 1991, -0.0), (2, 1992, 1e-300)]
