@@ -10,8 +10,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors of a block where all pairs are looked at.
-BLOCK = 2_000
+#: Vectors of a block where all pairs are looked at, at least; blocks that a larger table is cut into; bytes that bound a block.
+BLOCK, GRID, BLOCK_BYTES = 2_000, 24, 32 << 20
+#: Left vectors of a block that are looked at together.
+STEP = 128
 
 # columns and contracts
 
@@ -125,21 +127,39 @@ def nearest_match(left: DataFrame, right: DataFrame, keys: Sequence[str], left_t
     return both.withColumn("_best", best).select(*columns, F.col("_best.t").alias(right_time), F.col("_best.v").alias(value))
 
 
-def block_pairs(left: DataFrame, right: DataFrame, id_col: str, vec: str, meet, schema: str, block: int = BLOCK) -> DataFrame:
+def in_steps(meet, step: int = STEP):
+    """meet for ``step`` left rows at a time, so that no product is larger than that times a block."""
+
+    def stepped(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        return pd.concat([meet(i[s : s + step], x[s : s + step], j, y) for s in range(0, len(i), step)], ignore_index=True)
+
+    return stepped
+
+
+def block_pairs(left: DataFrame, right: DataFrame, id_col: str, vec: str, meet, schema: str, block: int | None = None) -> DataFrame:
     """meet(left ids, left matrix, right ids, right matrix) of every block of left rows with every block of right rows.
 
     All pairs are looked at, but none is a row: a task holds two blocks of about ``block`` vectors each, dealt by a hash
-    of the id, and returns what meet makes of them (a frame with the columns of schema).
+    of the id, and returns what meet makes of ``STEP`` left rows at a time (a frame with the columns of schema; each left
+    row comes once per right block). Without ``block`` a side is cut into ``GRID`` blocks, which keeps the vectors shuffled
+    in proportion to the rows; into fewer that are not smaller than ``BLOCK``, into more that do not pass ``BLOCK_BYTES``.
     """
-    a, b = (max(1, -(-df.count() // block)) for df in (left, right))
+
+    def blocks(df: DataFrame) -> int:
+        rows, width = df.agg(F.count(F.lit(1)), F.max(F.size(vec))).first()
+        most = max(1, BLOCK_BYTES // (8 * max(1, width or 1)))
+        return max(1, -(-rows // (block or min(max(BLOCK, -(-rows // GRID)), most))))
+
+    a, b = blocks(left), blocks(right)
     # both numbers are int on both sides: a cogroup hashes keys as they are, and a long and an int of one value fall apart
     deal = lambda df, own, salt, n, other, m: df.select(F.col(id_col).alias("i"), F.transform(vec, lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64(id_col, F.lit(salt)), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
     mine, theirs = deal(left, "a", 1, a, "b", b), deal(right, "b", 2, b, "a", a)
+    stepped = in_steps(meet)
 
     def both(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
             return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-        return meet(x["i"].to_numpy(), np.stack(x["v"].to_numpy()), y["i"].to_numpy(), np.stack(y["v"].to_numpy()))
+        return stepped(x["i"].to_numpy(), np.stack(x["v"].to_numpy()), y["i"].to_numpy(), np.stack(y["v"].to_numpy()))
 
     return mine.groupBy("a", "b").cogroup(theirs.groupBy("a", "b")).applyInPandas(both, schema)
 
@@ -148,14 +168,14 @@ def squared_distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2 * x @ y.T, 0)
 
 
-def least_distances(k: int, step: int = 128):
+def least_distances(k: int):
     """What two blocks keep: for each left row its k nearest right rows, equal distances to the lesser id.
 
     Products round, so every right row within their error of the k-th is measured anew: however many copies of a vector tie
-    there, all of them are. ``step`` left rows at a time.
+    there, all of them are.
     """
 
-    def part(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+    def least(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray) -> pd.DataFrame:
         d, many = squared_distances(x, y), min(len(j), k)
         slack = 1e-10 * ((x**2).sum(1) + (y**2).sum(1).max())
         at, near = np.nonzero(d <= (np.partition(d, many - 1, axis=1)[:, many - 1] + slack)[:, None])
@@ -166,9 +186,6 @@ def least_distances(k: int, step: int = 128):
         order = order[np.arange(len(at)) - np.searchsorted(at, at) < k]  # at ascends in both orders
         return pd.DataFrame({"i": i[at[order]], "d": exact[order], "j": j[near[order]]})
 
-    def least(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray) -> pd.DataFrame:
-        return pd.concat([part(i[s : s + step], x[s : s + step], j, y) for s in range(0, len(i), step)], ignore_index=True)
-
     return least
 
 
@@ -246,7 +263,7 @@ def pruned_nearest(test: DataFrame, train: DataFrame, id_col: str, vec: str, k:
     parts = F.broadcast(test.sparkSession.createDataFrame(blocks, "cell int, own int, guests int"))  # a row per pivot
     deal = lambda df, mine, other, a, b, salt: df.join(parts, "cell").select("cell", "i", "v", F.pmod(F.xxhash64("i", F.lit(salt)), F.col(mine)).cast("int").alias(a), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(b))
     left, right = deal(visits, "guests", "own", "a", "b", 1), deal(placed, "own", "guests", "b", "a", 2)
-    least = least_distances(k)
+    least = in_steps(least_distances(k))
 
     def both(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):

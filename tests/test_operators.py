@@ -295,6 +295,20 @@ def test_nearest_points_over_blocks_and_partitions(spark, monkeypatch):
     assert best["j"].tolist() == [40, 41, 42] and not best["d"].any()
 
 
+def test_support_geometry_over_blocks_and_partitions(spark, monkeypatch):
+    rng = np.random.default_rng(18)
+    x = rng.normal(size=(90, 4))
+    df = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(x)], "i long, v array<double>")
+    d = ((x[:30, None, :] - x[None, 30:, :]) ** 2).sum(2)
+    for floor, grid in ((7, 3), (1, 24), (2_000, 24)):
+        monkeypatch.setattr(R, "BLOCK", floor)
+        monkeypatch.setattr(R, "GRID", grid)
+        got = {r["i"]: r for r in unmerged(spark, lambda: R.support_geometry(df.where("i < 30"), df.where("i >= 30"), "i", "v", 2.0))}
+        assert len(got) == 30
+        for i in range(30):
+            assert abs(got[i]["similarity"] - np.exp(-d[i] / 2).max()) < 1e-9 and abs(got[i]["density"] - np.exp(-d[i] / 2).mean()) < 1e-9 and abs(got[i]["mass"] - (d[i] <= 2).mean()) < 1e-9
+
+
 def test_quantiles_without_a_sorted_pool(spark):
     rng = np.random.default_rng(8)
     rows = [(int(rng.integers(0, 3)), int(rng.integers(1990, 1996)), float(round(v, 1))) for v in rng.normal(size=400) * 10] + [(0, 1990, 0.0), (1, 1991, -0.0), (2, 1992, 1e-300)]
