@@ -94,13 +94,15 @@ def write_shards(placed: DataFrame, path: str, parts: int = 1) -> None:
 def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
     """One row per document: id, size, text_crc32, law, shard, slot, grown_shard, under the law ``rows``.
 
-    size is the text's UTF-8 bytes and 16 more; a null text has none, and the CRC-32 of ''. Texts are read once for these two
-    numbers, and only those are shuffled. Null and repeated ids and repeated rows are rows of their own.
+    Whole documents, texts and all other columns, go through the shuffle, and the numbers are taken of what came out. size is
+    the text's UTF-8 bytes and 16 more; a null text has none, and the CRC-32 of ''. Null and repeated ids and repeated rows
+    are rows of their own.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    light = docs.select(F.col(id_col).alias("_id"), (F.octet_length(text) + DOCUMENT_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    out = shard_rows(light, shards, seed)
-    return out.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    inner = {name: f"_{k}" for k, name in enumerate(docs.columns)}  # names that are in nobody's way
+    out = shard_rows(docs.toDF(*inner.values()), shards, seed)
+    text = F.coalesce(F.col(inner[text_col]), F.lit(""))
+    size = (F.octet_length(text) + DOCUMENT_BYTES).cast("long").alias("size")
+    return out.select(F.col(inner[id_col]).alias(id_col), size, F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 SHARDS = 40

@@ -74,6 +74,16 @@ def test_documents(spark):
     assert sorted(((r.doc_id, r["size"], r.text_crc32, r.law, r.grown_shard) for r in rows), key=key) == sorted(want, key=key)
 
 
+def test_whole_documents_are_shuffled(spark, monkeypatch):
+    held = []
+    real = sharding.shard_rows
+    monkeypatch.setattr(sharding, "shard_rows", lambda rows, *rest: held.append(rows) or real(rows, *rest))
+    df = spark.createDataFrame([(1, "Ünï", "de"), (2, None, "en")], "doc_id long, text string, lang string")
+    rows = sharding.shard_documents(df, 2).collect()
+    assert sorted(map(tuple, held[0].collect())) == [(1, "Ünï", "de"), (2, None, "en")]
+    assert {r.doc_id: (r["size"], r.text_crc32) for r in rows} == {1: (21, zlib.crc32("Ünï".encode())), 2: (16, 0)}
+
+
 def test_columns_in_the_way(spark):
     with pytest.raises(ValueError, match="shard"):
         sharding.shard_rows(spark.range(3).withColumnRenamed("id", "shard"), 2)
