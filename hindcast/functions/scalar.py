@@ -172,6 +172,14 @@ def numbers_in(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(f"({NUMBER})"), F.lit(1)), lambda x: x.cast("double"))
 
 
+def printed(x: Column, pattern: str) -> Column:
+    """The number as C's printf writes it: the double's exact value, rounded half to even; null stays null.
+
+    ``format_string`` rounds the shortest decimal half up (0.125 becomes 0.13) and writes "null" for null.
+    """
+    return F.udf(lambda v: None if v is None else pattern % v, "string", useArrow=True)(x.cast("double"))
+
+
 def claimed_numbers(text: Column) -> Column:
     """Numbers that do not follow a letter, digit or underscore; none of a null text."""
     found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"(?:^|[^A-Za-z0-9_])({NUMBER})"), F.lit(1))

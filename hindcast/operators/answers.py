@@ -21,8 +21,10 @@ def with_topic(questions: DataFrame, text: str, keywords: Sequence[tuple[str, st
 
 def packets(facts: DataFrame, topic: str, name: str, value: str) -> DataFrame:
     """(topic, facts, template): the facts of a topic in order of name, and the answer that states them and nothing else."""
-    own = facts.groupBy(F.col(topic).alias("_topic")).agg(F.array_sort(F.collect_list(F.struct(F.col(name).alias("name"), F.col(value).alias("value")))).alias("facts"))
-    stated = F.transform("facts", lambda f: F.concat(f["name"], F.lit(" "), F.format_string("%.2f", f["value"])))
+    each = F.struct(F.col(name).alias("name"), F.col(value).alias("value"), S.printed(F.col(value), "%.2f").alias("said"))
+    own = facts.select(F.col(topic).alias("_topic"), each.alias("_f")).groupBy("_topic").agg(F.array_sort(F.collect_list("_f")).alias("_all"))
+    stated = F.transform("_all", lambda f: F.concat(f["name"], F.lit(" "), f["said"]))
+    own = own.withColumn("facts", F.transform("_all", lambda f: F.struct(f["name"].alias("name"), f["value"].alias("value"))))
     return own.select(F.col("_topic").alias("topic"), "facts", F.concat(F.col("_topic"), F.lit(": "), F.array_join(stated, "; ")).alias("template"))
 
 

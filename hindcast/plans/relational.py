@@ -298,8 +298,8 @@ def json_columns(spark, d):
 
 
 def formatted_numbers(spark, d):
-    c = load(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("decimal(12,2)").alias("x"))
-    return c.select("c_custkey", F.format_string("%.2f", F.col("x").cast("double")).alias("two"), F.format_string("W%03d", F.col("c_custkey")).alias("id"))
+    c = load(spark, d, "customer")
+    return c.select("c_custkey", S.printed(F.col("c_acctbal"), "%.2f").alias("two"), F.when(F.col("c_custkey").isNotNull(), F.format_string("W%03d", F.col("c_custkey"))).alias("id"))
 
 
 def threshold_labels(spark, d):

@@ -10,13 +10,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hindcast.functions import scalar as S
+
 AUDIT = "place string, load string, first_date string, last_date string, days long, missing double"
 
 
 def place_key(lat: Column | str, lon: Column | str) -> Column:
     """The name of a place: both coordinates with four decimals, which also is what tells places apart."""
     number = lambda c: F.col(c) if isinstance(c, str) else c
-    return F.format_string("%.4f_%.4f", number(lat).cast("double"), number(lon).cast("double"))
+    return F.concat(S.printed(number(lat), "%.4f"), F.lit("_"), S.printed(number(lon), "%.4f"))
 
 
 def audited(spark: SparkSession, path: str) -> DataFrame:

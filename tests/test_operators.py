@@ -173,6 +173,19 @@ def test_relationship_sums_over_blocks_and_partitions(spark, monkeypatch):
     assert M.relationship_sums(df.where("m = 4"), "s", "m", "v").count() == 0
 
 
+def test_printed_numbers_are_those_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from hindcast.plans import relational
+
+    x = [0.125, 0.375, 2.675, -0.001, None, -0.0, 98765432109.125, 1e15 + 0.25, 1.005, 4516.95]
+    spark.createDataFrame([(None if i == 3 else i, v) for i, v in enumerate(x)], "c_custkey long, c_acctbal double").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    got = sorted(map(repr, map(tuple, relational.formatted_numbers(spark, str(tmp_path)).collect())))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert got == sorted(map(repr, con.sql(relational.QUERIES["formatted_numbers"][1]).fetchall()))
+
+
 def test_conjugate_gradient_and_kernels():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(40, 3))
