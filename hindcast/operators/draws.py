@@ -59,9 +59,42 @@ def drawn(df: DataFrame, id_col: str, columns: Sequence[str], draws: int, size:
     return ranked.select("draw", "place", F.col("_id").alias(id_col), *columns)
 
 
+#: Leading bits of a hash that number the buckets whose sizes place a rank.
+BUCKET_BITS = 16
+
+
+def drawn_by_rank(df: DataFrame, id_col: str, columns: Sequence[str], draws: int, size: int) -> DataFrame:
+    """(draw, place, id, columns) as ``drawn`` has them, for many draws: rows are looked at once, not once a draw.
+
+    Rows stand in the order of a hash of their id. Each draw takes ``size`` ranks of that order at random without replacement,
+    from its own seed, and rows meet ranks in a join. Ranks are found from the sizes of 2 ** BUCKET_BITS ranges of the hash,
+    the only numbers that pass through the driver. The same rows are drawn whatever the order and the partitions; the first rows
+    of a draw are a draw of fewer rows.
+    """
+    bucket = F.shiftrightunsigned("_h", 64 - BUCKET_BITS).cast("int")
+    kept = df.select(F.xxhash64(id_col).alias("_h"), F.col(id_col).alias("_id"), *columns).withColumn("_b", bucket)
+    sizes = np.zeros(1 << BUCKET_BITS, np.int64)
+    for r in kept.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect():  # at most a row per bucket
+        sizes[r["_b"]] = r["n"]
+    ends = np.cumsum(sizes)
+    total = int(ends[-1])
+    many = min(size, total)
+
+    def ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for draw in b["id"] if many else ():
+                own = np.random.default_rng([1, int(draw)]).choice(total, many, replace=False)
+                at = np.searchsorted(ends, own, side="right")
+                yield pd.DataFrame({"draw": np.int32(draw), "place": np.arange(1, many + 1, dtype=np.int32), "_b": at.astype(np.int32), "_at": (own - (ends - sizes)[at]).astype(np.int32)})
+
+    picks = df.sparkSession.range(draws).mapInPandas(ranks, "draw int, place int, _b int, _at int")
+    ranked = kept.withColumn("_at", F.row_number().over(Window.partitionBy("_b").orderBy("_h", "_id")) - 1)
+    return ranked.join(picks, ["_b", "_at"]).select("draw", "place", F.col("_id").alias(id_col), *columns)
+
+
 def drawn_budgets(df: DataFrame, id_col: str, value: str, hit: float, budgets: Sequence[int], draws: int = 5_000) -> DataFrame:
     """(draw, budget, n, mean, best, hit_rate): random selections of each budget; a hit has a value of at least ``hit``."""
-    picked = drawn(df, id_col, [value], draws, max(budgets)).withColumn("budget", F.explode(F.array(*[F.lit(int(b)) for b in budgets]))).where("place <= budget")
+    picked = drawn_by_rank(df, id_col, [value], draws, max(budgets)).withColumn("budget", F.explode(F.array(*[F.lit(int(b)) for b in budgets]))).where("place <= budget")
     return picked.groupBy("draw", "budget").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("best"), F.avg((F.col(value) >= hit).cast("double")).alias("hit_rate"))
 
 

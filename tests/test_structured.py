@@ -169,6 +169,20 @@ def test_draws_have_the_moments_of_draws_without_replacement(spark):
     assert D.drawn(df.limit(3), "i", ["v"], 2, 10).count() == 6 and D.drawn(df.limit(0), "i", ["v"], 2, 10).count() == 0
 
 
+def test_draws_by_rank_look_at_each_row_once(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float(i)) for i in range(300)], "i long, v double")
+    order = [r["i"] for r in df.orderBy(F.expr("shiftrightunsigned(xxhash64(i), 48)"), F.xxhash64("i")).collect()]
+    want = {(d, p + 1): order[k] for d in range(7) for p, k in enumerate(np.random.default_rng([1, d]).choice(300, 10, replace=False))}
+    for parts in (5, 1):
+        rows = D.drawn_by_rank(df.repartition(parts), "i", ["v"], 7, 10).collect()
+        assert len(rows) == 70 and {(r["draw"], r["place"]): r["i"] for r in rows} == want and all(r["v"] == r["i"] for r in rows)
+    got = D.drawn_by_rank(df.limit(3), "i", ["v"], 2, 10).collect()
+    assert sorted((r["draw"], r["place"]) for r in got) == [(d, p) for d in range(2) for p in (1, 2, 3)] and len({(r["draw"], r["i"]) for r in got}) == 6
+    assert D.drawn_by_rank(df.limit(0), "i", ["v"], 2, 10).count() == 0
+    monkeypatch.setattr(D, "least_keys", None)  # a key for each row and draw
+    assert D.drawn_budgets(df, "i", "v", 1.0, [5], 20).count() == 20
+
+
 def test_blocked_matrix(spark, tmp_path):
     rng = np.random.default_rng(10)
     x = rng.normal(size=(20, 11))
