@@ -358,6 +358,19 @@ def test_support_geometry_over_blocks_and_partitions(spark, monkeypatch):
             assert abs(got[i]["similarity"] - np.exp(-d[i] / 2).max()) < 1e-9 and abs(got[i]["density"] - np.exp(-d[i] / 2).mean()) < 1e-9 and abs(got[i]["mass"] - (d[i] <= 2).mean()) < 1e-9
 
 
+def test_blocks_meet_in_steps():
+    import tracemalloc
+
+    rng = np.random.default_rng(19)
+    x, y, i = rng.normal(size=(2_000, 3)), rng.normal(size=(2_000, 3)), np.arange(2_000)
+    least = R.least_distances(1)
+    tracemalloc.start()
+    got = R.in_steps(least)(i, x, i, y)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 16e6 and got.equals(least(i, x, i, y))  # one product of all of them has 32 MB
+
+
 def test_quantiles_without_a_sorted_pool(spark):
     rng = np.random.default_rng(8)
     rows = [(int(rng.integers(0, 3)), int(rng.integers(1990, 1996)), float(round(v, 1))) for v in rng.normal(size=400) * 10] + [(0, 1990, 0.0), (1, 1991, -0.0), (2, 1992, 1e-300)]
