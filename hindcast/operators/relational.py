@@ -7,8 +7,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Vectors of a block where all pairs are looked at, at least; blocks that a larger table is cut into; bytes that bound a block.
 BLOCK, GRID, BLOCK_BYTES = 2_000, 24, 32 << 20
@@ -128,10 +130,12 @@ def nearest_match(left: DataFrame, right: DataFrame, keys: Sequence[str], left_t
 
 
 def in_steps(meet, step: int = STEP):
-    """meet for ``step`` left rows at a time, so that no product is larger than that times a block."""
+    """meet for some left rows at a time, so that no product is larger than ``step`` left rows times a block: more of them where
+    the right rows are fewer."""
 
     def stepped(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray) -> pd.DataFrame:
-        return pd.concat([meet(i[s : s + step], x[s : s + step], j, y) for s in range(0, len(i), step)], ignore_index=True)
+        rows = max(step, step * BLOCK // max(1, len(j)))
+        return pd.concat([meet(i[s : s + rows], x[s : s + rows], j, y) for s in range(0, len(i), rows)], ignore_index=True)
 
     return stepped
 
@@ -178,7 +182,8 @@ def least_distances(k: int):
     def least(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray) -> pd.DataFrame:
         d, many = squared_distances(x, y), min(len(j), k)
         slack = 1e-10 * ((x**2).sum(1) + (y**2).sum(1).max())
-        at, near = np.nonzero(d <= (np.partition(d, many - 1, axis=1)[:, many - 1] + slack)[:, None])
+        last = np.partition(d, many - 1, axis=1)[:, many - 1] if many > 1 else d.min(1)
+        at, near = np.nonzero(d <= (last + slack)[:, None])
         exact = np.zeros(len(at))
         for c in range(x.shape[1]):
             exact += (x[at, c] - y[near, c]) ** 2
@@ -207,25 +212,48 @@ def nearest_points(test: DataFrame, train: DataFrame, id_col: str, vec: str, k:
 def reachable_cells(pivots: np.ndarray, count: np.ndarray, radius: np.ndarray, x: np.ndarray, k: int) -> list[np.ndarray]:
     """For each row of x the cells that may hold one of its k nearest points.
 
-    A cell's points lie within its radius of its pivot, so their distances to x are bounded from both sides by the triangle
-    inequality. The cells of the least upper bounds that hold k points together bound the k-th distance.
+    A cell's points lie within its radius of its pivot, and no pivot is nearer to them than their own. So their distances to x
+    are bounded from below by the triangle inequality, and by the plane half way between their pivot and the one nearest to x.
+    Pivots are points, so the k-th nearest one bounds the k-th distance from above, and so do the cells of the least upper
+    bounds that hold k points together. As many rows are looked at together as make ``STEP`` times ``BLOCK`` distances.
     """
-    d = np.sqrt(squared_distances(x, pivots))
-    far, near = d + radius, np.maximum(d - radius, 0)
-    order = np.argsort(far, axis=1)
-    enough = np.cumsum(count[order], axis=1) >= k
-    last = np.where(enough.any(1), enough.argmax(1), len(pivots) - 1)
-    bound = np.take_along_axis(far, np.take_along_axis(order, last[:, None], 1), 1)
-    bound = np.where(enough.any(1)[:, None], bound * (1 + 1e-9) + 1e-9, np.inf)
-    return [np.flatnonzero(row & (count > 0)) for row in near <= bound]
+    held = np.flatnonzero(count > 0)
+    p, n, r = pivots[held], count[held], radius[held]
+    if not len(held):
+        return [held] * len(x)
+    most, many = ((np.sqrt((p**2).sum(1)) + r) ** 2).max(), min(k, len(held))
+    out = []
+    step = max(1, STEP * BLOCK // len(held))
+    for s in range(0, len(x), step):
+        part = x[s : s + step]
+        scale = ((part**2).sum(1) + most)[:, None]
+        slack = 1e-12 * scale  # more than a squared distance rounds by
+        sq = squared_distances(part, p)
+        home = sq.argmin(1)
+        d = np.sqrt(sq)
+        bound = np.partition(d, k - 1, axis=1)[:, k - 1] if many == k > 1 else d.min(1) if k == 1 else np.full(len(d), np.inf)
+        if k > 1:  # no upper bound of a cell is below its pivot's distance
+            least = np.argpartition(d + r, many - 1, axis=1)[:, :many]
+            ends = np.take_along_axis(d + r, least, 1)
+            order = np.argsort(ends, axis=1)
+            enough = np.cumsum(np.take_along_axis(n[least], order, 1), axis=1) >= k
+            ends = np.where(enough.any(1)[:, None], np.take_along_axis(ends, order, 1), np.inf)
+            bound = np.minimum(bound, np.take_along_axis(ends, enough.argmax(1)[:, None], 1)[:, 0])
+        gap = squared_distances(p[home], p)
+        beyond = sq - np.take_along_axis(sq, home[:, None], 1) - slack
+        # pivots that nearly coincide have no plane between them that could be told from rounding
+        plane = np.divide(beyond, 2 * np.sqrt(gap), out=np.zeros_like(sq), where=gap > 1e-6 * scale)
+        near = np.maximum(d - r, plane) <= bound[:, None] * (1 + 1e-9) + 2 * np.sqrt(slack)
+        out += [held[np.flatnonzero(row)] for row in near]
+    return out
 
 
 def pruned_nearest(test: DataFrame, train: DataFrame, id_col: str, vec: str, k: int = 5, pivots: int = 64, block: int = BLOCK) -> DataFrame:
     """``nearest_points`` without meeting every block: train points stand in cells about pivots, test points visit few cells.
 
     The pivots are a random draw of train points (at most ``pivots``); a train point belongs to its nearest one. What a cell
-    holds and how far it reaches are known in the driver, two numbers a pivot. Exact: a cell is left out only where the
-    triangle inequality rules it out. Cells, and the test points that visit one, are dealt in blocks of about ``block`` rows, so
+    holds and how far it reaches are known in the driver, two numbers a pivot. Exact: a cell is left out only where
+    ``reachable_cells`` rules it out. Cells, and the test points that visit one, are dealt in blocks of about ``block`` rows, so
     a cell with a third of all points is many tasks. Equal distances go to the lesser id.
     """
     from hindcast.sources.scratch import stored
@@ -245,7 +273,8 @@ def pruned_nearest(test: DataFrame, train: DataFrame, id_col: str, vec: str, k:
         if not len(rows):
             return pd.DataFrame({"cell": pd.Series([], dtype="int32"), "away": pd.Series([], dtype="float64")})
         x = np.stack(rows.to_numpy())
-        at = squared_distances(x, centres).argmin(1)
+        step = max(1, STEP * BLOCK // len(centres))
+        at = np.concatenate([squared_distances(x[s : s + step], centres).argmin(1) for s in range(0, len(x), step)])
         return pd.DataFrame({"cell": at.astype(np.int32), "away": np.sqrt(((x - centres[at]) ** 2).sum(1))})
 
     placed = stored(train.select("i", "v", cell_of("v").alias("c")).select("i", "v", "c.*"), "placed")
@@ -264,13 +293,16 @@ def pruned_nearest(test: DataFrame, train: DataFrame, id_col: str, vec: str, k:
     deal = lambda df, mine, other, a, b, salt: df.join(parts, "cell").select("cell", "i", "v", F.pmod(F.xxhash64("i", F.lit(salt)), F.col(mine)).cast("int").alias(a), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(b))
     left, right = deal(visits, "guests", "own", "a", "b", 1), deal(placed, "own", "guests", "b", "a", 2)
     least = in_steps(least_distances(k))
+    arrow = to_arrow_schema(empty.schema)
 
-    def both(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+    def both(x: pa.Table, y: pa.Table) -> pa.Table:
         if not len(x) or not len(y):
-            return pd.DataFrame({"i": [], "d": [], "j": []})
-        return least(x["i"].to_numpy(), np.stack(x["v"].to_numpy()), y["i"].to_numpy(), np.stack(y["v"].to_numpy()))
+            return arrow.empty_table()
+        ids = lambda rows: rows["i"].to_pandas().to_numpy()
+        matrix = lambda rows: rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+        return pa.Table.from_pandas(least(ids(x), matrix(x), ids(y), matrix(y)), arrow, preserve_index=False)
 
-    met = left.groupBy("cell", "a", "b").cogroup(right.groupBy("cell", "a", "b")).applyInPandas(both, f"i {kind}, d double, j {kind}")
+    met = left.groupBy("cell", "a", "b").cogroup(right.groupBy("cell", "a", "b")).applyInArrow(both, empty.schema)
     return summed_nearest(met, id_col, k)
 
 
@@ -280,10 +312,19 @@ def on_sphere(lat: Column, lon: Column) -> Column:
     return F.array(F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a))
 
 
+def place_pivots(rows: int) -> int:
+    """Pivots for so many train places: twice the root, so a place's distances to pivots and to the points of the few cells that it
+    visits grow alike."""
+    return max(64, 2 * int(rows**0.5))
+
+
 def nearest_places(test: DataFrame, train: DataFrame, id_col: str, lat: str, lon: str, radius: float = 6371.0088) -> DataFrame:
-    """(id, nearest, km): the nearest train place of each test place by great circle, through ``pruned_nearest``."""
+    """(id, nearest, km): the nearest train place of each test place by great circle, through ``pruned_nearest``.
+
+    On a sphere a place visits few cells however many there are, so their number grows with the root of the train rows.
+    """
     point = lambda df: df.select(id_col, on_sphere(F.col(lat), F.col(lon)).alias("p"))
-    out = pruned_nearest(point(test), point(train), id_col, "p", 1)
+    out = pruned_nearest(point(test), point(train), id_col, "p", 1, place_pivots(train.count()))
     return out.select(id_col, "nearest", (2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt("nearest_sq") / 2))).alias("km"))
 
 

@@ -111,6 +111,43 @@ def test_pruned_nearest_is_exact_and_prunes(spark):
     assert R.pruned_nearest(test, train.limit(0), "i", "v").count() == 0 and R.pruned_nearest(test.limit(0), train, "i", "v").count() == 0
 
 
+def test_places_meet_few_cells(spark, monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(14)
+    y = rng.normal(size=(20_000, 3))
+    y /= np.sqrt((y**2).sum(1))[:, None]
+    y[700:720] = y[:20]  # copies of pivots
+    pivots, x = y[:500], np.concatenate([y[:20], rng.normal(size=(3_000, 3))])
+    x /= np.sqrt((x**2).sum(1))[:, None]
+    cell = R.squared_distances(y, pivots).argmin(1)
+    count, radius = np.bincount(cell, minlength=500), np.zeros(500)
+    np.maximum.at(radius, cell, np.sqrt(((y - pivots[cell]) ** 2).sum(1)))
+    for k, most in ((1, 6), (5, 16)):
+        tracemalloc.start()
+        cells = R.reachable_cells(pivots, count, radius, x, k)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sum(map(len, cells)) < most * len(x) and peak < 24e6  # by the triangle inequality alone and all rows at once: 16.5 cells a place, 72 MB
+        for v, own in zip(x[:200], cells, strict=False):
+            d = ((y - v) ** 2).sum(1)
+            assert np.isin(cell[d <= np.partition(d, k - 1)[k - 1]], own).all()
+    assert [R.place_pivots(n) for n in (0, 1_000, 360_000)] == [64, 64, 1_200]
+
+    place = lambda lat, lon, first: spark.createDataFrame([(f"p{first + i}", float(a), float(b)) for i, (a, b) in enumerate(zip(lat, lon, strict=True))], "k string, lat double, lon double")
+    lat, lon = rng.uniform(-90, 90, 400), rng.uniform(-180, 180, 400)
+    lat[:3], lon[:5], lat[200:240], lon[200:240] = (90, -90, 90), (0, 0, 77, 180, -180), lat[240], lon[240]
+    monkeypatch.setattr(R, "STEP", 3)
+    monkeypatch.setattr(R, "BLOCK", 50)
+    a, b = np.radians(lat), np.radians(lon)
+    h = lambda i, j: np.sin((a[j] - a[i]) / 2) ** 2 + np.cos(a[i]) * np.cos(a[j]) * np.sin((b[j] - b[i]) / 2) ** 2
+    got = {r["k"]: r for r in R.nearest_places(place(lat[:150], lon[:150], 1_000), place(lat[150:], lon[150:], 1_150), "k", "lat", "lon").collect()}
+    assert len(got) == 150
+    for i in range(150):
+        d = 2 * 6371.0088 * np.arcsin(np.sqrt(np.minimum(1, h(i, np.arange(150, 400)))))
+        assert abs(got[f"p{1000 + i}"]["km"] - d.min()) < 1e-3 and d[int(got[f"p{1000 + i}"]["nearest"][1:]) - 1150] < d.min() + 1e-3
+
+
 def test_kernel_sums(spark):
     rng = np.random.default_rng(5)
     x, w = rng.normal(size=(30, 2)), rng.normal(size=30)
